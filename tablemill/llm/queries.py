@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import contamination, pieces
+from tablemill.llm import contamination, nearcopies, pieces
 from tablemill.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearcopies.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode(table(spark, sf_dir, "documents"), piece_model())
     return out.select(
@@ -42,6 +47,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
+    "op7_near_copies": op7_near_copies,
     "op9_pieces": op9_pieces,
 }
 ORACLE_SQL: dict[str, str] = {}
