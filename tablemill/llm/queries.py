@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import contamination, nearcopies, pieces
+from tablemill.llm import contamination, nearcopies, pieces, quality
 from tablemill.llm.common import table
 
 
@@ -17,6 +17,21 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def held_out(fold: int, of: int, doc: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc).cast("string").cast("binary")) % of == fold
+
+
+#: Rows whose score is lower are rejected.
+LEAST_QUALITY = 0.3
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality.train(docs, table(spark, sf_dir, "labels"), learn=~held_out(0, 5))
+    scored = quality.score(docs, machine)
+    return scored.select("doc_id", held_out(0, 5).alias("held_out"), "score", (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
@@ -46,6 +61,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op7_near_copies": op7_near_copies,
     "op9_pieces": op9_pieces,
