@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import contamination, nearcopies, pieces, quality
+from tablemill.llm import contamination, nearcopies, personal, pieces, quality
 from tablemill.llm.common import table
 
 
@@ -17,6 +17,17 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = personal.find(docs, personal.train(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    count = [F.size(F.array_remove(kinds, k)).cast("long") for k in personal.KINDS]
+    count = [(F.size(kinds) - n).cast("long").alias(f"n_{k}") for n, k in zip(count, personal.KINDS)]
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *count, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 def held_out(fold: int, of: int, doc: str = "doc_id") -> Column:
     return F.crc32(F.col(doc).cast("string").cast("binary")) % of == fold
 
@@ -61,6 +72,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_personal": op1_personal,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op7_near_copies": op7_near_copies,
