@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import contamination, nearcopies, personal, pieces, quality
+from tablemill.llm import contamination, nearcopies, passages, personal, pieces, quality
 from tablemill.llm.common import table
 
 
@@ -56,6 +56,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.find(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return found.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nearcopies.find(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal": op1_personal,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
+    "op6_passages": op6_passages,
     "op7_near_copies": op7_near_copies,
     "op9_pieces": op9_pieces,
 }

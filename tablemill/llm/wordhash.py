@@ -45,12 +45,21 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-def prefix_sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Polynomial prefix hashes and the powers of STEP, for `span_hash`."""
-    n = len(hashes)
-    powers = np.empty(n + 1, np.uint64)
-    powers[0] = 1
-    np.multiply.accumulate(np.full(n, STEP), out=powers[1:]) if n else None
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * powers[:n], out=sums[1:])
-    return sums, powers
+class Spans:
+    """Hashes of any word range of one text in constant time, equal for equal words."""
+
+    inverse = np.uint64(pow(int(STEP), -1, 2**64))
+    powers = np.ones(1, np.uint64)
+    inverses = np.ones(1, np.uint64)
+
+    def __init__(self, hashes: np.ndarray):
+        n = len(hashes)
+        if len(Spans.powers) <= n:
+            size = max(2 * n, 4096)
+            Spans.powers = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(size, STEP))])
+            Spans.inverses = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(size, Spans.inverse))])
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(hashes * Spans.powers[:n], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[start]) * Spans.inverses[start] + (end - start).astype(np.uint64))
