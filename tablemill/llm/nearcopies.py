@@ -13,10 +13,10 @@ agree with the probability of the Jaccard similarity, for small sets too.
 3. A pair goes on if its collision-corrected Jaccard estimate is near enough; it is a link if
    the whole sets, made again from the whole texts, reach the threshold.
 4. Links merge components. The pivot leaves its bucket; a bucket whose other members are all
-   in one component is done, the rest go round again with a new pivot. So every two members
-   of a bucket are compared or already connected: no link is lost inside buckets, however
-   large they are, and each round makes at most one pair for each member. When what is left
-   is few pairs, they are all compared in one go.
+   in one component is done, the rest go round again with a new pivot. A round makes at most
+   one pair for each member. Pairs that are left in small buckets are then compared in one go.
+5. What PIVOT_TURNS rounds leave in large buckets (texts that are alike, but not enough) is
+   compared in bounded blocks, whose tasks return links only, at most one for each document.
 
 At 0.85 a pair misses all buckets with probability (1 - 0.85^5)^25, 4e-7.
 
@@ -45,6 +45,10 @@ REGISTERS, BANDS, ROWS, MANTISSA, ROUNDS = 128, 25, 5, 10, 3
 COLLISION = 1 / 3 / 2**MANTISSA
 #: Estimates pass down to four standard deviations under the threshold.
 MARGIN = 4.0
+#: Turns of pivots before what is left of large buckets is dealt into narrower ones.
+PIVOT_TURNS = 2
+#: A block of a group that is compared as a whole.
+BLOCK_ROWS, BLOCK_BYTES = 512, 4_000_000
 
 
 def shingle_set(text: bytes | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -138,11 +142,11 @@ def verified(pairs: DataFrame, threshold: float, size: int) -> DataFrame:
     return pairs.mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def find(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, size: int = SHINGLE, few: int = 4) -> DataFrame:
+def find(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, size: int = SHINGLE, few: int = 8) -> DataFrame:
     """One row for every row of docs: doc, `n_shingles`, `component` (smallest doc reachable by
-    links), `n_links` (links found for its class while components were merged, at least one
-    for every class that is linked) and `kept` (the document is its component's smallest).
-    few: when at most so many pairs for each document are left, they are compared in one go."""
+    links) and `kept` (the document is its component's smallest). few: buckets in which each
+    member has at most about so many pairs left are compared pair by pair, larger ones in
+    blocks."""
     source = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     sig = materialize(signatures(source, "doc", "text", size), "signatures")
     classes = sig.where("n > 0 and doc is not null").groupBy("print").agg(F.min("doc").alias("rep"), F.first("regs").alias("regs"))
@@ -158,46 +162,104 @@ def find(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: fl
     texts = materialize(whole.groupBy("doc").agg(F.min(F.col("text").cast("binary")).alias("t")), "texts")
 
     comps = wanted.select("rep", F.col("rep").alias("comp"))
-    links = []
+    turn = 0
     members = members.withColumn("comp", F.col("rep"))
     while True:
+        turn += 1
         pivots = members.groupBy("bucket").agg(F.min(F.struct("rep", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         pivots = pivots.where("lo < hi").select("bucket", F.col("p.rep").alias("a"), F.col("p.comp").alias("ca"))
         open_ = members.join(pivots, "bucket").where("rep <> a")
         pairs = open_.where("comp <> ca").select("a", F.col("rep").alias("b")).distinct()
-        found = materialize(confirm(pairs, regs, texts, threshold, size), "links")
-        links.append(found)
-        comps = merge(comps, found)
-        left = open_.select("bucket", "rep").join(comps, "rep")
-        members = materialize(left.select("bucket", "rep", "comp"), "members")
-        sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"))
-        crossing, rows = sizes.where("n * n > same").agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
-        if not crossing:
+        comps = merge(comps, materialize(confirm(pairs, regs, texts, threshold, size), "links"))
+        members = materialize(open_.select("bucket", "rep").join(comps, "rep").select("bucket", "rep", "comp"), "members")
+        crossing, rows = crossings(members)
+        if crossing <= few * rows or turn == PIVOT_TURNS:
             break
-        if crossing <= few * rows:
-            other = members.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-            pairs = members.withColumnRenamed("rep", "a").join(other, "bucket").where("a < b and comp <> cb").select("a", "b").distinct()
-            found = materialize(confirm(pairs, regs, texts, threshold, size), "links")
-            links.append(found)
-            comps = merge(comps, found)
-            break
-    every = links[0]
-    for x in links[1:]:
-        every = every.union(x)
-    degree = every.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.select("print", "rep").join(comps, "rep", "left").join(degree, "rep", "left")
-    named = named.select("print", F.coalesce("comp", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    if crossing:
+        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        left = materialize(members.join(sizes.select("bucket", (F.col("k") > 2 * few + 1).alias("large")), "bucket"), "left")
+        small = left.where("not large")
+        other = small.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("cb"))
+        pairs = small.withColumnRenamed("rep", "a").join(other, "bucket").where("a < b and comp <> cb").select("a", "b").distinct()
+        comps = merge(comps, materialize(confirm(pairs, regs, texts, threshold, size), "links"))
+        large = left.where("large")
+        if not large.limit(1).isEmpty():
+            large = materialize(large.select("bucket", "rep").join(comps, "rep"), "members")
+            comps = merge(comps, materialize(dense_links(large, texts, threshold, size), "links"))
+    named = classes.select("print", "rep").join(comps, "rep", "left").select("print", F.coalesce("comp", "rep").alias("component"))
     out = sig.select("doc", "n", "print").join(named, "print", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
     return out.select(
         F.col("doc").alias(doc),
         F.col("n").alias("n_shingles"),
         component.alias("component"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"),
     )
 
 
+def crossings(members: DataFrame) -> tuple[int, int]:
+    """Pairs of members of a bucket that lie in different components, and members of buckets
+    that have such pairs."""
+    sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"))
+    crossing, rows = sizes.where("n * n > same").agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
+    return int(crossing or 0), int(rows or 0)
+
+
+def dense_links(members: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Links between components among members of large buckets that pivots leave unconnected,
+    such as the many variants of one text that are alike but mostly under the threshold.
+    Documents that meet in such buckets are a group; a group is cut into blocks of about
+    BLOCK_ROWS documents and BLOCK_BYTES, and each pair of blocks is one bounded task, which
+    counts the shared shingles of all its documents by matrix products over whole sets and
+    returns no pairs but a spanning forest of the links."""
+    groups = components(members.join(members.groupBy("bucket").agg(F.min("rep").alias("low")), "bucket").select("rep", "low"), "rep", "low")
+    own = members.select("rep", "comp").distinct().join(groups.withColumnRenamed("node", "rep"), "rep").join(texts.withColumnRenamed("doc", "rep"), "rep")
+    own = materialize(own.select("rep", "comp", F.col("root").alias("g"), "t"), "dense")
+    blocks = own.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("t")) / BLOCK_BYTES)).alias("k"))
+    placed = own.join(blocks, "g").withColumn("i", F.pmod(F.xxhash64("rep"), "k"))
+    placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = placed.select("g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "rep", "comp", "t")
+    parts = round(threshold * 10_000)
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes = WordHashes()
+        rep, comp = table.column("rep").to_pylist(), table.column("comp").to_pylist()
+        sets = [shingle_set(t, hashes, size) for t in table.column("t").to_pylist()]
+        n = np.array([len(s) for s in sets])
+        _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[place]
+        row = np.repeat(np.arange(len(sets)), n)[place >= 0]
+        place = place[place >= 0]
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for low in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+            s, e = np.searchsorted(place, [low, low + 4096])
+            held = np.zeros((len(sets), 4096), np.float32)
+            held[row[s:e], place[s:e] - low] = 1
+            both += held @ held.T
+        both = both.astype(np.int64)
+        found = np.triu(10_000 * both >= parts * (n[:, None] + n[None, :] - both), 1)
+        roots = {c: c for c in comp}
+
+        def root(c):
+            while roots[c] != c:
+                roots[c] = c = roots[roots[c]]
+            return c
+
+        out = []
+        for x, y in zip(*np.nonzero(found)):
+            u, v = root(comp[x]), root(comp[y])
+            if u != v:
+                roots[max(u, v)] = min(u, v)
+                out.append((rep[x], rep[y]))
+        kind = table.schema.field("rep").type
+        return pa.table([pa.array([x[i] for x in out], kind) for i in (0, 1)], ["a", "b"])
+
+    kind = members.schema["rep"].dataType.simpleString()
+    return dealt.groupBy("g", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+
+
 def confirm(pairs: DataFrame, regs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
     ra, rb = regs.select(F.col("rep").alias("a"), F.col("regs").alias("ra")), regs.select(F.col("rep").alias("b"), F.col("regs").alias("rb"))
     near = alike(pairs.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb"), threshold)
