@@ -1,8 +1,48 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline. Each takes (spark, docs, sf_dir) and works on all rows of
+docs; all but the last return the columns of docs.
 
+Defined cases: as in the operators. A text that is null or empty is scored like any other,
+is nobody's copy, is never contaminated, has nothing to redact and encodes to begin and end;
+repeated rows are treated alike; empty tables pass through empty."""
 
-def filter_quality(spark, docs, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-keep_one_of_each = decontaminate = redact = encode_pieces = filter_quality
+from tablemill.llm import contamination, nearcopies, personal, pieces, quality
+from tablemill.llm.common import table
+from tablemill.llm.queries import LEAST_QUALITY, held_out, piece_model
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose quality score is under LEAST_QUALITY."""
+    machine = quality.train(docs, table(spark, sf_dir, "labels"), learn=~held_out(0, 5))
+    return quality.score(docs, machine, keep=tuple(docs.columns)).where(F.col("score") >= LEAST_QUALITY).drop("score")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest document of each component of near-copies."""
+    copies = nearcopies.find(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    found = contamination.find(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
+    return found.where(F.size("spans") == 0).select(*docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces each span of personal data by its kind; n_chars follows."""
+    rest = tuple(c for c in docs.columns if c != "text")
+    found = personal.find(docs, personal.train(docs), keep=rest, redact=True)
+    out = found.withColumn("text", F.col("redacted")).withColumn("n_chars", F.length("redacted").cast("long"))
+    return out.select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, the ids (little-endian unsigned 32-bit integers), their number, and whether they
+    decode to the text."""
+    out = pieces.encode(docs, piece_model(), keep=("doc_id", "text"))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
