@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import contamination, nearcopies, passages, personal, pieces, quality
+from tablemill.llm import contamination, nearcopies, passages, personal, pieces, quality, scoring
 from tablemill.llm.common import table
 
 
@@ -67,6 +67,11 @@ def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scoring.score(table(spark, sf_dir, "documents"), learn=~held_out(2, 7))
+    return scored.select("doc_id", held_out(2, 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode(table(spark, sf_dir, "documents"), piece_model())
     return out.select(
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_passages": op6_passages,
     "op7_near_copies": op7_near_copies,
+    "op8_language_model": op8_language_model,
     "op9_pieces": op9_pieces,
 }
 ORACLE_SQL: dict[str, str] = {}
