@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import contamination, nearcopies, passages, personal, pieces, quality, scoring
+from tablemill.llm import contamination, hosts, nearcopies, passages, personal, pieces, quality, replies, scoring
 from tablemill.llm.common import table
 
 
@@ -28,6 +28,17 @@ def op1_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op2_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = replies.threads(table(spark, sf_dir, "conversations"))
+    own = F.sha2(F.coalesce("own_text", F.lit("")), 256).alias("own_sha256")
+    return out.select("conv_id", "turn", "role", own, "n_quoted", "n_linked", "max_level", "parent_conv", "parent_turn", "root_conv", "root_turn", "depth")
+
+
+def op3_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled outcome of a page is the quality in `labels` under its id."""
+    return hosts.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def held_out(fold: int, of: int, doc: str = "doc_id") -> Column:
     return F.crc32(F.col(doc).cast("string").cast("binary")) % of == fold
 
@@ -84,6 +95,8 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal": op1_personal,
+    "op2_replies": op2_replies,
+    "op3_hosts": op3_hosts,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op6_passages": op6_passages,
@@ -91,4 +104,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_pieces": op9_pieces,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_replies": replies.SQL, "op3_hosts": hosts.SQL}
