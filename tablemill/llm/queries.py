@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import contamination, hosts, nearcopies, passages, personal, pieces, quality, replies, scoring
-from tablemill.llm.common import table
+from tablemill.llm import audio, contamination, hosts, nearcopies, passages, personal, pieces, quality, replies, scoring
+from tablemill.llm.common import materialize, table
 
 
 def piece_model() -> str:
@@ -93,6 +93,27 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings are rendered from `embeddings`, the only table of signals. Queries are the ids
+    divisible by 20; one row for each of them: its class, how many other classes match it, and
+    the nearest of those."""
+    prints = materialize(audio.fingerprints(audio.rendered(table(spark, sf_dir, "embeddings")), "vec_id", "audio"), "prints")
+    asked = prints.where("vec_id % 20 = 0")
+    nearest = F.min(F.struct("error", "match", "offset"))
+    found = audio.search(prints, asked, "vec_id").groupBy("query").agg(F.count(F.lit(1)).alias("n_matches"), nearest.alias("near"))
+    named = asked.join(audio.classes(asked, "vec_id"), "prints", "left").join(found.withColumnRenamed("query", "rep"), "rep", "left")
+    return named.select(
+        "vec_id",
+        (F.octet_length("prints") / 4).cast("long").alias("n_prints"),
+        F.sha2("prints", 256).alias("prints_sha256"),
+        F.col("rep").alias("class_id"),
+        F.coalesce("n_matches", F.lit(0)).alias("n_matches"),
+        F.col("near.match").alias("match_id"),
+        F.col("near.offset").alias("match_offset"),
+        F.col("near.error").alias("bit_error"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal": op1_personal,
     "op2_replies": op2_replies,
@@ -103,5 +124,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_copies": op7_near_copies,
     "op8_language_model": op8_language_model,
     "op9_pieces": op9_pieces,
+    "op10_audio": op10_audio,
 }
 ORACLE_SQL: dict[str, str] = {"op2_replies": replies.SQL, "op3_hosts": hosts.SQL}
