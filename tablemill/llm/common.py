@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablemill.functions.storage import materialize, shared_dir
+
+__all__ = ["ascii_lower", "input_bytes", "materialize", "shared_dir", "table", "union_all"]
+
 #: A-Z only, as the contracts ask; Spark's lower() would also change other letters.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,28 +23,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); where it is unset, as in
-    local tests, a temporary folder is set once for the session."""
-    kept = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if kept:
-        return kept
-    own = spark.conf.get("tablemill.shared.dir", None)
-    if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="tablemill-")
-        spark.conf.set("tablemill.shared.dir", own)
-    return own
-
-
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it back: this cuts the lineage, and the rows
-    survive the loss of any executor."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files that df reads, from Spark's own statistics."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -48,7 +48,7 @@ MARGIN = 4.0
 #: Turns of pivots before what is left of large buckets is dealt into narrower ones.
 PIVOT_TURNS = 2
 #: A block of a group that is compared as a whole.
-BLOCK_ROWS, BLOCK_BYTES = 512, 4_000_000
+BLOCK_ROWS, BLOCK_BYTES = 512, 1_000_000
 
 
 def shingle_set(text: bytes | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
