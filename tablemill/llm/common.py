@@ -23,9 +23,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files that df reads, from Spark's own statistics."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Estimates above this are no statistics but what Spark takes where it has none.
+UNKNOWN_BYTES = 1 << 47
+
+
+def input_bytes(df: DataFrame, text: str) -> int:
+    """Bytes that df reads, from Spark's own statistics; where it has none, those of its texts."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < UNKNOWN_BYTES else df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

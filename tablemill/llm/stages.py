@@ -15,10 +15,16 @@ from tablemill.llm.common import table
 from tablemill.llm.queries import LEAST_QUALITY, held_out, piece_model
 
 
+def rows_of(docs: DataFrame, without: str | None = None) -> DataFrame:
+    """text, and all columns (or all but one) as one struct `row`: no name of theirs can clash
+    with what an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != without]).alias("row"), "text")
+
+
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose quality score is under LEAST_QUALITY."""
     machine = quality.train(docs, table(spark, sf_dir, "labels"), learn=~held_out(0, 5))
-    return quality.score(docs, machine, keep=tuple(docs.columns)).where(F.col("score") >= LEAST_QUALITY).drop("score")
+    return quality.score(rows_of(docs), machine, keep=("row",)).where(F.col("score") >= LEAST_QUALITY).select("row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +35,15 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    found = contamination.find(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    found = contamination.find(rows_of(docs), table(spark, sf_dir, "benchmark"), keep=("row",))
+    return found.where(F.size("spans") == 0).select("row.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each span of personal data by its kind; n_chars follows."""
-    rest = tuple(c for c in docs.columns if c != "text")
-    found = personal.find(docs, personal.train(docs), keep=rest, redact=True)
-    out = found.withColumn("text", F.col("redacted")).withColumn("n_chars", F.length("redacted").cast("long"))
-    return out.select(*docs.columns)
+    found = personal.find(rows_of(docs, without="text"), personal.train(docs), keep=("row",), redact=True)
+    new = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
+    return found.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
