@@ -1,7 +1,6 @@
 """Rules over data: an issues DataFrame, and what it says about each rule.
 
-All rules that look at one row are compiled into one array column, so they cost one scan however
-many they are. Rules over the whole dataset count their keys first (with partial counts in each
+All rules that look at one row are compiled into flags of one scan, however many they are. Rules over the whole dataset count their keys first (with partial counts in each
 task) and join the few keys that fail back to the rows, so a key with a third of all rows is
 never gathered in one task.
 """
@@ -208,19 +207,42 @@ def cell_text(frame: PreparedFrame, column_id: str) -> tuple[Column, Column]:
     return F.when(~v.is_null, v.text), v.tag
 
 
+#: Checks that share one number of flags.
+FLAGS = 60
+
+
+def bits_at(i: Column, flags: list[str]) -> Column:
+    """Whether the flag of check i is set."""
+    number = reduce(lambda rest, k: F.when(i < F.lit((k + 1) * FLAGS), F.col(flags[k])).otherwise(rest), reversed(range(len(flags) - 1)), F.col(flags[-1]))
+    return F.getbit(number, i % F.lit(FLAGS)) == 1
+
+
 def local_issues(frame: PreparedFrame, rules: list[tuple[int, str, dict]]) -> DataFrame:
-    """Issues of all row-local rules, in one scan."""
-    found = []
-    nothing = Check(F.lit(False), "", "", "")
-    for index, name, rule in rules or [(0, "", {})]:
-        for part, c in enumerate(row_checks(frame, rule) if rule else [nothing]):
-            value, tag = cell_text(frame, c.column_id)
-            parts = {"columnId": c.column_id, "code": c.code, "message": c.message, "severity": c.severity, "ruleId": name}
-            fields = [F.lit(index).alias("ruleIndex"), F.lit(part).cast("long").alias("part"), value.alias("value"), tag.alias("valueType")]
-            found.append(F.when(c.fails, F.struct(*fields, *[F.lit(x).alias(k) for k, x in parts.items()])))
-    listed = F.filter(F.array(*found), lambda x: x.isNotNull())
-    rows = frame.df.select(*frame.hidden, listed.alias("__found")).where(F.size("__found") > 0)
-    return place(frame, rows.select(*frame.hidden, F.inline("__found")), F.lit(0))
+    """Issues of all row-local rules, in one scan. Each row's failures are flags of a few whole
+    numbers; only rows with a flag are taken apart, and texts are made for failures alone."""
+    found = [(index, name, part, c) for index, name, rule in rules for part, c in enumerate(row_checks(frame, rule))]
+    found = found or [(0, "", 0, Check(F.lit(False), "", "", ""))]
+    flags = {}
+    for k in range(0, len(found), FLAGS):
+        bits = [F.when(x[3].fails, F.lit(1 << j).cast("long")).otherwise(F.lit(0).cast("long")) for j, x in enumerate(found[k : k + FLAGS])]
+        flags[f"__m{k // FLAGS}"] = reduce(lambda a, b: a.bitwiseOR(b), bits)
+    # taken apart by the generator alone: a filter here would be pushed below the flags and work
+    # them out, and the columns they read, twice
+    none = reduce(lambda a, b: a & b, [F.col(m) == 0 for m in flags])
+    failing = F.filter(F.array(*map(F.lit, range(len(found)))), lambda i: bits_at(i, list(flags)))
+    rows = frame.df.withColumns(flags).select("*", F.explode(F.when(~none, failing)).alias("__i"))
+    said = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("__i") + 1)
+    value = tag = F.lit(None).cast("string")
+    for column in dict.fromkeys(c.column_id for *_, c in found):
+        here = F.col("__i").isin(*[i for i, x in enumerate(found) if x[3].column_id == column])
+        text, kind = cell_text(frame, column)
+        value, tag = F.when(here, text).otherwise(value), F.when(here, kind).otherwise(tag)
+    fields = {
+        "ruleIndex": said([i for i, *_ in found]), "part": said([p for _, _, p, _ in found]).cast("long"), "value": value, "valueType": tag,
+        "columnId": said([c.column_id for *_, c in found]), "code": said([c.code for *_, c in found]), "message": said([c.message for *_, c in found]),
+        "severity": said([c.severity for *_, c in found]), "ruleId": said([n for _, n, _, _ in found]),
+    }
+    return place(frame, rows.select(*frame.hidden, *[v.alias(k) for k, v in fields.items()]), F.lit(0))
 
 
 def place(frame: PreparedFrame, df: DataFrame, phase: Column) -> DataFrame:
