@@ -67,13 +67,16 @@ def threads(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text
     pc = F.coalesce("origin.c", F.when(F.col("prior").isNotNull(), F.col("c")))
     parents = materialize(parents.select("c", "t", "n_linked", pc.alias("pc"), F.coalesce("origin.t", "prior").alias("pt")), "parents")
     up = parents.select("c", "t", F.coalesce("pc", "c").alias("rc"), F.coalesce("pt", "t").alias("rt"), F.col("pc").isNotNull().cast("long").alias("depth"))
+    done, open_ = up.where("depth = 0"), up.where("depth > 0")
     while True:
-        far = up.select(F.col("c").alias("rc"), F.col("t").alias("rt"), F.col("rc").alias("fc"), F.col("rt").alias("ft"), F.col("depth").alias("more"))
-        step = up.join(far, ["rc", "rt"]).select("c", "t", F.col("fc").alias("rc"), F.col("ft").alias("rt"), (F.col("depth") + F.col("more")).alias("depth"), "more")
+        now = done.unionByName(open_)
+        far = now.select(F.col("c").alias("rc"), F.col("t").alias("rt"), F.col("rc").alias("fc"), F.col("rt").alias("ft"), F.col("depth").alias("more"))
+        step = open_.join(far, ["rc", "rt"]).select("c", "t", F.col("fc").alias("rc"), F.col("ft").alias("rt"), (F.col("depth") + F.col("more")).alias("depth"), "more")
         step = materialize(step, "threads")
-        up = step.drop("more")
-        if step.where("more > 0").limit(1).isEmpty():
+        done, open_ = done.unionByName(step.where("more = 0").drop("more")), step.where("more > 0").drop("more")
+        if open_.limit(1).isEmpty():
             break
+    up = done
     out = source.join(parents, ["c", "t"], "left").join(up, ["c", "t"], "left")
     levels = F.transform(F.split("x", "\n"), level_of)
     return out.select(
