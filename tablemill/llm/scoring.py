@@ -5,9 +5,9 @@ priors: p(w | v) = (c(vw) + K2 p(w)) / (c(v) + K2), p(w | uv) = (c(uvw) + K3 p(w
 p(w) = (c(w) + 1) / (N + V + 1). As an automaton, histories with a count are states; an arc carries
 the probability of a seen continuation, a failure arc leads to the shorter history and carries
 the left-over mass (K / (c + K)), so a text is scored in one pass from left to right that keeps
-the state (the longest seen history) and sums logarithms. Words under FREQUENT of all tokens
-are one class in histories and continuations and share its mass as they share it in p(w), so the
-probabilities of all words and of one unknown word add to 1 after every history.
+the state (the longest seen history) and sums logarithms. Every word of a training text has
+n-grams of its own; all other words are one unknown word, so the probabilities of all words and
+of the unknown one add to 1 after every history.
 
 Counts cover all training texts and grow with them; nothing of them is broadcast or collected
 but a few totals. Documents are dealt into blocks of about BLOCK_BYTES, once. A block's distinct
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from tablemill.llm.common import input_bytes, materialize
 from tablemill.llm.wordhash import WordHashes, mixed
 
-BLOCK_BYTES, FREQUENT, K2, K3 = 12_000_000, 1e-4, 50.0, 20.0
-END, BEGIN, RARE = np.uint64(0x51ED270B35F2A4C7), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+BLOCK_BYTES, K2, K3 = 12_000_000, 50.0, 20.0
+#: Share of all tokens under which words lose their n-grams: none do. Only the tests' model reads it.
+FREQUENT = 0.0
+END, BEGIN, UNKNOWN = np.uint64(0x51ED270B35F2A4C7), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 TWO, THREE, STEP = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3), np.uint64(0x9E3779B97F4A7C15)
 WORDS, GRAMS = 1, 2
 
@@ -58,18 +60,42 @@ class Block:
         self.place = place
         return keys, np.bincount(place[self.learn], minlength=len(keys))
 
-    def grams(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def grams(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the bigram and the trigram that end at each token (0: there is none: a
-        text's first token has no trigram), and of the bigram that is the trigram's history."""
-        before = np.concatenate([[BEGIN], classes[:-1]])
+        text's first token has no trigram)."""
+        before = np.concatenate([[BEGIN], names[:-1]])
         before[self.starts] = BEGIN
-        two = mixed((before * STEP + classes) ^ TWO)
+        two = mixed((before * STEP + names) ^ TWO)
         far = np.concatenate([[BEGIN], before[:-1]])
-        three = mixed((far * STEP + before) * STEP + classes ^ THREE)
-        history = np.concatenate([[np.uint64(0)], two[:-1]])
+        three = mixed((far * STEP + before) * STEP + names ^ THREE)
         three[self.starts] = 0
-        history[self.starts] = 0
-        return two, three, history
+        return two, three
+
+    def earlier(self, counts: np.ndarray, first: float) -> np.ndarray:
+        """What the token before each token has; first at the start of a text."""
+        out = np.concatenate([[first], counts[:-1]])
+        out[self.starts] = first
+        return out
+
+
+def firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each distinct value of a sorted array begins."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    ordered = np.sort(keys)
+    return ordered[firsts(ordered)]
+
+
+def counted(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often learned holds them. Sorts values alone: a block has few
+    n-grams that repeat, so an index of all places would be its largest array."""
+    keys, learned = distinct(keys), np.sort(learned)
+    at = firsts(learned)
+    counts = np.zeros(len(keys), np.int64)
+    counts[np.searchsorted(keys, learned[at])] = np.diff(at, append=len(learned))
+    return keys, counts
 
 
 def packed(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.Table:
@@ -90,9 +116,8 @@ def packed(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, bits: in
 
 
 ASKED = "block long, kind int, part long, keys binary, counts binary"
-#: n, v: tokens and distinct tokens of the range; steps, sums: how many distinct tokens have a
-#: count of at least 2**i and their tokens. Given in a range's first row, 0 in the others.
-TOLD = "block long, kind int, part long, totals binary, n long, v long, steps array<long>, sums array<long>"
+#: n, v: tokens and distinct tokens of the range. Given in a range's first row, 0 in the others.
+TOLD = "block long, kind int, part long, totals binary, n long, v long"
 
 
 def summed(asked: DataFrame) -> DataFrame:
@@ -108,8 +133,7 @@ def summed(asked: DataFrame) -> DataFrame:
         back = [totals[place[a:b]].astype("<i8" if totals.max(initial=0) >= 2**32 else "<u4") for a, b in zip(cuts, cuts[1:])]
         width = back[0].itemsize
         seen = totals[totals > 0]
-        steps = [[int((seen >= 1 << i).sum()) for i in range(48)], [int(seen[seen >= 1 << i].sum()) for i in range(48)]]
-        k, zero = len(blobs), [0] * 48
+        k = len(blobs)
         return pa.table(
             {
                 "block": table.column("block").combine_chunks(),
@@ -118,8 +142,6 @@ def summed(asked: DataFrame) -> DataFrame:
                 "totals": pa.array([bytes([width]) + x.tobytes() for x in back], pa.binary()),
                 "n": pa.array([int(seen.sum())] + [0] * (k - 1), pa.int64()),
                 "v": pa.array([len(seen)] + [0] * (k - 1), pa.int64()),
-                "steps": pa.array([steps[0]] + [zero] * (k - 1), pa.list_(pa.int64())),
-                "sums": pa.array([steps[1]] + [zero] * (k - 1), pa.list_(pa.int64())),
             }
         )
 
@@ -133,24 +155,16 @@ def unpacked(told: pa.Table, kind: int) -> np.ndarray:
 
 
 class Totals:
-    """What the whole corpus says: tokens, distinct tokens, training texts, and the smallest
-    count (a power of two) of a frequent word with what all such words hold."""
+    """What the whole corpus says: tokens, distinct tokens and training texts."""
 
-    def __init__(self, n: int, v: int, texts: int, steps: list[int], sums: list[int], frequent: float):
+    def __init__(self, n: int, v: int, texts: int):
         self.n, self.v, self.texts = n, v, texts
-        i = max(0, math.ceil(math.log2(max(1.0, n * frequent))))
-        self.least, self.words, self.tokens = 1 << i, steps[i], sums[i]
         self.z = n + v + 1
-        #: Probability of the class of all other words and the unknown one, and its tokens.
-        self.rare = (n - self.tokens + v - self.words + 1) / self.z
-        self.rare_tokens = n - self.tokens
 
 
-def totals_of(told: DataFrame, texts: int, frequent: float) -> Totals:
-    pick = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(48)])
-    r = told.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), pick("steps").alias("steps"), pick("sums").alias("sums")).first()
-    zero = [0] * 48
-    return Totals(r.n or 0, r.v or 0, texts, [x or 0 for x in r.steps or zero], [x or 0 for x in r.sums or zero], frequent)
+def totals_of(told: DataFrame, texts: int) -> Totals:
+    r = told.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    return Totals(r.n or 0, r.v or 0, texts)
 
 
 class Automaton:
@@ -165,20 +179,17 @@ class Automaton:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.counts[at], 0).astype(float)
 
-    def walk(self, block: Block, classes: np.ndarray, single: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def walk(self, block: Block, names: np.ndarray, single: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Probability of each token after the state that the tokens before it lead to. The
         three levels are taken for all positions at once; a history without a count leaves the
         shorter one's probability as it is, which is its failure arc of weight 1."""
-        t = self.totals
-        two, three, history = block.grams(classes)
-        share = np.where(classes == RARE, single / t.rare, 1.0)
-        before = np.concatenate([[0.0], np.where(classes == RARE, t.rare_tokens, count)[:-1]])
-        before[block.starts] = t.texts
-        p = (self.seen(two) * share + K2 * single) / (before + K2)
-        return (self.seen(three) * share + K3 * p) / (self.seen(history) + K3)
+        two, three = block.grams(names)
+        pairs = self.seen(two)
+        p = (pairs + K2 * single) / (block.earlier(count, self.totals.texts) + K2)
+        return (self.seen(three) + K3 * p) / (block.earlier(pairs, 0.0) + K3)
 
 
-def score(docs: DataFrame, learn: Column, doc: str = "doc_id", text: str = "text", frequent: float = FREQUENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, learn: Column, doc: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For every row of docs: doc, `n_tokens`, `n_known` (tokens that training texts hold),
     `train_tokens`, `base_score` (log10 of p(w), summed) and `score` (the model's log10
     probability of the text). learn: which rows are training rows."""
@@ -196,21 +207,21 @@ def score(docs: DataFrame, learn: Column, doc: str = "doc_id", text: str = "text
 
     words = materialize(summed(dealt.groupBy("block").applyInArrow(ask_words, ASKED)), "words")
     texts = source.where("learn").count()
-    totals = totals_of(words, texts, frequent)
+    totals = totals_of(words, texts)
 
-    def classed(block: Block, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def named(block: Block, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's own key, or the unknown word's, and its count."""
         keys, _ = block.words()
         count = unpacked(told, WORDS)
-        return np.where(count >= totals.least, keys, RARE)[block.place], count[block.place].astype(float)
+        return np.where(count > 0, keys, UNKNOWN)[block.place], count[block.place].astype(float)
 
     def ask_grams(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return packed(0, GRAMS, np.empty(0, np.uint64), np.empty(0, np.int64), bits)
         block = read(table)
-        two, three, _ = block.grams(classed(block, told)[0])
-        both, learned = np.concatenate([two, three]), np.concatenate([block.learn, block.learn])
-        keys, place = np.unique(both, return_inverse=True)
-        return packed(table.column("block")[0].as_py(), GRAMS, keys, np.bincount(place[learned & (both > 0)], minlength=len(keys)), bits)
+        two, three = block.grams(named(block, told)[0])
+        learned = np.concatenate([two[block.learn], three[block.learn & (three > 0)]])
+        return packed(table.column("block")[0].as_py(), GRAMS, *counted(np.concatenate([two, three]), learned), bits)
 
     sides = dealt.groupBy("block").cogroup(words.select("block", "kind", "part", "totals").groupBy("block"))
     grams = materialize(summed(sides.applyInArrow(ask_grams, ASKED)), "grams")
@@ -220,11 +231,10 @@ def score(docs: DataFrame, learn: Column, doc: str = "doc_id", text: str = "text
         if not table.num_rows:
             return schema_table(schema, [[]] * 6, table)
         block = read(table)
-        classes, count = classed(block, told)
-        two, three, _ = block.grams(classes)
-        automaton = Automaton(totals, np.unique(np.concatenate([two, three])), unpacked(told, GRAMS))
+        names, count = named(block, told)
+        automaton = Automaton(totals, distinct(np.concatenate(block.grams(names))), unpacked(told, GRAMS))
         single = (count + 1) / totals.z
-        each = automaton.walk(block, classes, single, count)
+        each = automaton.walk(block, names, single, count)
         add = lambda x: np.add.reduceat(x, block.starts)
         known = add((count > 0).astype(np.int64))
         return schema_table(schema, [table.column("doc"), block.sizes, known, np.full(len(known), totals.n), add(np.log10(single)), add(np.log10(each))], table)

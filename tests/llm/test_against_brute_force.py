@@ -232,6 +232,15 @@ def test_language_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_language_model_keeps_pairs_of_rare_words(spark):
+    """Words seen three times among 40,000 tokens still have bigrams of their own."""
+    texts = ["left1 right1", "left1 right2"] + ["left1 right1 left2 right2"] * 3 + [" ".join(f"f{(i * j) % 97}" for j in range(200)) for i in range(1, 201)]
+    docs = docs_of(spark, texts, null_id=False).distinct()
+    got = {r.doc_id: r for r in scoring.score(docs, learn=docs.doc_id > 2).where("doc_id < 3").collect()}
+    assert got[1].base_score == pytest.approx(got[2].base_score, rel=1e-12)
+    assert got[1].score > got[2].score + 0.5
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
