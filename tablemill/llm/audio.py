@@ -122,15 +122,19 @@ def errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
 
 
 def classes(prints: DataFrame, key: str) -> DataFrame:
-    """For each distinct fingerprint its smallest key as `rep`."""
-    return prints.where(F.col("prints").isNotNull() & F.col(key).isNotNull()).groupBy("prints").agg(F.min(key).alias("rep"))
+    """For each distinct fingerprint its smallest key as `rep`, and whether other keys have it (`copied`)."""
+    found = prints.where(F.col("prints").isNotNull() & F.col(key).isNotNull()).groupBy("prints")
+    return found.agg(F.min(key).alias("rep"), (F.min(key) < F.max(key)).alias("copied"))
 
 
 def search(prints: DataFrame, queries: DataFrame, key: str, most_errors: float = MOST_ERRORS) -> DataFrame:
-    """Matches of query classes with all other classes: `query`, `match` (representatives),
-    `offset` of the match's frames against the query's, `overlap` and `error`. prints and
-    queries are results of `fingerprints`."""
-    all_, asked = materialize(classes(prints, key), "prints"), materialize(classes(queries, key), "queries")
+    """Matches of query classes with all classes of prints: `query`, `match` (representatives),
+    `offset` of the match's frames against the query's, `overlap` and `error`. A query class
+    matches itself, at offset 0 without errors, if it has other keys. prints and queries are
+    results of `fingerprints`; a class has one representative, the smallest key of both."""
+    named = materialize(classes(prints.select(key, "prints").unionByName(queries.select(key, "prints")), key), "classes")
+    all_ = materialize(named.join(prints.select("prints"), "prints", "left_semi"), "prints")
+    asked = materialize(named.join(queries.select("prints"), "prints", "left_semi"), "queries")
 
     def landmarks(df: DataFrame, name: str, place: str) -> DataFrame:
         kind = df.schema["rep"].dataType.simpleString()
@@ -160,7 +164,9 @@ def search(prints: DataFrame, queries: DataFrame, key: str, most_errors: float =
             out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([n for _, n in got], pa.int64()), pa.array([e for e, _ in got], pa.float64())], ["query", "match", "offset", "overlap", "error"])
             yield out.filter(pa.array([e <= most_errors for e, _ in got], pa.bool_()))
 
-    return both.mapInArrow(compare, both.select("query", "match", "offset").schema.add("overlap", "long").add("error", "double"))
+    found = both.mapInArrow(compare, both.select("query", "match", "offset").schema.add("overlap", "long").add("error", "double"))
+    frames = (F.octet_length("prints") / 4).cast("long")
+    return found.unionByName(asked.where("copied").select(F.col("rep").alias("query"), F.col("rep").alias("match"), F.lit(0).alias("offset"), frames.alias("overlap"), F.lit(0.0).alias("error")))
 
 
 def rendered(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", rate: int = 4000, note: int = 256) -> DataFrame:

@@ -95,22 +95,25 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings are rendered from `embeddings`, the only table of signals. Queries are the ids
-    divisible by 20; one row for each of them: its class, how many other classes match it, and
-    the nearest of those."""
+    divisible by 20. Every row has its class (the smallest id of equal fingerprints); a query has
+    one row for each class that matches it, its own among them if other ids are in that, and how
+    many those are. Rows that are no queries, and queries without a match, have one row."""
     prints = materialize(audio.fingerprints(audio.rendered(table(spark, sf_dir, "embeddings")), "vec_id", "audio"), "prints")
-    asked = prints.where("vec_id % 20 = 0")
-    nearest = F.min(F.struct("error", "match", "offset"))
-    found = audio.search(prints, asked, "vec_id").groupBy("query").agg(F.count(F.lit(1)).alias("n_matches"), nearest.alias("near"))
-    named = asked.join(audio.classes(asked, "vec_id"), "prints", "left").join(found.withColumnRenamed("query", "rep"), "rep", "left")
+    is_query = F.col("vec_id") % 20 == 0
+    found = materialize(audio.search(prints, prints.where(is_query), "vec_id"), "matches")
+    counts = found.groupBy("query").agg(F.count(F.lit(1)).alias("n_matches"))
+    found = found.join(counts, "query").withColumn("asked", F.lit(True))
+    members = prints.join(audio.classes(prints, "vec_id"), "prints", "left").withColumn("asked", is_query)
+    named = members.join(found.withColumnRenamed("query", "rep"), ["rep", "asked"], "left")
     return named.select(
         "vec_id",
         (F.octet_length("prints") / 4).cast("long").alias("n_prints"),
         F.sha2("prints", 256).alias("prints_sha256"),
         F.col("rep").alias("class_id"),
         F.coalesce("n_matches", F.lit(0)).alias("n_matches"),
-        F.col("near.match").alias("match_id"),
-        F.col("near.offset").alias("match_offset"),
-        F.col("near.error").alias("bit_error"),
+        F.col("match").alias("match_id"),
+        F.col("offset").alias("match_offset"),
+        F.col("error").alias("bit_error"),
     )
 
 

@@ -160,6 +160,18 @@ def test_audio_search_equals_brute_force_over_pairs(spark):
     assert want == 0 or have >= 0.9 * want
 
 
+def test_audio_query_returns_every_match_and_all_members(spark, tmp_path):
+    """20 and 33 are equal, 40 is equal to 7 and has two cut copies."""
+    vectors = [(20, tune(1)), (33, tune(1)), (7, tune(2)), (40, tune(2)), (41, tune(2)[8:]), (42, tune(2)[:56]), (60, tune(3)), (61, None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    rows = queries.op10_audio(spark, f"file://{tmp_path}").collect()
+    assert {(r.vec_id, r.class_id) for r in rows} == {(20, 20), (33, 20), (7, 7), (40, 7), (41, 41), (42, 42), (60, 60), (61, None)}
+    matches = {(r.vec_id, r.match_id): r for r in rows if r.match_id is not None}
+    assert set(matches) == {(20, 20), (40, 7), (40, 41), (40, 42)} and len(rows) == 10
+    assert matches[20, 20].bit_error == 0 and matches[40, 41].match_offset == -16 and matches[40, 42].match_offset == 0
+    assert {r.vec_id: r.n_matches for r in rows} == {20: 1, 33: 0, 7: 0, 40: 3, 41: 0, 42: 0, 60: 0, 61: 0}
+
+
 # --- edge cases of all operators
 
 
