@@ -4,12 +4,15 @@ A recording (PCM WAV bytes in a column) is cut into overlapping frames; each fra
 folded into 12 pitch classes. Sixteen filters of the kinds in `FILTERS` compare sums of
 rectangles of the (frame, pitch class) image, taken in constant time from its integral image;
 each answer is one of four levels, two Gray-coded bits, so a frame gives a packed 32-bit
-integer. Recordings with equal fingerprints are one class. A search joins landmarks (integers
-picked by their own hash, so both sides pick alike) and counts offsets for each pair of classes;
-the best offset is checked by the share of differing bits over the whole overlap.
+integer. Recordings with equal fingerprints are one class. A search joins landmarks (of every
+frame, each three of its integer's four bytes, so errors in one byte leave one landmark) and
+counts offsets for each pair of classes; every offset with LEAST_VOTES is checked by the share of
+differing bits over the whole overlap, and of those that pass the one with the most agreeing
+bits over chance is the match.
 
 Landmarks are joined by value: pairs are only those of a query class and another class that
-share LEAST_VOTES landmarks at one offset. Nothing is gathered in one task: offsets are counted
+share LEAST_VOTES landmarks at one offset, so the search is not exact: with errors in nearly all
+frames, pairs near MOST_ERRORS share too few. Nothing is gathered in one task: offsets are counted
 with partial sums, and the bit errors of a pair need just the two fingerprints.
 
 Defined cases: null, empty or unreadable bytes, and recordings shorter than the widest filter,
@@ -37,7 +40,9 @@ FILTERS = tuple((k, c, h, w) for k, c, h, w in zip([0, 1, 2, 3] * 4, [0, 4, 8, 2
 WIDEST = 16
 #: Levels of the log ratio of both halves, and their Gray code.
 LEVELS, GRAY = np.array([-0.35, 0.0, 0.35]), np.array([0, 1, 3, 2], np.uint32)
-PICK, LEAST_VOTES, MOST_ERRORS = 4, 2, 0.30
+LEAST_VOTES, MOST_ERRORS = 2, 0.30
+#: Bits of a frame's integer that make a landmark: all but one byte.
+MASKS = np.array([0xFFFFFF, 0xFFFF00FF, 0xFF00FFFF, 0xFFFFFF00], np.uint32)
 
 
 def samples_of(data: bytes | None) -> tuple[np.ndarray, int]:
@@ -142,19 +147,18 @@ def search(prints: DataFrame, queries: DataFrame, key: str, most_errors: float =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rep, p = batch.column("rep"), batch.column("prints").to_pylist()
-                each = [np.frombuffer(x, "<u4") for x in p]
-                picked = [np.flatnonzero((x * np.uint32(2654435761)) >> np.uint32(20) & np.uint32(PICK - 1) == 0) for x in each]
-                rows = np.repeat(np.arange(len(each)), [len(x) for x in picked])
-                marks = np.concatenate([x[i] for x, i in zip(each, picked)]) if each else np.empty(0, np.uint32)
-                where = np.concatenate(picked) if picked else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([rep.take(pa.array(rows)), pa.array(marks.astype(np.int64)), pa.array(where.astype(np.int32))], [name, "mark", place])
+                sizes = np.array([len(x) // 4 for x in p], np.int64)
+                each = np.frombuffer(b"".join(p), "<u4")
+                rows = np.tile(np.repeat(np.arange(len(p)), sizes), len(MASKS))
+                where = np.tile(np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes), len(MASKS))
+                marks = np.concatenate([(each & m).astype(np.int64) << 2 | k for k, m in enumerate(MASKS)])
+                yield pa.RecordBatch.from_arrays([rep.take(pa.array(rows)), pa.array(marks), pa.array(where.astype(np.int32))], [name, "mark", place])
 
         return df.mapInArrow(run, f"{name} {kind}, mark long, {place} int")
 
     hits = landmarks(asked, "query", "qp").join(landmarks(all_, "match", "mp"), "mark").where("query <> match")
     votes = hits.groupBy("query", "match", (F.col("mp") - F.col("qp")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("query", "match").agg(F.max(F.struct("votes", -F.abs("offset"), "offset")).alias("b")).where(F.col("b.votes") >= LEAST_VOTES)
-    pairs = best.select("query", "match", F.col("b.offset").alias("offset"))
+    pairs = votes.where(F.col("votes") >= LEAST_VOTES).select("query", "match", "offset")
     both = pairs.join(asked.select(F.col("rep").alias("query"), F.col("prints").alias("qx")), "query").join(all_.select(F.col("rep").alias("match"), F.col("prints").alias("mx")), "match")
     both = both.select("query", "match", "offset", "qx", "mx")
 
@@ -165,6 +169,9 @@ def search(prints: DataFrame, queries: DataFrame, key: str, most_errors: float =
             yield out.filter(pa.array([e <= most_errors for e, _ in got], pa.bool_()))
 
     found = both.mapInArrow(compare, both.select("query", "match", "offset").schema.add("overlap", "long").add("error", "double"))
+    agreeing = F.col("overlap") * (1 - 2 * F.col("error"))
+    best = found.groupBy("query", "match").agg(F.max(F.struct(agreeing, -F.abs("offset"), "offset", "overlap", "error")).alias("b"))
+    found = best.select("query", "match", "b.offset", "b.overlap", "b.error")
     frames = (F.octet_length("prints") / 4).cast("long")
     return found.unionByName(asked.where("copied").select(F.col("rep").alias("query"), F.col("rep").alias("match"), F.lit(0).alias("offset"), frames.alias("overlap"), F.lit(0.0).alias("error")))
 

@@ -172,6 +172,38 @@ def test_audio_query_returns_every_match_and_all_members(spark, tmp_path):
     assert {r.vec_id: r.n_matches for r in rows} == {20: 1, 33: 0, 7: 0, 40: 3, 41: 0, 42: 0, 60: 0, 61: 0}
 
 
+def test_audio_recall_at_most_errors(spark):
+    """Copies with some notes changed and cut at the front, against brute force: pairs with an
+    error of MOST_ERRORS at most, at any offset that leaves half of the shorter recording."""
+    random = np.random.default_rng(5)
+    vectors = []
+    for i in range(120):
+        copy = np.array(tune(i))
+        changed = random.random(64) < (0.02, 0.05, 0.1, 0.15, 0.2, 0.3)[i % 6]
+        copy[changed] = random.uniform(-0.5, 0.5, changed.sum())
+        vectors += [(i, tune(i)), (1000 + i, copy[i % 5 :].tolist())]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    rows = audio.fingerprints(audio.rendered(df), "vec_id", "audio").collect()
+    bits = {r.vec_id: np.unpackbits(np.frombuffer(r.prints, np.uint8)).reshape(-1, 32) * np.float32(2) - 1 for r in rows}
+    prints = spark.createDataFrame(rows, "vec_id long, prints binary")
+    want, others = {}, sorted(bits)
+    for q in range(120):
+        for m in others[120:]:
+            a, b = bits[q], bits[m]
+            for o in range(-len(a) + 1, len(b)):
+                lo, hi = max(0, -o), min(len(a), len(b) - o)
+                if 2 * (hi - lo) >= min(len(a), len(b)):
+                    error = (1 - np.vdot(a[lo:hi], b[lo + o : hi + o]) / (32 * (hi - lo))) / 2
+                    if error <= audio.MOST_ERRORS:
+                        want[q, m] = min(error, want.get((q, m), 1))
+    found = {(r.query, r.match) for r in audio.search(prints, prints.where("vec_id < 1000"), "vec_id").collect()}
+    for low, high in ((0, 0.1), (0.1, 0.2), (0.2, 0.25), (0.25, 0.3)):
+        some = [p for p, e in want.items() if low < e <= high]
+        print("errors", low, high, "pairs", len(some), "found", sum(p in found for p in some))
+    print("recall", len(found & set(want)) / len(want), "of", len(want), "matches beside", len(found - set(want)))
+    assert len(want) >= 80 and len(found & set(want)) >= 0.9 * len(want)
+
+
 # --- edge cases of all operators
 
 
