@@ -3,7 +3,10 @@
 A line's quote level is the number of > marks before it. Quoted lines are normalised (A-Z in
 lower case, white space collapsed) and hashed, and joined to the messages that wrote the same
 line themselves: to the first earlier turn of the same conversation, else to the first message
-of all, by (conversation, turn), if that is earlier. A message answers the latest message that
+of all, by (conversation, turn), if that is earlier. Lines under MIN_CHARS characters join only
+their own conversation by themselves; elsewhere they join as part of their passage (a run of lines
+of one level without blank ones), if that has MIN_CHARS, and in both cases the message that wrote
+the whole passage goes before one that wrote the line. A message answers the latest message that
 it quotes at its lowest linked level; without a link it answers the turn before it. Following
 answers upwards by pointer jumping gives each message its thread (the root) and its depth, so
 rows ordered by (root, depth, conversation, turn) are the conversations in reply order, without
@@ -13,8 +16,8 @@ Originals are reduced to their first place in each task before the shuffle, so a
 third of all messages hold joins as one row; quoting rows of a hot line or of a hot message meet
 one row each, and Spark splits them where they are skewed. A conversation is never gathered.
 
-Defined cases: null and empty texts hold no lines and stay as they are; quoted lines under
-MIN_CHARS characters are dropped but not linked; rows that share (conversation, turn) are one
+Defined cases: null and empty texts hold no lines and stay as they are; blank
+quoted lines are dropped but not linked; rows that share (conversation, turn) are one
 message and get equal results; rows with a null key are their own threads of depth 0; gaps in
 turns start a new thread; an empty table gives an empty result.
 """
@@ -28,6 +31,8 @@ from tablemill.llm.common import ascii_lower, materialize
 
 MIN_CHARS = 8
 MARKS = r"^((?:[ \t]*>)*)"
+#: A passage among lines written as line end, level, tab and normalised line.
+PASSAGE = r"\n([0-9]+)\t[^\n]++(?:\n\1\t[^\n]++)*+"
 
 
 def level_of(line: Column) -> Column:
@@ -47,18 +52,28 @@ def threads(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text
     """conv, turn and keep columns, `own_text`, `n_quoted` lines, `n_linked` of them, `max_level`,
     `parent_conv`, `parent_turn`, `root_conv`, `root_turn` and `depth` for every row."""
     source = messages.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.col(text).alias("x"), *keep)
-    lines = source.select("c", "t", F.explode(F.split("x", "\n")).alias("line")).withColumn("level", level_of(F.col("line")))
-    lines = lines.withColumn("norm", normal(F.col("line"))).where(F.length("norm") >= min_chars)
-    lines = lines.where("c is not null and t is not null").select("c", "t", "level", F.md5("norm").alias("h"))
-    own = lines.where("level = 0")
-    quoted = lines.where("level > 0").groupBy("c", "t", "h").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("k"))
-    inside = own.groupBy("h", "c").agg(F.min("t").alias("ti"))
-    anywhere = own.groupBy("h").agg(F.min(F.struct("c", "t")).alias("first"))
-    found = quoted.join(inside, ["h", "c"], "left").join(anywhere, "h", "left")
+    coded = F.transform(F.split("x", "\n"), lambda x: F.concat(F.lit("\n"), level_of(x).cast("string"), F.lit("\t"), normal(x)))
+    runs = source.where("c is not null and t is not null").select("c", "t", F.explode(F.regexp_extract_all(F.array_join(coded, ""), F.lit(PASSAGE), F.lit(0))).alias("run"))
+    passage = F.regexp_replace(F.regexp_replace("run", r"\n[0-9]+\t", "\n"), r"^\n", "")
+    runs = runs.select("c", "t", F.regexp_extract("run", r"^\n([0-9]+)\t", 1).cast("int").alias("level"), passage.alias("passage"))
+    each = F.split("passage", "\n")
+    own = runs.where("level = 0").select("c", "t", F.explode(F.array_distinct(F.concat(F.array("passage"), each))).alias("u")).select("c", "t", F.md5("u").alias("key"))
+    quoted = runs.where("level > 0").select("c", "t", "level", F.md5("passage").alias("p"), (F.length("passage") >= min_chars).alias("wide"), F.explode(each).alias("line"))
+    quoted = quoted.select("c", "t", "level", "p", "wide", F.md5("line").alias("h"), (F.length("line") >= min_chars).alias("long"))
+    quoted = quoted.groupBy("c", "t", "h", "p", "wide", "long").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("k"))
+    alone = F.struct(F.lit(0).alias("whole"), F.col("h").alias("key"), F.col("long").alias("far"))
+    among = F.struct(F.lit(1).alias("whole"), F.col("p").alias("key"), F.col("wide").alias("far"))
+    asked = quoted.select("c", "t", "h", "p", "level", "k", F.explode(F.when(F.col("long") | (F.col("h") == F.col("p")), F.array(alone)).otherwise(F.array(alone, among))).alias("a"))
+    # what may not leave its conversation gets a key that no line has, unlike for each message
+    asked = asked.select("c", "t", "h", "p", "level", "k", "a.whole", "a.key", F.when(F.col("a.far"), F.col("a.key")).otherwise(F.concat_ws(" ", "a.key", "c", "t")).alias("far"))
+    inside = own.groupBy("key", "c").agg(F.min("t").alias("ti"))
+    anywhere = own.groupBy(F.col("key").alias("far")).agg(F.min(F.struct("c", "t")).alias("first"))
+    found = asked.join(inside, ["key", "c"], "left").join(anywhere, "far", "left")
     here = F.struct("c", "t")
     origin = F.when(F.col("ti") < F.col("t"), F.struct("c", F.col("ti").alias("t"))).when(F.col("first") < here, F.col("first"))
-    found = found.withColumn("origin", origin)
-    linked = found.where("origin is not null").groupBy("c", "t").agg(F.sum("k").alias("n_linked"), F.max(F.struct(-F.col("level"), F.col("origin"))).alias("best"))
+    found = found.withColumn("origin", origin).where("origin is not null")
+    found = found.groupBy("c", "t", "h", "p", "level", "k").agg(F.max(F.struct("whole", "origin")).alias("o")).select("c", "t", "level", "k", "o.origin")
+    linked = found.groupBy("c", "t").agg(F.sum("k").alias("n_linked"), F.max(F.struct(-F.col("level"), F.col("origin"))).alias("best"))
     links = linked.select("c", "t", "n_linked", F.col("best.origin").alias("origin"))
 
     nodes = source.select("c", "t").where("c is not null and t is not null").distinct()

@@ -116,6 +116,15 @@ def test_threads(spark):
     assert replies.threads(messages.limit(0)).count() == 0
 
 
+def test_threads_link_short_lines_and_passages(spark):
+    talk = [(1, 0, "u", "Yes.\nx = 1"), (1, 1, "u", "roses\nred\n\nviolets"), (1, 2, "u", "red"), (1, 3, "u", "> x = 1\n>\nok"), (1, 4, "u", "> roses\n> red\n"), (1, 5, "u", "\u4eca\u65e5\u306f")]
+    talk += [(1, 6, "u", "a\n> \u4eca\u65e5\u306f"), (2, 0, "u", "> Yes.\nhot stranger"), (3, 0, "u", "> Roses\n> red\nfrom elsewhere")]
+    got = {(r.conv_id, r.turn): r for r in replies.threads(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[1, t].n_linked, got[1, t].parent_turn, got[1, t].depth) for t in (3, 4, 6)] == [(1, 0, 1), (2, 1, 2), (1, 5, 4)]
+    assert (got[2, 0].n_linked, got[2, 0].parent_conv) == (0, None)
+    assert (got[3, 0].n_linked, got[3, 0].parent_conv, got[3, 0].parent_turn) == (2, 1, 1)
+
+
 def test_replies_use_no_python(spark):
     plan = replies.threads(table(spark, SMALL, "conversations"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
