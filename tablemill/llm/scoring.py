@@ -2,17 +2,22 @@
 
 The model is an n-gram model of order 3 over words and an end token, smoothed by Dirichlet
 priors: p(w | v) = (c(vw) + K2 p(w)) / (c(v) + K2), p(w | uv) = (c(uvw) + K3 p(w | v)) / (c(uv) + K3),
-p(w) = (c(w) + 1) / (N + V + 1). As an automaton, histories with a count are states; an arc carries
-the probability of a seen continuation, a failure arc leads to the shorter history and carries
-the left-over mass (K / (c + K)), so a text is scored in one pass from left to right that keeps
-the state (the longest seen history) and sums logarithms. Every word of a training text has
-n-grams of its own; all other words are one unknown word, so the probabilities of all words and
-of the unknown one add to 1 after every history.
+p(w) = (c(w) + 1) / (N + V + 1). As an automaton (`Automaton`), histories with a count are states;
+an arc carries the log-probability of a seen continuation and leads to the longest seen history
+that ends with it; a failure arc leads to the shorter history and carries the left-over mass,
+log K / (c + K); the root has an arc for every word. A text is scored in one traversal from left
+to right that carries the state, follows failure arcs until the next word has an arc, and adds
+up what the arcs carry. Every word of a training text has n-grams of its own; all other words
+are one unknown word, so the probabilities of all words and of the unknown one add to 1 after
+every history.
 
 Counts cover all training texts and grow with them; nothing of them is broadcast or collected
-but a few totals. Documents are dealt into blocks of about BLOCK_BYTES, once. A block's distinct
-words (then n-grams) are summed up in hash ranges and the totals come back to the blocks that
-asked, packed as arrays; so each block holds just its own part of the automaton.
+but a few totals. Texts are read once, where they lie, and written as blocks of word numbers (of
+about BLOCK_BYTES of text, however well the files compress); texts are never shuffled. A block's
+distinct words, then its distinct n-grams, are summed up in hash ranges, and the totals come back
+to the blocks that asked, packed as arrays; so each block builds just the part of the automaton
+that its own texts can reach, in memory bounded by the block. A text longer than a block is a
+block of its own.
 
 Defined cases: null and empty texts are the end token alone; rows with a null id are never
 training rows; repeated rows count as often as they stand; an empty table gives an empty result;
@@ -23,135 +28,88 @@ are ignored.
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablemill.llm.common import input_bytes, materialize
 from tablemill.llm.wordhash import WordHashes, mixed
 
-BLOCK_BYTES, K2, K3 = 12_000_000, 50.0, 20.0
-#: Share of all tokens under which words lose their n-grams: none do. Only the tests' model reads it.
-FREQUENT = 0.0
+BLOCK_BYTES, K2, K3 = 4_000_000, 50.0, 20.0
 END, BEGIN, UNKNOWN = np.uint64(0x51ED270B35F2A4C7), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 TWO, THREE, STEP = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3), np.uint64(0x9E3779B97F4A7C15)
-WORDS, GRAMS = 1, 2
+TEXTS, ASKED = 0, 1
+#: Tokens that one lane of a traversal takes. A lane inside a text starts two tokens early, at the
+#: root: after them it is in the state that the text's own traversal has there.
+LANE, LEAD = 256, 2
 
 
-class Block:
-    """The tokens of a block's texts, laid end to end: each text's words, then the end."""
-
-    def __init__(self, texts: list[bytes | None], learn: np.ndarray, hashes: WordHashes):
-        parts, sizes = [], []
-        for t in texts:
-            words = t.lower().split() if t else []
-            parts += [hashes.of(words), np.array([END])]
-            sizes.append(len(words) + 1)
-        self.tokens = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        self.sizes = np.array(sizes, np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.learn = np.repeat(learn, self.sizes)
-
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct tokens and how often training texts hold them."""
-        keys, place = np.unique(self.tokens, return_inverse=True)
-        self.place = place
-        return keys, np.bincount(place[self.learn], minlength=len(keys))
-
-    def grams(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the bigram and the trigram that end at each token (0: there is none: a
-        text's first token has no trigram)."""
-        before = np.concatenate([[BEGIN], names[:-1]])
-        before[self.starts] = BEGIN
-        two = mixed((before * STEP + names) ^ TWO)
-        far = np.concatenate([[BEGIN], before[:-1]])
-        three = mixed((far * STEP + before) * STEP + names ^ THREE)
-        three[self.starts] = 0
-        return two, three
-
-    def earlier(self, counts: np.ndarray, first: float) -> np.ndarray:
-        """What the token before each token has; first at the start of a text."""
-        out = np.concatenate([[first], counts[:-1]])
-        out[self.starts] = first
-        return out
-
-
-def firsts(ordered: np.ndarray) -> np.ndarray:
-    """Where each distinct value of a sorted array begins."""
-    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+def pressed(x: np.ndarray) -> bytes:
+    """An array of unsigned integers, byte by byte of its numbers, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
 
-def distinct(keys: np.ndarray) -> np.ndarray:
-    ordered = np.sort(keys)
-    return ordered[firsts(ordered)]
+def opened(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-def counted(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how often learned holds them. Sorts values alone: a block has few
-    n-grams that repeat, so an index of all places would be its largest array."""
-    keys, learned = distinct(keys), np.sort(learned)
-    at = firsts(learned)
-    counts = np.zeros(len(keys), np.int64)
-    counts[np.searchsorted(keys, learned[at])] = np.diff(at, append=len(learned))
-    return keys, counts
-
-
-def packed(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.Table:
-    """Sorted keys and counts, cut into 2**bits ranges of the hash."""
+def packed(block: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> dict[str, list]:
+    """Sorted keys (as steps from one to the next) and counts, cut into 2**bits ranges."""
     ranges = (keys >> np.uint64(64 - bits)).astype(np.int64)
     cuts = np.searchsorted(ranges, np.arange((1 << bits) + 1))
     used = [r for r in range(1 << bits) if cuts[r + 1] > cuts[r]]
-    low, counts = keys.astype("<u8"), counts.astype("<u4")
-    return pa.table(
-        {
-            "block": pa.array([block] * len(used), pa.int64()),
-            "kind": pa.array([kind] * len(used), pa.int32()),
-            "part": pa.array(used, pa.int64()),
-            "keys": pa.array([low[cuts[r] : cuts[r + 1]].tobytes() for r in used], pa.binary()),
-            "counts": pa.array([counts[cuts[r] : cuts[r + 1]].tobytes() for r in used], pa.binary()),
-        }
-    )
+    steps, counts = np.diff(keys, prepend=np.uint64(0)).astype("<u8"), counts.astype("<u4")
+    steps[cuts[used]] = keys[cuts[used]]
+    blobs = [[pressed(x[cuts[r] : cuts[r + 1]]) for r in used] for x in (steps, counts)]
+    return {"block": [block] * len(used), "part": used, "keys": blobs[0], "counts": blobs[1]}
 
 
-ASKED = "block long, kind int, part long, keys binary, counts binary"
+ASKED_COLUMNS = [("block", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]
+ASKED_SCHEMA = "block long, part long, keys binary, counts binary"
 #: n, v: tokens and distinct tokens of the range. Given in a range's first row, 0 in the others.
-TOLD = "block long, kind int, part long, totals binary, n long, v long"
+TOLD_SCHEMA = "block long, part long, totals binary, n long, v long"
+
+
+def asked_table(asked: dict[str, list]) -> pa.Table:
+    return pa.table({c: pa.array(asked[c], k) for c, k in ASKED_COLUMNS})
 
 
 def summed(asked: DataFrame) -> DataFrame:
     """Total counts of each range, sent back to the blocks in the order in which they asked."""
 
     def run(table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]).astype(np.int64)
+        blobs = [np.cumsum(opened(x, "<u8"), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+        counts = np.concatenate([opened(x, "<u4") for x in table.column("counts").to_pylist()])
         keys, place = np.unique(np.concatenate(blobs), return_inverse=True)
-        totals = np.zeros(len(keys), np.int64)
-        np.add.at(totals, place, counts)
+        # sums of whole numbers, exact in doubles up to 2**53
+        totals = np.bincount(place, weights=counts, minlength=len(keys)).astype("<u8")
         cuts = np.cumsum([0] + [len(x) for x in blobs])
-        back = [totals[place[a:b]].astype("<i8" if totals.max(initial=0) >= 2**32 else "<u4") for a, b in zip(cuts, cuts[1:])]
-        width = back[0].itemsize
-        seen = totals[totals > 0]
         k = len(blobs)
         return pa.table(
             {
                 "block": table.column("block").combine_chunks(),
-                "kind": table.column("kind").combine_chunks(),
                 "part": table.column("part").combine_chunks(),
-                "totals": pa.array([bytes([width]) + x.tobytes() for x in back], pa.binary()),
-                "n": pa.array([int(seen.sum())] + [0] * (k - 1), pa.int64()),
-                "v": pa.array([len(seen)] + [0] * (k - 1), pa.int64()),
+                "totals": pa.array([pressed(totals[place[a:b]]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                "n": pa.array([int(totals.sum())] + [0] * (k - 1), pa.int64()),
+                "v": pa.array([int((totals > 0).sum())] + [0] * (k - 1), pa.int64()),
             }
         )
 
-    return asked.groupBy("part").applyInArrow(run, TOLD)
+    return asked.groupBy("part").applyInArrow(run, TOLD_SCHEMA)
 
 
-def unpacked(told: pa.Table, kind: int) -> np.ndarray:
+def unpacked(told: pa.Table) -> np.ndarray:
     """Totals of a block's sorted keys."""
-    rows = sorted((p, t) for k, p, t in zip(*(told.column(c).to_pylist() for c in ("kind", "part", "totals"))) if k == kind)
-    return np.concatenate([np.frombuffer(t, "<i8" if t[0] == 8 else "<u4", offset=1) for _, t in rows]).astype(np.int64) if rows else np.empty(0, np.int64)
+    rows = sorted(zip(told.column("part").to_pylist(), told.column("totals").to_pylist()))
+    return np.concatenate([opened(t, "<u8") for _, t in rows]).astype(np.int64) if rows else np.empty(0, np.int64)
 
 
 class Totals:
@@ -162,88 +120,209 @@ class Totals:
         self.z = n + v + 1
 
 
-def totals_of(told: DataFrame, texts: int) -> Totals:
-    r = told.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    return Totals(r.n or 0, r.v or 0, texts)
+def blocked(docs: DataFrame, block_bytes: int, bits: int) -> DataFrame:
+    """docs (doc, t, learn) as rows of two kinds: TEXTS, a block's texts end to end as numbers
+    of its words, the most frequent word first; and ASKED, its words in hash ranges with how often
+    training texts hold them."""
+    kind = docs.schema["doc"].dataType
+    schema = T.StructType().add("kind", "integer").add("docs", T.ArrayType(kind)).add("sizes", "binary").add("learn", "binary").add("tokens", "binary").add("vocabulary", "binary")
+    schema = T.StructType([*schema, *T._parse_datatype_string(ASKED_SCHEMA)])
+
+    def of(doc: pa.Array, texts: list[bytes | None], learn: np.ndarray, hashes: WordHashes) -> pa.RecordBatch:
+        words = [t.lower().split() if t else [] for t in texts]
+        sizes = np.array([len(w) + 1 for w in words], "<u4")
+        flat = np.concatenate([x for w in words for x in (hashes.of(w), np.array([END]))])
+        keys, place, often = np.unique(flat, return_inverse=True, return_counts=True)
+        taught = np.bincount(place[np.repeat(learn, sizes)], minlength=len(keys))
+        rank = np.argsort(-often, kind="stable")
+        number = np.empty(len(keys), "<u4")
+        number[rank] = np.arange(len(keys))
+        block = uuid.uuid4().int >> 65
+        asked = packed(block, keys, taught, bits)
+        k = len(asked["part"])
+        body = {
+            "kind": pa.array([TEXTS] + [ASKED] * k, pa.int32()),
+            "docs": pa.ListArray.from_arrays(pa.array([0] + [len(doc)] * (k + 1), pa.int32()), doc, mask=pa.array([False] + [True] * k)),
+            "sizes": pa.array([pressed(sizes)] + [None] * k, pa.binary()),
+            "learn": pa.array([learn.tobytes()] + [None] * k, pa.binary()),
+            "tokens": pa.array([pressed(number[place])] + [None] * k, pa.binary()),
+            "vocabulary": pa.array([pressed(keys[rank].astype("<u8"))] + [None] * k, pa.binary()),
+        }
+        body |= {c: pa.array([block if c == "block" else None, *asked[c]], t) for c, t in ASKED_COLUMNS}
+        return pa.RecordBatch.from_arrays(list(body.values()), schema.names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            whole = pa.concat_batches([x for x, _ in held])
+            learn = whole.column(2).to_numpy(zero_copy_only=False)
+            return of(whole.column(0), [t for _, ts in held for t in ts], learn, hashes)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = part.column(1).to_pylist()
+                held.append((part, texts))
+                size += sum(len(t or b"") for t in texts)
+                if size >= block_bytes:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return docs.mapInArrow(run, schema)
 
-class Automaton:
-    """A block's part of the automaton: its n-grams with their counts."""
 
-    def __init__(self, totals: Totals, keys: np.ndarray, counts: np.ndarray):
-        self.totals, self.keys, self.counts = totals, keys, counts
+class Block:
+    """A block's texts as tokens of its own numbering: its words by rank, then the unknown word
+    and what stands before a text; and its distinct bigrams and trigrams."""
+
+    def __init__(self, row: pa.Table, told: pa.Table):
+        self.docs = row.column("docs").chunk(0).flatten()
+        self.sizes = opened(row.column("sizes")[0].as_py(), "<u4").astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.learn = np.repeat(np.frombuffer(row.column("learn")[0].as_py(), bool), self.sizes)
+        words = opened(row.column("vocabulary")[0].as_py(), "<u8")
+        self.hashes = np.concatenate([words, [UNKNOWN, BEGIN]])
+        self.count = np.zeros(len(words), np.int64)
+        self.count[np.argsort(words)] = unpacked(told)
+        self.unknown, self.begin, self.m = len(words), len(words) + 1, len(words) + 2
+        name = np.where(self.count > 0, np.arange(len(words)), self.unknown)
+        self.tokens = name[opened(row.column("tokens")[0].as_py(), "<u4")]
+        self.count = np.append(self.count, 0)
+        before = np.concatenate([[self.begin], self.tokens[:-1]])
+        before[self.starts] = self.begin
+        # a bigram's key is (first, second); a trigram's is (place of its first two, third)
+        self.two, self.place2 = np.unique(before * self.m + self.tokens, return_inverse=True)
+        third = np.ones(len(self.tokens), bool)
+        third[self.starts] = False
+        self.third = np.flatnonzero(third)
+        self.three, first, self.place3 = np.unique(self.place2[self.third - 1] * self.m + self.tokens[self.third], return_index=True, return_inverse=True)
+        #: The bigram that a trigram ends with.
+        self.tail = self.place2[self.third[first]]
+
+    def grams(self) -> np.ndarray:
+        """A hash of each distinct bigram, then of each distinct trigram, equal in all blocks."""
+        h, m = self.hashes, self.m
+        pair = h[self.two // m] * STEP + h[self.two % m]
+        return np.concatenate([mixed(pair ^ TWO), mixed((pair[self.three // m] * STEP + h[self.three % m]) ^ THREE)])
+
+    def taught(self) -> np.ndarray:
+        two = np.bincount(self.place2[self.learn], minlength=len(self.two))
+        return np.concatenate([two, np.bincount(self.place3[self.learn[self.third]], minlength=len(self.three))])
 
-    def seen(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0).astype(float)
 
-    def walk(self, block: Block, names: np.ndarray, single: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Probability of each token after the state that the tokens before it lead to. The
-        three levels are taken for all positions at once; a history without a count leaves the
-        shorter one's probability as it is, which is its failure arc of weight 1."""
-        two, three = block.grams(names)
-        pairs = self.seen(two)
-        p = (pairs + K2 * single) / (block.earlier(count, self.totals.texts) + K2)
-        return (self.seen(three) + K3 * p) / (block.earlier(pairs, 0.0) + K3)
+class Automaton:
+    """What of the automaton a block can reach. States: words (by number), bigrams (m and their
+    place), the root (last). Arcs are sorted by (state, word)."""
+
+    def __init__(self, block: Block, counts: np.ndarray, totals: Totals):
+        m, two, three = block.m, block.two, block.three
+        c1 = np.append(block.count, totals.texts).astype(float)  # before a text stands one BEGIN
+        c2, c3 = (x.astype(float) for x in np.split(counts, [len(two)]))
+        self.m, self.root = m, m + len(two)
+        p1 = (c1[: m - 1] + 1) / totals.z
+        p1 = np.append(p1, np.nan)  # nothing leads to BEGIN
+        v, w = two // m, two % m
+        p2 = (c2 + K2 * p1[w]) / (c1[v] + K2)
+        b, x = three // m, three % m
+        p3 = (c3 + K3 * p2[block.tail]) / (c2[b] + K3)
+        seen2, seen3 = (c2 > 0) & (c1[v] > 0), c3 > 0
+        self.keys = np.concatenate([two[seen2], m * m + three[seen3]])
+        self.weights = np.log10(np.concatenate([p2[seen2], p3[seen3]]))
+        self.targets = m + np.concatenate([np.flatnonzero(seen2), block.tail[seen3]])
+        #: Failure arcs: a bigram's lead to its last word, a word's to the root.
+        self.failure = np.concatenate([np.full(m, self.root), np.where(c1[w] > 0, w, self.root), [self.root]])
+        self.failure_weights = np.log10(np.concatenate([K2 / (c1 + K2), K3 / (c2 + K3), [1.0]]))
+        self.root_weights = np.log10(p1)
+        self.root_targets = np.where(c1 > 0, np.arange(m), self.root)
+
+    def step(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """New states and log-probabilities of one word each."""
+        out, weight = np.empty(len(states), np.int64), np.zeros(len(states))
+        todo = np.arange(len(states))
+        while len(todo):
+            at_root = states == self.root
+            if at_root.any():
+                done, w = todo[at_root], words[at_root]
+                out[done], weight[done] = self.root_targets[w], weight[done] + self.root_weights[w]
+                todo, states, words = todo[~at_root], states[~at_root], words[~at_root]
+            if len(self.keys) and len(todo):
+                key = states * self.m + words
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[at] == key
+                done, at = todo[hit], at[hit]
+                out[done], weight[done] = self.targets[at], weight[done] + self.weights[at]
+                todo, states, words = todo[~hit], states[~hit], words[~hit]
+            weight[todo] += self.failure_weights[states]
+            states = self.failure[states]
+        return out, weight
+
+    def traverse(self, block: Block) -> np.ndarray:
+        """Log-probability of each token. All lanes of the block go on together, each with its
+        state."""
+        lanes = -(-block.sizes // LANE)
+        nth = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        first = np.repeat(block.starts, lanes) + nth * LANE
+        end = np.minimum(first + LANE, np.repeat(block.starts + block.sizes, lanes))
+        lead = np.where(nth > 0, LEAD, 0)
+        order = np.argsort(first - lead - end, kind="stable")  # the longest first
+        first, end, lead = first[order], end[order], lead[order]
+        at, length = first - lead, end - first + lead
+        states = np.where(lead > 0, self.root, block.begin)
+        out = np.zeros(len(block.tokens))
+        for k in range(int(length.max(initial=0))):
+            n = int(np.searchsorted(-length, -k))  # lanes longer than k
+            pos = at[:n] + k
+            states, weight = self.step(states[:n], block.tokens[pos])
+            own = lead[:n] <= k
+            out[pos[own]] = weight[own]
+        return out
 
 
 def score(docs: DataFrame, learn: Column, doc: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For every row of docs: doc, `n_tokens`, `n_known` (tokens that training texts hold),
     `train_tokens`, `base_score` (log10 of p(w), summed) and `score` (the model's log10
     probability of the text). learn: which rows are training rows."""
-    blocks = max(8, math.ceil(input_bytes(docs, text) / block_bytes))
-    bits = max(6, math.ceil(math.log2(blocks)))
-    source = docs.select(F.col(doc).alias("doc"), F.col(text).cast("binary").alias("t"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    spread = F.pmod(F.coalesce(F.when(F.col("doc").isNotNull(), F.xxhash64("doc")), F.xxhash64("t")), F.lit(blocks))
-    dealt = source.withColumn("block", spread).repartition(4 * blocks, "block")
-
-    def read(table: pa.Table) -> Block:
-        return Block(table.column("t").to_pylist(), table.column("learn").to_numpy(), WordHashes())
-
-    def ask_words(table: pa.Table) -> pa.Table:
-        return packed(table.column("block")[0].as_py(), WORDS, *read(table).words(), bits)
-
-    words = materialize(summed(dealt.groupBy("block").applyInArrow(ask_words, ASKED)), "words")
-    texts = source.where("learn").count()
-    totals = totals_of(words, texts)
-
-    def named(block: Block, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's own key, or the unknown word's, and its count."""
-        keys, _ = block.words()
-        count = unpacked(told, WORDS)
-        return np.where(count > 0, keys, UNKNOWN)[block.place], count[block.place].astype(float)
-
-    def ask_grams(table: pa.Table, told: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return packed(0, GRAMS, np.empty(0, np.uint64), np.empty(0, np.int64), bits)
-        block = read(table)
-        two, three = block.grams(named(block, told)[0])
-        learned = np.concatenate([two[block.learn], three[block.learn & (three > 0)]])
-        return packed(table.column("block")[0].as_py(), GRAMS, *counted(np.concatenate([two, three]), learned), bits)
-
-    sides = dealt.groupBy("block").cogroup(words.select("block", "kind", "part", "totals").groupBy("block"))
-    grams = materialize(summed(sides.applyInArrow(ask_grams, ASKED)), "grams")
+    learned = F.coalesce(learn, F.lit(False)) & F.col(doc).isNotNull()
+    source = docs.select(F.col(doc).alias("doc"), F.col(text).cast("binary").alias("t"), learned.alias("learn"))
+    bits = max(6, math.ceil(math.log2(1 + 2 * input_bytes(docs, text) / block_bytes)))
+    blocks = materialize(blocked(source, block_bytes, bits), "blocks")
+    texts = blocks.where(F.col("kind") == TEXTS).select("block", "docs", "sizes", "learn", "tokens", "vocabulary").groupBy("block")
+    words = materialize(summed(blocks.where(F.col("kind") == ASKED).select("block", "part", "keys", "counts")), "words")
+    n, v = words.agg(F.sum("n"), F.sum("v")).first()
+    totals = Totals(n or 0, v or 0, source.where("learn").count())
+
+    def ask(row: pa.Table, told: pa.Table) -> pa.Table:
+        if not row.num_rows:
+            return asked_table({c: [] for c, _ in ASKED_COLUMNS})
+        block = Block(row, told)
+        keys, taught = block.grams(), block.taught()
+        order = np.argsort(keys)
+        return asked_table(packed(row.column("block")[0].as_py(), keys[order], taught[order], bits))
+
+    known = words.select("block", "part", "totals")
+    grams = materialize(summed(texts.cogroup(known.groupBy("block")).applyInArrow(ask, ASKED_SCHEMA)), "grams").select("block", "part", "totals")
+    told = known.withColumn("gram", F.lit(False)).unionByName(grams.withColumn("gram", F.lit(True)))
     schema = source.select("doc").schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
 
-    def walk(table: pa.Table, told: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return schema_table(schema, [[]] * 6, table)
-        block = read(table)
-        names, count = named(block, told)
-        automaton = Automaton(totals, distinct(np.concatenate(block.grams(names))), unpacked(told, GRAMS))
-        single = (count + 1) / totals.z
-        each = automaton.walk(block, names, single, count)
+    def walk(row: pa.Table, told: pa.Table) -> pa.Table:
+        if not row.num_rows:
+            return pa.table([pa.array([], row.schema.field("docs").type.value_type), *[pa.array([], k) for k in KINDS]], schema.names)
+        gram = told.column("gram").combine_chunks()
+        block = Block(row, told.filter(pa.compute.invert(gram)))
+        order = np.argsort(block.grams())
+        counts = np.empty(len(order), np.int64)
+        counts[order] = unpacked(told.filter(gram))
+        automaton = Automaton(block, counts, totals)
         add = lambda x: np.add.reduceat(x, block.starts)
-        known = add((count > 0).astype(np.int64))
-        return schema_table(schema, [table.column("doc"), block.sizes, known, np.full(len(known), totals.n), add(np.log10(single)), add(np.log10(each))], table)
+        known = add((block.tokens != block.unknown).astype(np.int64))
+        columns = [block.sizes, known, np.full(len(known), totals.n), add(automaton.root_weights[block.tokens]), add(automaton.traverse(block))]
+        return pa.table([block.docs, *[pa.array(c, k) for c, k in zip(columns, KINDS)]], schema.names)
 
-    told = words.unionByName(grams).select("block", "kind", "part", "totals")
-    out = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(walk, schema)
-    return out.withColumnRenamed("doc", doc)
+    return texts.cogroup(told.groupBy("block")).applyInArrow(walk, schema).withColumnRenamed("doc", doc)
 
 
-def schema_table(schema, columns: list, table: pa.Table) -> pa.Table:
-    kinds = [table.schema.field("doc").type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds)], schema.names)
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]

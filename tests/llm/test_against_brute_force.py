@@ -8,11 +8,14 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
-from fixtures import SMALL, docs_of, lower, odd_texts, words_of
+from fixtures import SMALL, docs_of, lower, odd_texts, prose, words_of
 
 from tablemill.llm import contamination, nearcopies, passages, personal, pieces, queries, scoring
 from tablemill.llm.common import table
+from tablemill.llm.wordhash import WordHashes
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -190,12 +193,8 @@ def language_model(docs: list[tuple[int, str | None]]) -> dict[int, tuple]:
     train = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
     c = Counter(w for i in train for w in texts[i])
     n, v = sum(c.values()), len(c)
-    least = 1 << max(0, math.ceil(math.log2(max(1.0, n * scoring.FREQUENT))))
-    frequent = {w for w, k in c.items() if k >= least}
-    held = sum(c[w] for w in frequent)
-    z, rare_tokens = n + v + 1, n - held
-    rare = (rare_tokens + v - len(frequent) + 1) / z
-    name = lambda w: w if w in frequent else None
+    z = n + v + 1
+    name = lambda w: w if w in c else None
     two, three = Counter(), Counter()
     for i in train:
         x = ["<s>", *map(name, texts[i])]
@@ -207,11 +206,10 @@ def language_model(docs: list[tuple[int, str | None]]) -> dict[int, tuple]:
         x = ["<s>", *map(name, t)]
         for k, w in enumerate(t, 1):
             single = (c[w] + 1) / z
-            share = 1.0 if x[k] is not None else single / rare
-            before = len(train) if k == 1 else c[x[k - 1]] if x[k - 1] is not None else rare_tokens
-            p = (two[x[k - 1], x[k]] * share + scoring.K2 * single) / (before + scoring.K2)
+            before = len(train) if k == 1 else c[x[k - 1]]
+            p = (two[x[k - 1], x[k]] + scoring.K2 * single) / (before + scoring.K2)
             if k > 1:
-                p = (three[x[k - 2], x[k - 1], x[k]] * share + scoring.K3 * p) / (two[x[k - 2], x[k - 1]] + scoring.K3)
+                p = (three[x[k - 2], x[k - 1], x[k]] + scoring.K3 * p) / (two[x[k - 2], x[k - 1]] + scoring.K3)
             base, score = base + math.log10(single), score + math.log10(p)
         out[i] = (i not in train, len(t), sum(c[w] > 0 for w in t), n, base, score)
     return out
@@ -232,6 +230,37 @@ def test_language_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("block_bytes", [300, 5_000, 4_000_000])
+def test_language_model_of_long_texts_in_any_blocks(spark, block_bytes):
+    """Texts of many lanes, texts of one token, words unknown to the training texts."""
+    texts = [prose(i, n, 300) for i, n in enumerate((0, 1, 2, 255, 256, 257, 600, 3_000, 40, 40, 512))] + [prose(3, 700, 90) + " never seen"]
+    docs = docs_of(spark, [None, *texts], null_id=False).distinct()
+    want = language_model(list(enumerate([None, *texts], 1)))
+    for r in scoring.score(docs, learn=~queries.held_out(2, 7), block_bytes=block_bytes).collect():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][1:4]
+        assert (r.base_score, r.score) == pytest.approx(want[r.doc_id][4:], rel=1e-9)
+
+
+def test_language_model_adds_to_one_after_every_state():
+    """Over all words and the unknown one, whatever failure arcs a state needs. (Nothing follows
+    the end of a text.)"""
+    hashes, texts = WordHashes(), [b"a b c a b d", b"b a c", b"x y"]
+    learn = np.array([True, True, False])
+    words = [hashes.of(t.split()) for t in texts]
+    keys = np.unique(np.concatenate([*words, [scoring.END]]))
+    tokens = np.concatenate([np.searchsorted(keys, [*w, scoring.END]) for w in words])
+    taught = np.bincount(tokens[: 7 + 4], minlength=len(keys))
+    row = pa.table({"docs": [[1, 2, 3]], "sizes": [scoring.pressed(np.array([7, 4, 3], "<u4"))], "learn": [learn.tobytes()], "tokens": [scoring.pressed(tokens.astype("<u4"))], "vocabulary": [scoring.pressed(keys.astype("<u8"))]})
+    block = scoring.Block(row, pa.table({"part": [0], "totals": [scoring.pressed(taught.astype("<u8"))]}))
+    automaton = scoring.Automaton(block, block.taught(), scoring.Totals(11, int((taught > 0).sum()), 2))
+    every = np.flatnonzero(np.append(taught > 0, True))
+    ends = np.concatenate([np.flatnonzero(block.hashes == scoring.END), block.m + np.flatnonzero(block.hashes[block.two % block.m] == scoring.END)])
+    for state in set(range(automaton.root + 1)) - set(ends.tolist()):
+        targets, weights = automaton.step(np.full(len(every), state), every)
+        assert (10**weights).sum() == pytest.approx(1)
+        assert all(t == automaton.root or t < automaton.root for t in targets)
+
+
 def test_language_model_keeps_pairs_of_rare_words(spark):
     """Words seen three times among 40,000 tokens still have bigrams of their own."""
     texts = ["left1 right1", "left1 right2"] + ["left1 right1 left2 right2"] * 3 + [" ".join(f"f{(i * j) % 97}" for j in range(200)) for i in range(1, 201)]
