@@ -5,28 +5,33 @@ exactly one last token, and that token depends only on the last token of a short
 scan walks a text once; an Aho-Corasick automaton names the vocabulary pieces that end at each
 position, a pair-compatibility test tells which of them BPE would really leave next to the
 last token of the remaining prefix, and the table is then read backwards to recover the ids.
+Decoding starts from the ids alone: pieces and byte pieces are joined and read as UTF-8.
 
 The vocabulary is read on the driver, is bounded by the model (tens of thousands of pieces) and
 is broadcast. Texts are processed where they lie: no shuffle, one pass, memory bounded by the
 longest text.
 
-Defined cases: null and empty texts give the begin and end ids only and decode to ''; rows are
-independent, so repeated rows and ties give equal results; an empty table gives an empty table;
+Defined cases: null and empty texts give the begin and end ids only; null and empty ids decode
+to '', as control ids and ids outside the vocabulary do; byte pieces that are no UTF-8 decode to
+U+FFFD each and the unknown id to the library's mark for it; rows are independent, so repeated rows and ties give equal results; an empty table gives an empty table;
 other columns of the input are carried only where named in `keep`.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+#: What the library writes for the unknown id.
+UNKNOWN_MARK = " \u2047 "
 #: Chunks up to this length are remembered, at most so many at a time.
 CHUNK_CHARS, CHUNKS = 48, 400_000
 #: Compatible and incompatible pairs remembered at most.
@@ -39,13 +44,16 @@ def vocabulary(model: str) -> dict:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     n = sp.get_piece_size()
-    plain, data = {}, {}
+    plain, data, said = {}, {}, []
     for i in range(n):
+        piece = sp.id_to_piece(i)
+        said.append(b"" if sp.is_control(i) else UNKNOWN_MARK.encode() if sp.is_unknown(i) else piece.replace(SPACE, " ").encode())
         if sp.is_byte(i):
-            data[int(sp.id_to_piece(i)[1:-1], 16)] = i
+            data[int(piece[1:-1], 16)] = i
+            said[i] = bytes([int(piece[1:-1], 16)])
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-            plain[sp.id_to_piece(i)] = (i, sp.get_score(i))
-    return {"pieces": plain, "bytes": data, "unk": sp.unk_id(), "begin": sp.bos_id(), "end": sp.eos_id()}
+            plain[piece] = (i, sp.get_score(i))
+    return {"pieces": plain, "bytes": data, "said": said, "unk": sp.unk_id(), "begin": sp.bos_id(), "end": sp.eos_id()}
 
 
 def merged(text: str, score: dict[str, float]) -> tuple[list[str], dict[str, tuple[str, str]]]:
@@ -74,6 +82,21 @@ class Packed(dict):
         return b"".join([i.to_bytes(4, "little") for i in ([self.bytes[b] for b in c.encode()] if self.bytes else [self.unk])])
 
 
+class Chunks(dict):
+    """Ids of chunks, worked out on first use; short ones are remembered."""
+
+    def __init__(self, table: PrefixTable):
+        self.table = table
+
+    def __missing__(self, c: str) -> bytes:
+        out = self.table.chunk(c)
+        if len(c) <= CHUNK_CHARS:
+            if len(self) >= CHUNKS:
+                self.clear()
+            self[c] = out
+        return out
+
+
 class Fits(dict):
     """For one piece, which pieces may follow it; worked out on first use."""
 
@@ -99,7 +122,7 @@ class PrefixTable:
         lone = {p for p in pieces if len(p) > 1 and set(p) == {SPACE}}
         self.score = {p: s for p, (_, s) in pieces.items() if p not in lone}
         many = {p: s for p, s in self.score.items() if len(p) > 1}
-        self.begin, self.end = vocab["begin"], vocab["end"]
+        self.begin, self.end = (vocab[x].to_bytes(4, "little") for x in ("begin", "end"))
         self.packed = Packed(vocab)
         self.automaton = ahocorasick.Automaton()
         #: For each piece what stands at its right and left edge while it is being merged, from
@@ -116,7 +139,8 @@ class PrefixTable:
         self.many = many
         self.after = {p: Fits(self, p) for p in self.right}
         self.known_fits = 0
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.chunks = Chunks(self)
+        self.longest = max(self.runs, default=1)
         self.split = self._cuts()
 
     def _cuts(self) -> re.Pattern | None:
@@ -185,66 +209,95 @@ class PrefixTable:
                 i += 1
         return [self.runs[x] for x in parts]
 
-    def chunk(self, text: str) -> tuple[bytes, str]:
-        pieces = self.pieces_of(text)
+    def chunk(self, text: str) -> bytes:
+        """Little-endian ids of a chunk of a text."""
+        pieces, packed = self.pieces_of(text), self.packed
+        if pieces[:2] != [SPACE, SPACE]:
+            return b"".join([packed[p] for p in pieces])
         k = 0
         while k < len(pieces) and pieces[k] == SPACE:
             k += 1
         # a run longer than the longest piece is dealt with in whole pieces first, in linear time
-        longest = max(self.runs, default=1)
+        longest = self.longest
         ids = [self.runs[longest]] * ((k // longest) - 1) if k > 2 * longest else []
-        ids += self.spaces(k - longest * len(ids)) if k else []
-        packed = self.packed
-        return b"".join([i.to_bytes(4, "little") for i in ids] + [packed[p] for p in pieces[k:]]), text.replace(SPACE, " ")
+        ids += self.spaces(k - longest * len(ids))
+        return b"".join([i.to_bytes(4, "little") for i in ids] + [packed[p] for p in pieces[k:]])
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """Little-endian ids with begin and end, and what they decode to."""
-        begin, end = self.begin.to_bytes(4, "little"), self.end.to_bytes(4, "little")
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian ids with begin and end."""
         if not text:
-            return begin + end, ""
+            return self.begin + self.end
         marked = SPACE + text.replace(" ", SPACE)
-        known = self.chunks
-        out = [known.get(c) or self._new(c) for c in (self.split.findall(marked) if self.split else [marked])]
-        return b"".join(chain([begin], [x for x, _ in out], [end])), "".join([x for _, x in out])[1:]
+        return self.begin + b"".join(map(self.chunks.__getitem__, self.split.findall(marked) if self.split else [marked])) + self.end
 
-    def _new(self, c: str) -> tuple[bytes, str]:
-        out = self.chunk(c)
-        if len(c) <= CHUNK_CHARS:
-            if len(self.chunks) >= CHUNKS:
-                self.chunks.clear()
-            self.chunks[c] = out
-        return out
 
+def each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
+    return "\ufffd", error.start + 1
 
-def decoded(ids: list[int], vocab: dict) -> str:
-    """Text of any ids: pieces joined, byte pieces read as UTF-8, the first space dropped."""
-    names = {i: p for p, (i, _) in vocab["pieces"].items()}
-    data = {i: bytes([b]) for b, i in vocab["bytes"].items()}
-    text = b"".join(names[i].replace(SPACE, " ").encode() if i in names else data.get(i, b"") for i in ids).decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
 
+codecs.register_error("tablemill-each-byte", each_byte)
 
-_tables: dict[int, PrefixTable] = {}
 
+class Decoder:
+    """The text of any ids."""
 
-def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, `ids` (binary, little-endian unsigned 32-bit integers, begin and end
-    included) and `decoded` (the ids' text) for every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(model))
-    source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
-    schema = source.drop("__text").schema.add("ids", "binary").add("decoded", "string")
+    def __init__(self, vocab: dict):
+        self.said = vocab["said"]
+        self.bytes = frozenset(vocab["bytes"].values())
+        self.silent = np.array([not x for x in self.said])
+
+    def text(self, ids: bytes | None) -> str:
+        """Text of little-endian ids. The first piece that says anything loses one space in front,
+        which encoding has put there."""
+        numbers = np.frombuffer(ids or b"", "<u4")
+        if numbers.max(initial=0) >= len(self.said):
+            numbers = numbers[numbers < len(self.said)]
+        parts = list(map(self.said.__getitem__, numbers.tolist()))
+        for k, part in enumerate(parts):
+            if part:
+                if part[:1] == b" " and numbers[k] not in self.bytes and part != UNKNOWN_MARK.encode():
+                    parts[k] = part[1:]
+                break
+        # byte pieces on both sides of a silent id are not one character
+        edges = [0, *np.flatnonzero(self.silent[numbers]).tolist(), len(parts)]
+        return "".join([b"".join(parts[a:b]).decode("utf-8", "tablemill-each-byte") for a, b in zip(edges, edges[1:]) if b > a])
+
+
+_tables: dict[type, tuple[dict, PrefixTable | Decoder]] = {}
+
+
+def table_of(make: type, shared) -> PrefixTable | Decoder:
+    """A task's table; the worker keeps the last one of each type."""
+    vocab = shared.value
+    held = _tables.get(make)
+    if held is None or held[0] is not vocab:
+        _tables[make] = held = (vocab, make(vocab))
+    return held[1]
+
+
+def apply(docs: DataFrame, make: type, method: str, vocab: dict, column: str, keep: tuple[str, ...], name: str, kind: str) -> DataFrame:
+    """keep columns and `name`, what the table's method makes of the column."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    source = docs.select(*[F.col(c) for c in keep], F.col(column).alias("__in"))
+    schema = source.drop("__in").schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _tables.get(shared.id) if hasattr(shared, "id") else None
-        if table is None:
-            table = PrefixTable(shared.value)
-            _tables.clear()
-            if hasattr(shared, "id"):
-                _tables[shared.id] = table
+        each = getattr(table_of(make, shared), method)
+        out = pa.binary() if kind == "binary" else pa.string()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                ids, back = zip(*[table.encode(t) for t in part.column(len(keep)).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(ids, pa.binary()), pa.array(back, pa.string())], [*keep, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array([each(x) for x in part.column(len(keep)).to_pylist()], out)], schema.names)
 
     return source.mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep columns and `ids` (binary, little-endian unsigned 32-bit integers, begin and end
+    included) for every row of docs."""
+    return apply(docs, PrefixTable, "encode", vocabulary(model), text, keep, "ids", "binary")
+
+
+def decode(docs: DataFrame, model: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep columns and `decoded`, the text of the ids, for every row of docs."""
+    return apply(docs, Decoder, "text", vocabulary(model), ids, keep, "decoded", "string")
