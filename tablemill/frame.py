@@ -6,7 +6,7 @@ import re
 import unicodedata
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.functions.values import Value, kind_of
@@ -96,6 +96,32 @@ class PreparedFrame:
         return self.df.orderBy(*self.ordering)
 
 
+#: Parts that the rows of one key are dealt in where only sorting tells the first.
+PARTS = 64
+
+
+def first_rows(frame: PreparedFrame, rows: DataFrame, keys: list[str], last: bool = False) -> DataFrame:
+    """keys and `__o` (order columns and ROW_ID) of the first or last row of each key of rows, which
+    have the frame's hidden columns. If all of the order has one direction, that is a least or
+    greatest value, with partial results in each task; else each key's rows are sorted in PARTS
+    parts, whose first rows are sorted again, so no key is sorted in one task."""
+    names = [n for n, _ in frame.order]
+    place = F.struct(*[F.col(n) for n in names], F.col(ROW_ID).alias(ROW_ID)).alias("__o")
+    ways = {up for _, up in frame.order}
+    if len(ways) == 1:
+        up = ways.pop()
+        # nulls come last in both directions
+        parts = [x for n in names for x in ((F.col(n).isNull() if up else F.col(n).isNotNull()).alias(f"__null_{n}"), F.col(n))]
+        end = F.min if up != last else F.max
+        got = rows.groupBy(*keys).agg(end(F.struct(*parts, F.col(ROW_ID).alias(ROW_ID))).alias("__m"))
+        return got.select(*keys, F.struct(*[F.col(f"__m.{n}") for n in names], F.col(f"__m.{ROW_ID}")).alias("__o"))
+    order = frame.reverse_ordering if last else frame.ordering
+    rows = rows.select(*keys, *names, ROW_ID).withColumn("__part", F.pmod(F.xxhash64(ROW_ID), F.lit(PARTS)))
+    for by in ([*keys, "__part"], keys or [F.lit(0)]):
+        rows = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy(*order, ROW_ID))).where("__at = 1")
+    return rows.select(*keys, place)
+
+
 def from_dataframe(df: DataFrame, key: list[str], columns: list[str] | None = None, prefix: str = "row-") -> PreparedFrame:
     """A frame over any DataFrame; key is a unique key that gives rows their order and their id
     (its parts joined by |)."""

@@ -31,10 +31,22 @@ def js_number(text: Column) -> Column:
     based = F.lit(None).cast("double")
     for letter, digits, base in (("xX", "0-9a-fA-F", 16), ("oO", "0-7", 8), ("bB", "01", 2)):
         shape = f"^0[{letter}][{digits}]+\\z"
-        based = F.when(text.rlike(shape), F.conv(F.substring(F.when(text.rlike(shape), text), 3, 10_000), base, 10).try_cast("double")).otherwise(based)
+        based = F.when(text.rlike(shape), based_number(F.substring(F.when(text.rlike(shape), text), 3, 2**31 - 1), base)).otherwise(based)
     return F.coalesce(decimal, based)
 
 
+def based_number(digits: Column, base: int) -> Column:
+    """The double nearest to digits in a base that is a power of two, however many there are: the
+    first 60 bits as a whole number, whose last bit tells whether any of the rest is set, moved
+    by the rest's length."""
+    bits = base.bit_length() - 1
+    bare = F.ltrim(digits, F.lit("0"))
+    head, rest = F.substring(bare, 1, 60 // bits), F.substring(bare, 60 // bits + 1, 2**31 - 1)
+    whole = F.conv(F.when(head == "", "0").otherwise(head), base, 10).try_cast("long")
+    whole = F.when(rest.rlike("[^0]"), whole.bitwiseOR(1)).otherwise(whole)
+    return whole.cast("double") * F.pow(F.lit(2.0), F.length(rest) * bits)
+
+
 def converted_number(c: Column, separator: str) -> Column:
     """separator ',': all dots go and the first comma is the point; '.': all commas go."""
     t = js_trim(c)

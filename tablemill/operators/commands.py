@@ -10,10 +10,10 @@ import re
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablemill.frame import ROW_ID, ColumnInfo, FrameError, PreparedFrame
+from tablemill.frame import ROW_ID, ColumnInfo, FrameError, PreparedFrame, first_rows
 from tablemill.functions.conditions import check_condition, condition, equal, expression, predicate, sure
 from tablemill.functions.currency import currency_text
 from tablemill.functions.parsing import converted_date, converted_number
@@ -128,11 +128,11 @@ def remove_empty_rows(frame: PreparedFrame, cmd: dict) -> PreparedFrame:
 
 @command("deduplicate")
 def deduplicate(frame: PreparedFrame, cmd: dict) -> PreparedFrame:
-    """Keeps the first or last row of each key; null is a key, and not the same as ''."""
-    keys = [frame.value(i).key for i in cmd["columnIds"]]
-    order = frame.ordering if cmd["keep"] == "first" else frame.reverse_ordering
-    place = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order))
-    return frame.with_df(frame.df.withColumn("__place", place).where("__place = 1").drop("__place"))
+    """Keeps the first or last row of each key; null is a key, and not the same as ''. Keys meet
+    with partial results, and rows are only filtered by the ids that stay."""
+    keys = {f"__k{k}": frame.value(i).key for k, i in enumerate(cmd["columnIds"])}
+    heads = first_rows(frame, frame.df.withColumns(keys) if keys else frame.df, list(keys), last=cmd["keep"] != "first")
+    return frame.with_df(frame.df.join(heads.select(F.col(f"__o.{ROW_ID}").alias(ROW_ID)), ROW_ID, "left_semi"))
 
 
 @command("splitColumn")
@@ -266,19 +266,21 @@ def conditional_rule(frame: PreparedFrame, cmd: dict) -> PreparedFrame:
 
 @command("editCell")
 def edit_cell(frame: PreparedFrame, cmd: dict) -> PreparedFrame:
-    """A row id that no row has changes nothing; use `edit_cells` to have ids checked."""
-    v = frame.value(cmd["columnId"])
-    return frame.set({cmd["columnId"]: chosen(F.col(ROW_ID) == cmd["rowId"], Value.of(cmd["value"]), v)[1]})
+    """A row id that no row has raises; looking it up is a job of its own."""
+    return edit_cells(frame, [cmd])
 
 
 def edit_cells(frame: PreparedFrame, edits: list[dict], check: bool = True) -> PreparedFrame:
     """Many edits in one pass, the last for a cell wins; edits are what a person typed, a list
-    on the driver. check: raise for unknown row ids (one job)."""
-    wanted = {e["rowId"] for e in edits}
+    on the driver, and join the rows as a small table. check: raise for unknown row ids (one job)."""
+    wanted = sorted({e["rowId"] for e in edits})
+    if not wanted:
+        return frame
     if check:
-        known = {r[0] for r in frame.df.where(F.col(ROW_ID).isin(*wanted)).select(ROW_ID).collect()} if wanted else set()
-        if wanted - known:
-            raise FrameError(f"Linha desconhecida: {sorted(wanted - known)[0]}")
+        asked = frame.df.sparkSession.createDataFrame([(i,) for i in wanted], f"{ROW_ID} string")
+        unknown = F.broadcast(asked).join(frame.df.join(F.broadcast(asked), ROW_ID, "left_semi").select(ROW_ID), ROW_ID, "left_anti").agg(F.min(ROW_ID)).first()[0]
+        if unknown is not None:
+            raise FrameError(f"Linha desconhecida: {unknown}")
     for i in dict.fromkeys(e["columnId"] for e in edits):
         last = {e["rowId"]: e["value"] for e in edits if e["columnId"] == i}
         v = frame.value(i)
@@ -286,10 +288,11 @@ def edit_cells(frame: PreparedFrame, edits: list[dict], check: bool = True) -> P
         c = columns[-1]
         if v.whole and kind == NUMBER and all(x is None or float(x).is_integer() for x in last.values()):
             c = v.column
-        out = c
-        for row, new in zip(last, columns):
-            out = F.when(F.col(ROW_ID) == row, new).otherwise(out)
-        frame = frame.set({i: out})
+        rows = F.array(*[F.struct(F.lit(row).alias(ROW_ID), new.alias("__new")) for row, new in zip(last, columns)])
+        new = frame.df.sparkSession.range(1).select(F.inline(rows)).withColumn("__set", F.lit(True))
+        frame = frame.with_df(frame.df.join(F.broadcast(new), ROW_ID, "left"))
+        frame = frame.set({i: F.when(F.col("__set"), F.col("__new")).otherwise(c)})
+        frame = frame.with_df(frame.df.drop("__new", "__set"))
     return frame
 
 

@@ -3,6 +3,8 @@ all commands applied, so nothing needs an inverse."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass, field
 
 from tablemill.frame import PreparedFrame
@@ -36,6 +38,13 @@ class PrepPipeline:
         return apply(self.base, *self.commands)
 
 
+def fingerprint(mode: str, keys: list[str], mappings: list, revision: int, rules: list[dict] = ()) -> str:
+    """Equal for equal settings of a write plan; a plan made under another one is stale."""
+    said = [[m.source, m.destination, m.status, m.value] for m in mappings]
+    text = json.dumps([mode, list(keys), said, revision, list(rules)], sort_keys=True, ensure_ascii=False)
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def columns_changed(before: PreparedFrame, after: PreparedFrame) -> bool:
     shape = lambda f: [(c.id, c.header, c.detected_type) for c in f.columns]
     return shape(before) != shape(after)

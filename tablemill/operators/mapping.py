@@ -1,4 +1,5 @@
-"""Matching source columns to destination columns by their headers (driver-side: columns, not rows)."""
+"""Matching source columns to destination columns by their headers (driver-side: columns, not rows),
+and what the reviewed mappings make of both sides' rows."""
 
 from __future__ import annotations
 
@@ -8,6 +9,11 @@ from collections import Counter
 from dataclasses import dataclass, replace
 from decimal import ROUND_HALF_UP, Decimal
 
+from pyspark.sql import functions as F
+
+from tablemill.frame import ROW_ID, ROW_NUM, FrameError, PreparedFrame
+from tablemill.functions.values import Value, unified
+
 #: Abbreviations in headers.
 ABBREVIATIONS = {
     "cod": "codigo", "desc": "descricao", "dt": "data", "end": "endereco", "nasc": "nascimento", "no": "numero", "nro": "numero",
@@ -122,3 +128,33 @@ def reconcile(mappings: list[Mapping], sources: list, destinations: list) -> lis
 
 def identity(columns: list) -> list[Mapping]:
     return [Mapping(c.id, c.id, "exact", 1.0, "accepted") for c in columns]
+
+
+def with_fixed_values(frame: PreparedFrame, mappings: list[Mapping]) -> PreparedFrame:
+    """Fixed mappings override what their source column holds, before validation and planning."""
+    fixed = {m.source: unified([Value.of(m.value)])[1][0] for m in mappings if m.status == "fixed"}
+    for c in fixed:
+        frame.info(c)
+    return frame.set(fixed) if fixed else frame
+
+
+def projected(existing: PreparedFrame, source: PreparedFrame, mappings: list[Mapping]) -> PreparedFrame:
+    """Existing rows in the source's columns: each takes its mapped destination column, or nulls; a
+    plan can then compare both sides."""
+    to = {m.source: m.destination for m in mappings if m.status != "ignored" and m.destination}
+    none = lambda c: F.lit(None).cast(source.df.schema[c].dataType)
+    cells = [(F.col(f"`{to[c]}`") if to.get(c) in existing.ids else none(c)).alias(c) for c in source.ids]
+    return replace(existing, df=existing.df.select(*cells, *existing.hidden), columns=source.columns)
+
+
+def in_destination_columns(frame: PreparedFrame, mappings: list[Mapping], destinations: tuple) -> PreparedFrame:
+    """Incoming rows in the destination's columns, as they are written: fixed values applied, mapped
+    columns renamed, destinations without a source null."""
+    twice = duplicate_destinations(mappings)
+    if twice:
+        raise FrameError(f"Coluna de destino duplicada: {twice[0]}")
+    frame = with_fixed_values(frame, mappings)
+    of = {m.destination: m.source for m in mappings if m.status in ("accepted", "fixed") and m.destination}
+    cells = [(F.col(f"`{of[d.id]}`") if d.id in of else F.lit(None).cast("string")).alias(d.id) for d in destinations]
+    order = [n for n, _ in frame.order]
+    return replace(frame, df=frame.df.select(*cells, ROW_ID, ROW_NUM, *order), columns=tuple(destinations))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.frame import ROW_ID, ROW_NUM, FrameError, PreparedFrame
+from tablemill.frame import ROW_ID, ROW_NUM, ColumnInfo, FrameError, PreparedFrame
 from tablemill.functions.conditions import sure
 from tablemill.functions.storage import numbered
 from tablemill.functions.values import Value
@@ -39,6 +39,12 @@ class WritePlan:
     incoming: PreparedFrame
     existing: PreparedFrame
     keys: tuple[str, ...] = ()
+    data_start_row: int = 1
+
+    @property
+    def area(self) -> PreparedFrame:
+        """Existing rows of the data area: those above it are never read as data nor written."""
+        return data_area(self.existing, self.data_start_row)
 
     def of(self, action: str) -> DataFrame:
         return self.rows.where(F.col("action") == action)
@@ -51,7 +57,7 @@ class WritePlan:
 
     def duplicates(self) -> DataFrame:
         """scope, keyValues and rowIds (in row order) of keys that stand more than once."""
-        both = [(name, f) for name, f in (("incoming", self.incoming), ("existing", self.existing)) if self.mode == "update"]
+        both = [(name, f) for name, f in (("incoming", self.incoming), ("existing", self.area)) if self.mode == "update"]
         if not both:
             return self.rows.select(F.lit("").alias("scope"), F.array(F.lit("")).alias("keyValues"), F.array(F.lit("")).alias("rowIds")).limit(0)
         return reduce(DataFrame.unionByName, [repeated_keys(f, self.keys).select(F.lit(n).alias("scope"), "keyValues", "rowIds") for n, f in both])
@@ -64,14 +70,13 @@ class WritePlan:
 
     def apply(self, columns: list[str] | None = None) -> DataFrame:
         """The destination after the plan: columns by id and `destinationRow`. Cleared rows go,
-        updated ones take the incoming values, rejected incoming rows are left out."""
+        updated ones take the incoming values, rejected incoming rows are left out; rows above the
+        data area stay as they are."""
         ids = columns or self.incoming.ids
         incoming = self.incoming.df.select(F.col(ROW_ID).alias("incomingRowId"), *[F.col(f"`{c}`") for c in ids])
         written = self.rows.where(F.col("action").isin("insert", "update", "keep")).join(incoming, "incomingRowId")
         out = written.select("destinationRow", *[F.col(f"`{c}`") for c in ids])
-        if self.mode == "replace":
-            return out
-        touched = self.rows.where("existingRowId is not null and action in ('update', 'keep')").select(F.col("existingRowId").alias(ROW_ID))
+        touched = self.rows.where("existingRowId is not null and action in ('clear', 'update', 'keep')").select(F.col("existingRowId").alias(ROW_ID))
         rest = self.existing.df.join(touched, ROW_ID, "left_anti")
         have = set(self.existing.ids)
         cast = {c: self.incoming.df.schema[c].dataType for c in ids}
@@ -79,6 +84,10 @@ class WritePlan:
         return out.unionByName(rest)
 
 
+def data_area(existing: PreparedFrame, data_start_row: int) -> PreparedFrame:
+    return existing.with_df(existing.df.where(F.col(ROW_NUM) >= data_start_row))
+
+
 def repeated_keys(frame: PreparedFrame, keys: tuple[str, ...]) -> DataFrame:
     order = F.struct(*[F.col(n) for n, _ in frame.order], F.col(ROW_ID).alias("__id"))
     cols = {f"__k{i}": frame.value(c).key for i, c in enumerate(keys)}
@@ -114,19 +123,23 @@ def plan_write(mode: str, incoming: PreparedFrame, existing: PreparedFrame, head
     """keys: key columns of an update. compare: the columns that decide between keep and update
     (default: all that either side has)."""
     check_destination(header_row, data_start_row)
+    last, unknown = existing.df.agg(F.max(ROW_NUM), F.count_if(F.col(ROW_NUM).isNull())).first()
+    if unknown:
+        raise FrameError("As linhas existentes precisam de números de linha.")
+    area = data_area(existing, data_start_row)
+    plan = lambda rows, *keys: WritePlan(mode, header_row, rows, incoming, existing, keys, data_start_row)
     if mode == "replace":
-        clears = existing.df.where(F.col(ROW_NUM) >= data_start_row).select(*row("clear", existing=F.col(ROW_ID), at=F.col(ROW_NUM)))
-        return WritePlan(mode, header_row, clears.unionByName(inserts(incoming, incoming.df, data_start_row)), incoming, existing)
-    last = existing.df.agg(F.max(ROW_NUM)).first()[0]
+        clears = area.df.select(*row("clear", existing=F.col(ROW_ID), at=F.col(ROW_NUM)))
+        return plan(clears.unionByName(inserts(incoming, incoming.df, data_start_row)))
     first = max(data_start_row - 1, last or 0) + 1
     if mode == "append":
-        return WritePlan(mode, header_row, inserts(incoming, incoming.df, first), incoming, existing)
+        return plan(inserts(incoming, incoming.df, first))
     if mode != "update":
         raise FrameError(f"Modo de escrita desconhecido: {mode}")
     keys = list(keys or [])
     if not keys or len(set(keys)) != len(keys):
         raise FrameError("A atualização precisa de colunas-chave distintas.")
-    return WritePlan(mode, header_row, update_rows(incoming, existing, first, keys, compare), incoming, existing, tuple(keys))
+    return plan(update_rows(incoming, area, first, keys, compare), *keys)
 
 
 def update_rows(incoming: PreparedFrame, existing: PreparedFrame, first: int, keys: list[str], compare: list[str] | None) -> DataFrame:
@@ -199,6 +212,46 @@ def rejected_rows(result, plan: WritePlan | None = None, warnings: bool = False,
     )
 
 
+#: The sheet of rejected rows and its headers before and after the original fields.
+REJECTED_SHEET = "Registros rejeitados"
+REJECTED_HEADERS = ("número da linha de origem",), ("campo com erro", "valor inválido", "motivo da rejeição", "regra/transformação com falha")
+
+
+def rejected_sheet(result, plan: WritePlan | None = None, warnings: bool = False, original: PreparedFrame | None = None) -> PreparedFrame:
+    """The rejection report as a frame that `workbooks` can write (sheet REJECTED_SHEET): the source
+    row, a column for each original field, and what was wrong."""
+    fields = original or result.frame
+    rows = rejected_rows(result, plan, warnings, original)
+    before, after = REJECTED_HEADERS
+    names = ["sourceRowNumber", *[f"original.{c}" for c in fields.ids], "errorField", "invalidValue", "rejectionReason", "failedRuleOrTransform"]
+    headers = [*before, *[c.header for c in fields.columns], *after]
+    cells = [F.col("sourceRowNumber").cast("long"), *[F.try_element_at("original", F.lit(c)) for c in fields.ids], *[F.col(c) for c in names[-4:]]]
+    df = rows.select(*[c.alias(n) for c, n in zip(cells, names)])
+    # a rejected row may stand several times, so the report's order decides its ids
+    df = numbered(df, [F.col("sourceRowNumber"), F.col("errorField"), F.col("failedRuleOrTransform"), F.col("invalidValue")], ROW_NUM)
+    infos = tuple(ColumnInfo(n, h, i, "number" if not i else "string") for i, (n, h) in enumerate(zip(names, headers)))
+    hidden = [F.concat(F.lit("rejected-"), F.col(ROW_NUM).cast("string")).alias(ROW_ID), F.col(ROW_NUM), F.col(ROW_NUM).alias("_o0")]
+    return PreparedFrame(df.select(*[F.col(f"`{n}`") for n in names], *hidden), infos, (("_o0", True),))
+
+
+def effective_counts(result, plan: WritePlan) -> DataFrame:
+    """One row: inserted, updated and kept rows that validation does not reject, duplicateRows (rows
+    of repeated keys on either side) and rejectedRows (by validation or the plan)."""
+    bad = result.issues.where("severity = 'error'").select(F.col("rowId").alias("incomingRowId")).distinct().withColumn("bad", F.lit(True))
+    rows = plan.rows.where("incomingRowId is not null").select("action", "incomingRowId").join(bad, "incomingRowId", "full")
+    n = lambda a: F.count_if((F.col("action") == a) & F.col("bad").isNull())
+    counts = rows.agg(n("insert").alias("inserted"), n("update").alias("updated"), n("keep").alias("kept"), F.count_if((F.col("action") == "reject") | F.col("bad").isNotNull()).alias("rejectedRows"))
+    if plan.mode != "update":
+        return counts.withColumn("duplicateRows", F.lit(0).cast("long"))
+    twice = [repeated_counts(f, plan.keys) for f in (plan.incoming, plan.area)]
+    return counts.join(twice[0].unionByName(twice[1]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicateRows")), how="cross")
+
+
+def repeated_counts(frame: PreparedFrame, keys: tuple[str, ...]) -> DataFrame:
+    """n: rows of each key that stands more than once."""
+    return frame.df.where(filled(frame, list(keys))).groupBy(*[frame.value(c).key.alias(f"__k{i}") for i, c in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("n")
+
+
 def row_counts(result, plan: WritePlan) -> DataFrame:
     """One row: total, errorRows, planRejectedRows, rejectedRows (either) and exportableRows."""
     bad = result.issues.where("severity = 'error'").select("rowId").distinct().withColumn("e", F.lit(1))

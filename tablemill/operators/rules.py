@@ -8,6 +8,10 @@ import re
 from collections import Counter
 from itertools import combinations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import SparkSession
+
 #: What an issue says by default, by code.
 MESSAGES = {
     "required": "O preenchimento de um valor é obrigatório.",
@@ -118,13 +122,24 @@ def format_errors(rule: dict) -> list[str]:
         if not pattern or len(pattern) > LONGEST_PATTERN:
             out.append("O padrão informado deve conter entre 1 e 256 caracteres.")
         if pattern:
-            try:
-                re.compile(pattern)
-            except re.error:
+            if not java_pattern(pattern):
                 out.append("O padrão informado não é uma expressão regular válida.")
     return out
 
 
+def java_pattern(pattern: str) -> bool:
+    """Whether the engine that runs patterns takes this one; without a session, whether Python does."""
+    session = SparkSession.getActiveSession()
+    try:
+        if session is not None:
+            session._jvm.java.util.regex.Pattern.compile(pattern)
+        else:
+            re.compile(pattern)
+    except (re.error, Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
 def relation_errors(rule: dict) -> list[str]:
     left, right, low, high = rule["leftColumnIds"], rule["rightColumnIds"], rule["minMatches"], rule.get("maxMatches")
     checks = [
@@ -228,6 +243,12 @@ def comparable(rule: dict) -> dict:
     return {k: turn(rule.get(k)) for k in ("min", "max")}
 
 
+def matching_rules(rules: list[dict], text: str = "", severity: str | None = None) -> list[dict]:
+    """Rules of the list whose type, columns or message hold the text, by severity if given."""
+    said = lambda r: " ".join([r["type"], str(r.get("message") or ""), *referenced_columns(r)]).lower()
+    return [r for r in rules if text.strip().lower() in said(r) and (severity is None or (r.get("severity") or "error") == severity)]
+
+
 def type_rules(columns: list, ignored: tuple[str, ...] = ()) -> list[dict]:
     """Rules that hold columns to their detected type; mixed and empty ones are left out."""
     return [{"type": "type", "columnId": c.id, "valueType": c.detected_type} for c in columns if c.detected_type in TYPE_LABELS and c.id not in ignored]

@@ -10,10 +10,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.frame import ROW_ID, ROW_NUM, PreparedFrame
+from tablemill.frame import ROW_ID, ROW_NUM, PreparedFrame, first_rows
 from tablemill.functions.conditions import condition, expression, ordered_numbers, sure
 from tablemill.functions.documents import is_cnpj, is_cpf
 from tablemill.functions.parsing import parsed_date
@@ -47,7 +47,12 @@ class ValidationResult:
 
     def ordered(self) -> DataFrame:
         """Issues in report order: row-local ones by row, then rule by rule."""
-        return self.issues.orderBy("phase", F.when(F.col("phase") == 1, F.col("ruleIndex")), F.when(F.col("phase") == 1, F.col("part")), "groupFirst", *self.order, "ruleIndex", "part").select(*ISSUE)
+        return self.issues.orderBy("phase", F.when(F.col("phase") == 1, F.col("ruleIndex")), F.when(F.col("phase") == 1, F.col("part")), *self.group_order(), *self.order, "ruleIndex", "part").select(*ISSUE)
+
+    def group_order(self) -> list[Column]:
+        """By the first row of a group, in the frame's order."""
+        first = lambda n: F.col("groupFirst")[n]
+        return [first(n).asc_nulls_last() if up else first(n).desc_nulls_last() for n, up in self.frame.order]
 
     def is_valid(self) -> bool:
         return not self.configuration_errors and self.issues.where("severity = 'error'").limit(1).isEmpty()
@@ -285,14 +290,10 @@ def with_counts(frame: PreparedFrame, ids: list[str], only: Column | None = None
     row. Keys are counted first and only repeated ones joined back."""
     keys = {f"__k{i}": frame.value(c).key for i, c in enumerate(ids)}
     rows = frame.df.where(filled(frame, ids) if only is None else only & filled(frame, ids)).withColumns(keys)
-    order = F.struct(*[F.col(n) for n, _ in frame.order])
-    if all(up for _, up in frame.order):
-        groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__first"))
-    else:
-        first = F.first(order).over(Window.partitionBy(*keys).orderBy(*frame.ordering))
-        groups = rows.withColumn("__first", first).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first("__first").alias("__first"))
-    groups = groups.where("__n > 1").drop("__n")
-    return rows.join(groups, list(keys))
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    rows = rows.join(groups, list(keys))
+    first = first_rows(frame, rows, list(keys)).select(*keys, F.struct(*[F.col(f"__o.{n}") for n, _ in frame.order]).alias("__first"))
+    return rows.join(first, list(keys))
 
 
 def dataset_issues(frame: PreparedFrame, index: int, name: str, rule: dict, references: dict[str, PreparedFrame]) -> list[DataFrame]:

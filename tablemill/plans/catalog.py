@@ -5,18 +5,20 @@ survivors, destination rows)."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.frame import ROW_ID, ROW_NUM, PreparedFrame, from_dataframe
+from tablemill.frame import ROW_ID, ROW_NUM, ColumnInfo, PreparedFrame, from_dataframe
 from tablemill.functions.documents import is_cnpj, is_cpf
-from tablemill.functions.storage import numbered
-from tablemill.operators import merge, profile
+from tablemill.functions.storage import numbered, shared_dir
+from tablemill.operators import mapping, merge, profile
 from tablemill.operators.commands import apply, edit_cells
 from tablemill.operators.history import PrepPipeline
 from tablemill.operators.validate import ValidationResult, distinct_entries, entry_matches, validate
+from tablemill.sources import delimited
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,9 +92,9 @@ def filter_equals(spark, d):
     return out(apply(frame(spark, d, "customer", "c_custkey", "c_mktsegment"), {"type": "filter", "columnId": "c_mktsegment", "operator": "equals", "value": "BUILDING"}))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, '1')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'old w')")
 def filter_contains(spark, d):
-    return out(apply(frame(spark, d, "part", "p_partkey", "p_name"), {"type": "filter", "columnId": "p_name", "operator": "contains", "value": "1"}))
+    return out(apply(frame(spark, d, "part", "p_partkey", "p_name"), {"type": "filter", "columnId": "p_name", "operator": "contains", "value": "old w"}))
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_name > 'NATION_1'")
@@ -490,7 +492,8 @@ def matrix_distinct_entries(spark, d):
 
 def sides(spark, d) -> tuple[PreparedFrame, PreparedFrame]:
     """Incoming: orders whose key is not divisible by 3, keyed by a third of it for one in 50;
-    existing: even keys, at sheet rows from 6 on, a third of them with another status."""
+    existing: even keys, some of them above row 100, where the data begin, a third of them with another
+    status."""
     orders = spark.read.parquet(f"{d}/orders.parquet")
     incoming = orders.where("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS k", "CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 50 = 0 THEN 4 ELSE o_orderkey END AS id", "o_orderstatus AS s")
     existing = orders.where("o_orderkey % 2 = 0").selectExpr("o_orderkey + 5 AS k", "CASE WHEN o_orderkey % 64 = 0 THEN 2 ELSE o_orderkey END AS id", "CASE WHEN o_orderkey % 5 = 0 THEN 'Z' ELSE o_orderstatus END AS s")
@@ -501,17 +504,17 @@ _SIDES = """i AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 101 = 0 THEN NU
 e AS (SELECT o_orderkey + 5 AS k, CASE WHEN o_orderkey % 64 = 0 THEN 2 ELSE o_orderkey END AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'Z' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 2 = 0)"""
 _UPDATE = f"""WITH {_SIDES},
 i2 AS (SELECT *, count(*) OVER (PARTITION BY id) AS ni FROM i),
-e2 AS (SELECT id, count(*) AS ne, min(k) AS ek, min_by(s, k) AS es FROM e GROUP BY id),
+e2 AS (SELECT id, count(*) AS ne, min(k) AS ek, min_by(s, k) AS es FROM e WHERE k >= 100 GROUP BY id),
 m AS (SELECT i2.*, ne, ek, es, CASE WHEN i2.id IS NULL THEN 'missing-update-key' WHEN ni > 1 THEN 'incoming-duplicate-key' WHEN ne > 1 THEN 'existing-duplicate-key' END AS reason FROM i2 LEFT JOIN e2 ON e2.id = i2.id),
 a AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'reject' WHEN ek IS NULL THEN 'insert' WHEN s IS NOT DISTINCT FROM es THEN 'keep' ELSE 'update' END AS action FROM m),
 p AS (SELECT action, 'row-' || k AS "incomingRowId", CASE WHEN action IN ('keep', 'update') THEN 'template-' || ek END AS "existingRowId",
-  CASE WHEN action = 'insert' THEN (SELECT greatest(5, max(k)) FROM e) + row_number() OVER (PARTITION BY action ORDER BY k) WHEN action IN ('keep', 'update') THEN ek END AS "destinationRow", reason, k FROM a)"""
+  CASE WHEN action = 'insert' THEN (SELECT greatest(99, max(k)) FROM e) + row_number() OVER (PARTITION BY action ORDER BY k) WHEN action IN ('keep', 'update') THEN ek END AS "destinationRow", reason, k FROM a)"""
 PLAN = ("action", "incomingRowId", "existingRowId", "destinationRow", "reason")
 
 
 def _plan(spark, d, mode: str):
     incoming, existing = sides(spark, d)
-    return merge.plan_write(mode, incoming, existing, 5, 6, ["id"] if mode == "update" else None)
+    return merge.plan_write(mode, incoming, existing, 99, 100, ["id"] if mode == "update" else None)
 
 
 @query(_UPDATE + ' SELECT action, "incomingRowId", "existingRowId", "destinationRow", reason FROM p')
@@ -519,20 +522,20 @@ def plan_update(spark, d):
     return _plan(spark, d, "update").rows.select(*PLAN)
 
 
-@query(f"""WITH {_SIDES} SELECT 'insert' AS action, 'row-' || k AS "incomingRowId", NULL::VARCHAR AS "existingRowId", (SELECT greatest(5, max(k)) FROM e) + row_number() OVER (ORDER BY k) AS "destinationRow", NULL::VARCHAR AS reason FROM i""")
+@query(f"""WITH {_SIDES} SELECT 'insert' AS action, 'row-' || k AS "incomingRowId", NULL::VARCHAR AS "existingRowId", (SELECT greatest(99, max(k)) FROM e) + row_number() OVER (ORDER BY k) AS "destinationRow", NULL::VARCHAR AS reason FROM i""")
 def plan_append(spark, d):
     return _plan(spark, d, "append").rows.select(*PLAN)
 
 
-@query(f"""WITH {_SIDES} SELECT 'insert' AS action, 'row-' || k AS "incomingRowId", NULL::VARCHAR AS "existingRowId", 5 + row_number() OVER (ORDER BY k) AS "destinationRow", NULL::VARCHAR AS reason FROM i
-UNION ALL SELECT 'clear', NULL, 'template-' || k, k, NULL FROM e WHERE k >= 6""")
+@query(f"""WITH {_SIDES} SELECT 'insert' AS action, 'row-' || k AS "incomingRowId", NULL::VARCHAR AS "existingRowId", 99 + row_number() OVER (ORDER BY k) AS "destinationRow", NULL::VARCHAR AS reason FROM i
+UNION ALL SELECT 'clear', NULL, 'template-' || k, k, NULL FROM e WHERE k >= 100""")
 def plan_replace(spark, d):
     return _plan(spark, d, "replace").rows.select(*PLAN)
 
 
 @query(f"""WITH {_SIDES} SELECT scope, key, rows, first FROM (
   SELECT 'incoming' AS scope, id::VARCHAR AS key, count(*) AS rows, min_by('row-' || k, k) AS first FROM i WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1
-  UNION ALL SELECT 'existing', id::VARCHAR, count(*), min_by('template-' || k, k) FROM e GROUP BY id HAVING count(*) > 1)""")
+  UNION ALL SELECT 'existing', id::VARCHAR, count(*), min_by('template-' || k, k) FROM e WHERE k >= 100 GROUP BY id HAVING count(*) > 1)""")
 def plan_duplicates(spark, d):
     return _plan(spark, d, "update").duplicates().select("scope", F.col("keyValues")[0].alias("key"), F.size("rowIds").cast("long").alias("rows"), F.col("rowIds")[0].alias("first"))
 
@@ -567,4 +570,78 @@ def rejected_rows(spark, d):
     return merge.rejected_rows(validate(plan.incoming, SIDE_RULES), plan).select("sourceRowNumber", "errorField", "invalidValue", "failedRuleOrTransform")
 
 
+@query(f"""WITH {_SIDES}, o AS (SELECT row_number() OVER (ORDER BY k) + 99 AS r, id::DOUBLE AS id, s FROM i)
+SELECT r AS "destinationRow", id, s FROM o UNION ALL SELECT k, id, s FROM e WHERE k < 100""")
+def plan_replace_applied(spark, d):
+    plan = _plan(spark, d, "replace").apply(["id", "s"])
+    return plan.select("destinationRow", F.col("id").cast("double").alias("id"), "s")
+
+
+@query(_UPDATE + """, bad AS (SELECT k FROM i WHERE s NOT IN ('F', 'O')), g AS (SELECT * FROM p WHERE k NOT IN (SELECT k FROM bad))
+SELECT count(*) FILTER (action = 'insert') AS inserted, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action = 'keep') AS kept,
+  (SELECT count(*) FROM (SELECT k FROM bad UNION SELECT k FROM p WHERE action = 'reject')) AS "rejectedRows",
+  ((SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM i WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1)) + (SELECT coalesce(sum(ne), 0) FROM e2 WHERE ne > 1))::BIGINT AS "duplicateRows" FROM g""")
+def export_effective_counts(spark, d):
+    plan = _plan(spark, d, "update")
+    return merge.effective_counts(validate(plan.incoming, SIDE_RULES), plan)
+
+
+@query(_UPDATE + """, bad AS (SELECT k FROM i WHERE s NOT IN ('F', 'O')), q AS (SELECT * FROM p WHERE action <> 'reject' AND k NOT IN (SELECT k FROM bad))
+SELECT action, "incomingRowId", CASE WHEN action = 'insert' THEN (SELECT min("destinationRow") FROM p WHERE action = 'insert') - 1 + row_number() OVER (PARTITION BY action ORDER BY "destinationRow") ELSE "destinationRow" END AS "destinationRow" FROM q""")
+def plan_compacted(spark, d):
+    plan = _plan(spark, d, "update")
+    bad = validate(plan.incoming, SIDE_RULES).issues.where("severity = 'error'").select("rowId")
+    return merge.compacted(plan, bad).select("action", "incomingRowId", "destinationRow")
+
+
+@query(_UPDATE + """ SELECT n, id, s, field, rule FROM (
+SELECT k AS n, i.id::VARCHAR AS id, s, 's' AS field, 'allowed' AS rule FROM i WHERE s NOT IN ('F', 'O')
+UNION ALL SELECT p.k, i.id::VARCHAR, i.s, 'id', reason FROM p JOIN i USING (k) WHERE action = 'reject')""")
+def rejected_sheet(spark, d):
+    plan = _plan(spark, d, "update")
+    sheet = merge.rejected_sheet(validate(plan.incoming, SIDE_RULES), plan)
+    names = {"sourceRowNumber": "n", "original.id": "id", "original.s": "s", "errorField": "field", "failedRuleOrTransform": "rule"}
+    rows = sheet.df.select(*[F.col(f"`{a}`").alias(b) for a, b in names.items()])
+    return rows.withColumn("id", F.nullif("id", F.lit("")))
+
+
+@query("""SELECT c_custkey AS code, c_mktsegment AS segment, NULL::VARCHAR AS note, 'novo' AS origin FROM customer""")
+def mapping_applied(spark, d):
+    f = frame(spark, d, "customer", "c_custkey", "c_mktsegment", "c_name")
+    to = tuple(ColumnInfo(i, i, k) for k, i in enumerate(("code", "segment", "note", "origin")))
+    m = [mapping.Mapping("c_custkey", "code", "exact", 1.0, "accepted"), mapping.Mapping("c_mktsegment", "segment", "exact", 1.0, "accepted"), mapping.Mapping("c_name", "origin", "low", 0.0, "fixed", "novo")]
+    return out(mapping.in_destination_columns(f, m, to))
+
+
+@query("""WITH e AS (SELECT s_suppkey + 2 AS k, s_suppkey AS code, s_name AS label FROM supplier), i AS (SELECT c_custkey AS k, c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN s_name ELSE c_name END AS n FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey)
+SELECT CASE WHEN e.k IS NULL THEN 'insert' WHEN label = n THEN 'keep' ELSE 'update' END AS action, count(*) AS n FROM i LEFT JOIN e ON code = id GROUP BY 1""")
+def plan_through_mapping(spark, d):
+    """Existing suppliers under other names, seen in the columns of the incoming rows."""
+    customer, supplier = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "supplier"))
+    rows = customer.join(supplier, F.col("s_suppkey") == F.col("c_custkey"), "left").selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 2 = 0 THEN s_name ELSE c_name END AS n")
+    incoming = from_dataframe(rows, ["id"], ["id", "n"])
+    existing = from_dataframe(supplier.selectExpr("s_suppkey + 2 AS k", "s_suppkey AS code", "s_name AS label"), ["k"], ["code", "label"], prefix="template-")
+    m = [mapping.Mapping("id", "code", "exact", 1.0, "accepted"), mapping.Mapping("n", "label", "low", 0.0, "accepted")]
+    plan = merge.plan_write("update", incoming, mapping.projected(existing, incoming, m), 1, 2, ["id"])
+    return plan.rows.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'd widget')")
+def search_rows(spark, d):
+    return out(profile.search(frame(spark, d, "part", "p_partkey", "p_name"), "p_name", " D  Wídget"), "p_partkey")
+
+
+@query("SELECT c_custkey::DOUBLE AS code, c_name AS name, c_acctbal AS balance, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment || chr(10) || '\"x\", ' || c_nationkey END AS note FROM customer")
+def csv_folder(spark, d):
+    """Customers written as a folder of delimited files, quotes and line ends inside fields, and read
+    back as one source."""
+    note = "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment || '\n' || '\"x\", ' || c_nationkey END AS note"
+    rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS code", "c_name AS name", "c_acctbal AS balance", note)
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    rows.repartition(3).write.csv(path, header=True, escape='"', quote='"')
+    f = delimited.read_csv(spark, path)
+    names = {c.id: c.header for c in f.columns}
+    return f.df.select(*[F.col(f"`{i}`").alias(h) for i, h in names.items()])
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "ROW_NUM", "flagship"]

@@ -1,4 +1,4 @@
-"""Delimited text with provenance: every row knows its record number in the file.
+"""Delimited text with provenance: every row knows its record number in the source.
 
 The file is split by Spark, however large it is. A first pass counts lines, quotes and records of
 each split (a few numbers for each); from them every split knows whether it starts inside a
@@ -6,10 +6,14 @@ quoted field and which record it starts with. The second pass parses records whe
 the pieces of records that cross a split (two for each split) are shuffled. Parsed rows are
 written to the shared folder once, so the types are then inferred from columns.
 
+A source is a file, a folder or a pattern; several files are read in the order of their paths as
+one, each with the same header, and their records are numbered on.
+
 Defined cases: a blank record is counted but dropped; a short record's missing cells are null; a
 record with more filled fields than the header, and a quote that is never closed, raise
 SourceReadError; lines end with LF or CRLF; quotes stand around whole fields (doubled inside); a
-file with a header alone gives no rows; an empty file raises EmptySource.
+file with a header alone gives no rows; an empty file raises EmptySource (among others it is left
+out); files with unlike headers raise UnlikeHeaders.
 """
 
 from __future__ import annotations
@@ -29,6 +33,9 @@ from tablemill.functions.storage import materialize
 
 #: Delimiters looked for, in order of preference, and the size of the sample.
 DELIMITERS, SAMPLE = (",", ";", "\t", "|"), 65_536
+#: Forms of a header that are compared: with and without a byte order mark, quotes or a carriage
+#: return; more than these are unlike.
+MOST_HEADERS = 64
 #: A zero-padded whole number is an id, not a number.
 PADDED = r"^[-+]?0[0-9]+\z"
 
@@ -82,37 +89,46 @@ def source_ids(headers: list[str]) -> list[str]:
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """value and the split it stands in; a task reads a split's lines in order."""
-    return spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_block_start").alias("split"))
+    """value and the split it stands in (file and start); a task reads a split's lines in order."""
+    return spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+
 
+Split = tuple[str, int]
 
-def split_starts(lines: DataFrame) -> tuple[dict[int, tuple[bool, int]], int, bool]:
+
+def split_starts(lines: DataFrame) -> tuple[dict[Split, tuple[bool, int]], list[int], bool]:
     """For each split: whether it starts inside quotes, and the number of records begun before;
-    then all records, and whether a quote stays open."""
+    then the number of each file's first record, and whether a quote stays open at a file's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # records that begin in the split if it starts outside quotes, or inside; quotes
-        found: dict[int, list[int]] = {}
+        found: dict[Split, list[int]] = {}
         for batch in batches:
-            for text, split in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = found.setdefault(split, [0, 0, 0])
+            for text, *split in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                s = found.setdefault(tuple(split), [0, 0, 0])
                 s[s[2] % 2] += 1  # a line begins a record for the parity that is outside here
                 s[2] += text.count('"')
-        rows = [[k, *v] for k, v in found.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["split", "outside", "inside", "quotes"])
-
-    starts, inside, begun = {}, False, 0
-    for r in sorted(lines.mapInArrow(run, "split long, outside long, inside long, quotes long").collect()):
-        starts[r.split] = (inside, begun)
+        rows = [[*k, *v] for k, v in found.items()]
+        kinds = [pa.string(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["file", "split", "outside", "inside", "quotes"])
+
+    starts, heads, inside, begun, file = {}, [], False, 0, None
+    for r in sorted(lines.mapInArrow(run, "file string, split long, outside long, inside long, quotes long").collect()):
+        if r.file != file:
+            if inside:
+                break
+            heads.append(begun + 1)
+            file = r.file
+        starts[r.file, r.split] = (inside, begun)
         begun += r.inside if inside else r.outside
         inside ^= r.quotes % 2 == 1
-    return starts, begun, inside
+    return starts, heads, inside
 
 
 PIECES = "num long, place long, text string, whole boolean"
 
 
-def records_of(lines: DataFrame, starts: dict[int, tuple[bool, int]]) -> DataFrame:
+def records_of(lines: DataFrame, starts: dict[Split, tuple[bool, int]]) -> DataFrame:
     """(num, text) of all records, numbered from 1."""
     shared = lines.sparkSession.sparkContext.broadcast(starts)
 
@@ -122,12 +138,12 @@ def records_of(lines: DataFrame, starts: dict[int, tuple[bool, int]]) -> DataFra
         now, inside, num, torn, place = None, False, 0, False, 0
         for batch in batches:
             out: list[tuple] = []
-            for text, split in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, *split in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if split != now:
                     if held:
                         out.append((num, place, "\n".join(held), False))
-                    now, held, place = split, [], split
-                    inside, num = shared.value[split]
+                    now, held, place = split, [], split[1]
+                    inside, num = shared.value[tuple(split)]
                     torn = inside  # the first record began in an earlier split
                 if not inside:
                     num += 1
@@ -166,16 +182,20 @@ def parsed(records: DataFrame, width: int, delimiter: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> PreparedFrame:
     lines = lines_of(spark, path)
-    starts, n, open_ = split_starts(lines)
-    if not n:
+    starts, heads, open_ = split_starts(lines)
+    if not heads:
         raise SourceReadError(Issue("EmptySource", "O arquivo não possui cabeçalho."))
     if open_:
         raise SourceReadError(Issue("MissingQuotes", "Um campo entre aspas não foi fechado."))
     records = records_of(lines, starts)
-    head = records.where("num = 1").first().text.removeprefix("﻿")
-    delimiter = delimiter or detect_delimiter(head)
-    headers = fields_of(head, delimiter)
-    rows = materialize(parsed(records.where("num > 1"), len(headers), delimiter), "records")
+    # one number for each file, as many as there are files
+    first = F.broadcast(spark.createDataFrame([(n,) for n in heads], "num long"))
+    kept = [r.text.removeprefix("﻿") for r in records.join(first, "num").groupBy("text").agg(F.min("num").alias("num")).orderBy("num").limit(MOST_HEADERS).collect()]
+    delimiter = delimiter or detect_delimiter(kept[0])
+    headers = fields_of(kept[0], delimiter)
+    if any(fields_of(h, delimiter) != headers for h in kept):
+        raise SourceReadError(Issue("UnlikeHeaders", "Os arquivos possuem cabeçalhos diferentes."))
+    rows = materialize(parsed(records.join(first, "num", "left_anti"), len(headers), delimiter), "records")
     wrong = rows.where("extra").agg(F.min("num").alias("n")).first().n
     if wrong is not None:
         raise SourceReadError(Issue("TooManyFields", f"O registro {wrong} possui mais campos que o cabeçalho.", wrong))

@@ -294,6 +294,19 @@ def workbooks(frame: PreparedFrame, sheet: str = SHEET_NAME, rows: int = ROWS) -
     return dealt.groupBy("part").applyInArrow(run, "part long, n_rows long, content binary")
 
 
+def read_references(spark: SparkSession, source: str | None = None, template: str | None = None, max_cells: int = MAX_CELLS) -> dict[str, PreparedFrame]:
+    """Every sheet of both workbooks, named source:<sheet> and template:<sheet>, for relation rules;
+    sheets that cannot be read are left out."""
+    out = {}
+    for name, path in (("source", source), ("template", template)):
+        for sheet in list_sheets(spark, path) if path else ():
+            try:
+                out[f"{name}:{sheet}"] = read_xlsx(spark, path, sheet, max_cells)
+            except SourceReadError:
+                continue
+    return out
+
+
 def read_source(spark: SparkSession, path: str, delimiter: str | None = None, sheet: str | None = None, max_cells: int = MAX_CELLS) -> PreparedFrame:
     """By the file's extension."""
     from tablemill.sources.delimited import read_csv

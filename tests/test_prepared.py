@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tablemill.frame import ColumnInfo, FrameError, from_dataframe, make_column_id
 from tablemill.functions.conditions import ConditionError
-from tablemill.operators.commands import apply
-from tablemill.operators.history import PrepPipeline
-from tablemill.operators.mapping import duplicate_destinations, suggest
-from tablemill.operators.merge import plan_write
-from tablemill.operators.rules import configuration_errors
-from tablemill.operators.validate import validate
+from tablemill.functions.parsing import js_number
+from tablemill.operators import profile
+from tablemill.operators.builders import build
+from tablemill.operators.commands import apply, edit_cells
+from tablemill.operators.history import PrepPipeline, columns_changed, fingerprint, rules_still_valid
+from tablemill.operators.mapping import Mapping, accept_all, duplicate_destinations, identity, ignore_all, in_destination_columns, projected, reconcile, review, suggest, with_fixed_values
+from tablemill.operators.merge import plan_write, rejected_sheet
+from tablemill.operators.rules import CARDINALITIES, configuration_errors, matching_rules, relation_rule, type_rules
+from tablemill.operators.validate import matched_by_matrix, validate
 
 PEOPLE = [(1, "Ana Silva", "Sao Paulo", 10.0, "31/01/2026"), (2, "Bruno", "Rio", 2.0, "2026-02-01"), (3, "Ana Silva", "", None, None)]
 RICH = {"type": "predicate", "columnId": "amount", "operator": "greaterThan", "operand": {"type": "literal", "value": 5}}
@@ -156,6 +161,18 @@ def test_update_plan(spark):
     assert {(r.scope, *r.rowIds) for r in plan.duplicates().collect()} == {("incoming", "row-5", "row-6"), ("existing", "template-8", "template-9")}
 
 
+def test_rows_above_the_data_are_no_data(spark):
+    incoming = sheet(spark, [(1, "1", "new"), (2, "2", "b")], "row-")
+    existing = sheet(spark, [(1, "1", "title"), (3, "2", "x"), (4, "2", "y"), (6, "2", "b")])
+    plan = plan_write("update", incoming, existing, 4, 5, ["id"])
+    assert {r.incomingRowId: (r.action, r.destinationRow) for r in plan.rows.collect()} == {"row-1": ("insert", 7), "row-2": ("keep", 6)}
+    assert plan.duplicates().count() == 0
+    assert sorted(r.destinationRow for r in plan.apply().collect()) == [1, 3, 4, 6, 7]
+    assert sorted(r.destinationRow for r in plan_write("replace", incoming, existing, 4, 5).apply().collect()) == [1, 3, 4, 5, 6]
+    with pytest.raises(FrameError):
+        plan_write("append", incoming, from_dataframe(existing.df.select("id", "v"), ["id"]), 4, 5)
+
+
 @pytest.mark.parametrize(("mode", "rows"), [("replace", [6, 7]), ("append", [11, 12])])
 def test_replace_and_append(spark, mode, rows):
     plan = plan_write(mode, sheet(spark, [(1, "a", "x"), (2, "b", "y")], "row-"), sheet(spark, [(9, "c", "z"), (10, "d", "w")]), 5, 6)
@@ -180,3 +197,128 @@ def test_header_matching():
     assert 0.85 <= near.score < 1
     twice = suggest(headers("Valor", "Valor"), headers("Valor"))
     assert [m.score for m in twice] == [1, 1] and duplicate_destinations(twice) == ["c0"]
+
+
+def test_reviews():
+    m = suggest(headers("Valor", "Nome", "Nada"), headers("Valor", "Nome"))
+    assert [x.status for x in accept_all(m)] == ["accepted", "accepted", "ignored"]
+    assert {x.destination for x in ignore_all(m)} == {None}
+    m = review(review(review(m, "c0", "map", "c1"), "c1", "ignore"), "c2", "fixed", "c0", 7)
+    assert [(x.status, x.destination, x.value) for x in m] == [("accepted", "c1", None), ("ignored", None, None), ("fixed", "c0", 7)]
+    again = reconcile(m, headers("Valor", "Nome"), headers("Valor"))
+    assert [(x.status, x.destination) for x in again] == [("review-required", "c0"), ("ignored", None)]
+    assert [(x.source, x.destination, x.status) for x in identity(headers("A"))] == [("c0", "c0", "accepted")]
+
+
+def test_mappings_are_applied(people):
+    m = [Mapping("name", "who", "exact", 1.0, "accepted"), Mapping("city", "town", "low", 0.0, "fixed", "X"), Mapping("amount", None, "low", 0.0, "ignored")]
+    assert column(with_fixed_values(people, m), "city") == ["X"] * 3
+    out = in_destination_columns(people, m, (ColumnInfo("town", "T", 0), ColumnInfo("who", "W", 1), ColumnInfo("none", "N", 2)))
+    assert [tuple(r) for r in out.sorted().select("town", "who", "none").collect()] == [("X", "Ana Silva", None), ("X", "Bruno", None), ("X", "Ana Silva", None)]
+    back = projected(out, people, m)
+    assert back.ids == people.ids and column(back, "name") == column(people, "name") and column(back, "amount") == [None] * 3
+    with pytest.raises(FrameError):
+        in_destination_columns(people, [*m, Mapping("day", "who", "exact", 1.0, "accepted")], out.columns)
+
+
+def test_fingerprints():
+    m = [Mapping("a", "b", "exact", 1.0)]
+    assert fingerprint("update", ["a"], m, 1) == fingerprint("update", ["a"], m, 1) != fingerprint("update", ["a"], m, 2)
+
+
+# --- the rest
+
+
+def test_commands_from_forms(people):
+    assert build(people, "splitColumn", "name")["newColumns"] == [{"id": "parte-1__4", "header": "Parte 1"}, {"id": "parte-2__5", "header": "Parte 2"}]
+    assert build(people, "splitColumn", "name")["delimiter"] == " "
+    assert build(people, "currencyConversion", "amount") == {"type": "currencyConversion", "columnId": "amount", "locale": "pt-BR", "currency": "BRL"}
+    assert build(people, "findReplace", "city", "a", "b", when=RICH) == {"type": "findReplace", "columnIds": ["city"], "find": "a", "replace": "b", "caseSensitive": False, "when": RICH}
+    assert build(people, "reorderColumns", "day")["columnIds"] == ["day", "name", "city", "amount"]
+    assert build(people, "calculatedColumn", "amount", "Dobro", " 2 ", operator="*")["expression"]["right"] == {"type": "literal", "value": 2.0}
+    assert column(apply(people, build(people, "calculatedColumn", "amount", "Dobro", "2", operator="*")), "dobro__4") == [20.0, 4.0, None]
+    for kind in ("sort", "removeEmptyRows", "deduplicate", "renameHeader", "dateConversion", "prefix", "suffix", "fixedValue"):
+        apply(people, build(people, kind, "name", "x")).df.count()
+    apply(people, build(people, "combineColumns", "name", "-", second="city"), build(people, "numberConversion", "amount"), build(people, "conditionalRule", "name", "Bruno", "Y", "city"), build(people, "filter", "city", "Y", operator="contains")).df.count()
+    with pytest.raises(FrameError):
+        build(people, "editCell", "name")
+
+
+@pytest.mark.parametrize(("text", "old", "want"), [("1,5", 2.0, 1.5), ("x", 2.0, "x"), ("", 2.0, ""), ("true", False, True), ("yes", False, "yes"), ("1", "a", "1")])
+def test_grid_edits(text, old, want):
+    assert profile.edited_value(text, old) == want
+
+
+def test_typed_input():
+    assert [profile.parse_cell_input(t, k) for t, k in ((" ", "number"), ("1.234,5", "number"), ("TRUE", "boolean"), (" a ", "string"))] == [None, 1234.5, True, " a "]
+    for text, kind in (("x", "number"), ("yes", "boolean")):
+        with pytest.raises(TypeError):
+            profile.parse_cell_input(text, kind)
+
+
+def test_search_and_display(people):
+    assert keys(profile.search(people, "city", "são")) == [1] and keys(profile.search(people, "name", "")) == [1, 2, 3]
+    assert [r[0] for r in people.sorted().select(profile.display(people.value("amount"))).collect()] == ["10", "2", "Vazio"]
+    table = people.df.sparkSession.range(10)
+    assert [profile.memory_risk(table, n)[1] for n in (80, 79, 1)] == ["safe", "warning", "high"]
+
+
+def test_long_based_numbers(spark):
+    texts = ["0x" + "F" * 20, "0x0000000000000000001f", "0b" + "1" * 70, "0o7777777777777777777777777", "0x", "0x20000000000001", "0x20000000000003", "0x200000000000010000000001", "0b0", "0x" + "f" * 300]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(js_number(F.col("t"))).collect()]
+    assert got[-1] == float("inf")
+    assert got[:-1] == [None if t == "0x" else float(int(t, 0)) for t in texts[:-1]]
+
+
+def test_patterns_are_judged_by_what_runs_them(people):
+    rule = lambda p: {"type": "format", "columnId": "name", "format": "regex", "pattern": p}
+    assert not configuration_errors([rule("^(?<a>A).*")], people.ids) and configuration_errors([rule("(?P<a>A)")], people.ids) and configuration_errors([rule("(")], people.ids)
+    assert {r for r, _ in codes(validate(people, [rule("^(?<a>A).*"), rule("(?P<a>A)")]))} == {"row-2"}
+
+
+def test_many_edits(people):
+    edits = [{"rowId": "row-2", "columnId": "city", "value": str(i)} for i in range(3_000)] + [{"rowId": "row-1", "columnId": "amount", "value": 3}, {"rowId": "row-3", "columnId": "city", "value": None}]
+    out = edit_cells(people, edits)
+    assert column(out, "city") == ["Sao Paulo", "2999", None] and column(out, "amount") == [3.0, 2.0, None]
+    with pytest.raises(FrameError):
+        apply(people, {"type": "editCell", "rowId": "row-9", "columnId": "city", "value": "x"})
+
+
+def test_first_rows_under_any_order(spark):
+    """A hot key and nulls in the order, in both directions, against sorting by hand."""
+    rows = [(i, "hot" if i % 3 else f"k{i % 4}", None if i % 5 == 0 else i % 7) for i in range(200)]
+    f = from_dataframe(spark.createDataFrame(rows, "k long, key string, v long"), ["k"], ["key", "v"])
+    for direction in ("asc", "desc"):
+        s = apply(f, {"type": "sort", "sorts": [{"columnId": "v", "direction": direction}]})
+        order = [r._row_num for r in s.sorted().collect()]
+        for keep in ("first", "last"):
+            want = {}
+            for n in order if keep == "first" else order[::-1]:
+                want.setdefault(rows[n][1], n)
+            got = apply(s, {"type": "deduplicate", "columnIds": ["key"], "keep": keep})
+            assert sorted(keys(got)) == sorted(want.values())
+        issues = codes(validate(s, [{"type": "unique", "columnId": "key"}]))
+        assert len(issues) == 200 and issues[0][0] == f"row-{order[0]}"
+    assert apply(f, {"type": "deduplicate", "columnIds": [], "keep": "last"}).df.count() == 1
+
+
+def test_rules_from_columns_and_names(people):
+    infos = [ColumnInfo("a", "A", 0, "number"), ColumnInfo("b", "B", 1, "mixed"), ColumnInfo("c", "C", 2, "string")]
+    assert type_rules(infos, ("c",)) == [{"type": "type", "columnId": "a", "valueType": "number"}]
+    made = [relation_rule("x", ["a"], ["b"], name) for name in CARDINALITIES]
+    assert [(r["minMatches"], r.get("maxMatches")) for r in made] == list(CARDINALITIES.values())
+    assert matching_rules([*made, {"type": "required", "columnId": "city", "severity": "warning"}], "CITY", "warning") == [{"type": "required", "columnId": "city", "severity": "warning"}]
+    assert rules_still_valid([{"type": "required", "columnId": "city"}, {"type": "required", "columnId": "gone"}], people) == [{"type": "required", "columnId": "city"}]
+    assert columns_changed(people, apply(people, {"type": "renameHeader", "columnId": "city", "header": "Z"})) and not columns_changed(people, people)
+    rule = {"type": "conditionalMatrix", "keyColumnIds": ["city"], "dependentColumnIds": [], "entries": [{"conditions": {"city": {"operator": "equals", "value": "Rio"}}, "constraints": {}}]}
+    assert matched_by_matrix(people, rule) == 1
+
+
+def test_rejected_sheet_is_written(spark, people):
+    from tablemill.operators.merge import REJECTED_SHEET
+    from tablemill.sources.workbooks import workbooks
+
+    sheet_ = rejected_sheet(validate(people, [{"type": "required", "columnId": "city"}, {"type": "numberRange", "columnId": "amount", "min": 5}]))
+    assert [c.header for c in sheet_.columns][:2] == ["número da linha de origem", "name"] and len(sheet_.columns) == 9
+    assert [r["original.name"] for r in sheet_.sorted().collect()] == ["Bruno", "Ana Silva"]
+    assert workbooks(sheet_, REJECTED_SHEET).first().n_rows == 2

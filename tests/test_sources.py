@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablemill.frame import ROW_NUM, FrameError, from_dataframe
 from tablemill.operators.commands import apply
 from tablemill.sources.delimited import SourceReadError, detect_delimiter, read_csv
-from tablemill.sources.workbooks import list_sheets, read_source, read_xlsx, unique_sheet_name, workbook_bytes, workbooks
+from tablemill.sources.workbooks import list_sheets, read_references, read_source, read_xlsx, unique_sheet_name, workbook_bytes, workbooks
 from tablemill.streaming.prepared import apply_to_stream, first_of_each, validate_stream
 
 
@@ -171,3 +171,31 @@ def test_rules_and_commands_on_a_stream(spark, tmp_path):
             apply_to_stream(f, bad)
     with pytest.raises(FrameError):
         validate_stream(f, [{"type": "unique", "columnId": "s"}])
+
+
+def test_a_folder_is_one_source(spark, tmp_path):
+    """Quoted line ends across splits, a byte order mark, an empty file among others."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for n, text in {"a": "id,t\n1,x\n2,\"a\nb\"\n", "b": "", "c": "﻿\"id\",t\r\n3,\"q\"\"\n\"\r\n\r\n4,y\r\n", "d": "id,t\n"}.items():
+        (folder / f"{n}.csv").write_bytes(text.encode())
+    f = read_csv(spark, f"file://{folder}")
+    assert rows(f) == [(1.0, "x"), (2.0, "a\nb"), (3.0, 'q"\n'), (4.0, "y")]
+    assert [r[0] for r in f.sorted().select(ROW_NUM).collect()] == [2, 3, 5, 7]
+    assert rows(read_csv(spark, f"file://{folder}/[ad].csv")) == rows(f)[:2]
+    (folder / "e.csv").write_text("id,u\n5,z\n")
+    with pytest.raises(SourceReadError) as e:
+        read_csv(spark, f"file://{folder}")
+    assert e.value.issues[0].code == "UnlikeHeaders"
+    (folder / "e.csv").write_text('id,t\n5,"z\n')
+    with pytest.raises(SourceReadError) as e:
+        read_csv(spark, f"file://{folder}")
+    assert e.value.issues[0].code == "MissingQuotes"
+
+
+def test_every_sheet_is_a_reference(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(workbook_bytes(["code"], iter([["A"], ["B"]]), "Catalog"))
+    (tmp_path / "b.xlsx").write_bytes(workbook_bytes([f"c{i}" for i in range(9)], iter([["A"] * 9] * 9), "Large"))
+    got = read_references(spark, f"file://{tmp_path}/a.xlsx", f"file://{tmp_path}/b.xlsx", max_cells=20)
+    assert list(got) == ["source:Catalog"] and rows(got["source:Catalog"]) == [("A",), ("B",)]
+    assert read_references(spark, f"file://{tmp_path}/a.csv") == {}
