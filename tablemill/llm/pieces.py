@@ -275,29 +275,38 @@ def table_of(make: type, shared) -> PrefixTable | Decoder:
     return held[1]
 
 
-def apply(docs: DataFrame, make: type, method: str, vocab: dict, column: str, keep: tuple[str, ...], name: str, kind: str) -> DataFrame:
-    """keep columns and `name`, what the table's method makes of the column."""
+def mapped(docs: DataFrame, vocab: dict, column: str, keep: tuple[str, ...], names: dict[str, str], steps: list[tuple[type, str]]) -> DataFrame:
+    """keep columns and what the steps (a table and its method) make of the column, each of what the
+    one before has made."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
     source = docs.select(*[F.col(c) for c in keep], F.col(column).alias("__in"))
-    schema = source.drop("__in").schema.add(name, kind)
+    schema = source.drop("__in").schema
+    for name, kind in names.items():
+        schema = schema.add(name, kind)
+    kinds = [pa.binary() if kind == "binary" else pa.string() for kind in names.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = getattr(table_of(make, shared), method)
-        out = pa.binary() if kind == "binary" else pa.string()
+        each = [getattr(table_of(make, shared), method) for make, method in steps]
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array([each(x) for x in part.column(len(keep)).to_pylist()], out)], schema.names)
+                made, now = [], part.column(len(keep)).to_pylist()
+                for step, kind in zip(each, kinds):
+                    now = [step(x) for x in now]
+                    made.append(pa.array(now, kind))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decode: bool = False) -> DataFrame:
     """keep columns and `ids` (binary, little-endian unsigned 32-bit integers, begin and end
-    included) for every row of docs."""
-    return apply(docs, PrefixTable, "encode", vocabulary(model), text, keep, "ids", "binary")
+    included) for every row of docs; with decode also `decoded`, the text of those ids, made from
+    them in the same pass."""
+    names = {"ids": "binary"} | ({"decoded": "string"} if decode else {})
+    return mapped(docs, vocabulary(model), text, keep, names, [(PrefixTable, "encode"), (Decoder, "text")][: len(names)])
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns and `decoded`, the text of the ids, for every row of docs."""
-    return apply(docs, Decoder, "text", vocabulary(model), ids, keep, "decoded", "string")
+    return mapped(docs, vocabulary(model), ids, keep, {"decoded": "string"}, [(Decoder, "text")])

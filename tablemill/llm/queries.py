@@ -84,7 +84,7 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), piece_model()), piece_model(), keep=("doc_id", "ids"))
+    out = pieces.encode(table(spark, sf_dir, "documents"), piece_model(), decode=True)
     return out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -49,5 +49,5 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids (little-endian unsigned 32-bit integers), their number, and whether they
     decode to the text."""
-    out = pieces.decode(pieces.encode(docs, piece_model(), keep=("doc_id", "text")), piece_model(), keep=("doc_id", "text", "ids"))
+    out = pieces.encode(docs, piece_model(), keep=("doc_id", "text"), decode=True)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
