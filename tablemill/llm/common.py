@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablemill.functions.storage import materialize, shared_dir
 
-__all__ = ["ascii_lower", "input_bytes", "materialize", "shared_dir", "table", "union_all"]
+__all__ = ["ascii_lower", "bucketed", "input_bytes", "materialize", "shared_dir", "table", "union_all"]
 
 #: A-Z only, as the contracts ask; Spark's lower() would also change other letters.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,5 +35,16 @@ def input_bytes(df: DataFrame, text: str) -> int:
     return known if known < UNKNOWN_BYTES else df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df written to the shared folder in buckets of column, so that what is grouped or joined by
+    it later need not be shuffled again. Each task writes a file for each bucket that it has."""
+    spark = df.sparkSession
+    entry, path = f"tablemill_{uuid.uuid4().hex}", os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).saveAsTable(entry, format="parquet")
+    out = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")  # the entry alone: the files stay, and out reads them
+    return out
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
