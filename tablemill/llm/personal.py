@@ -1,13 +1,15 @@
 """Personal data by weak supervision.
 
 Candidates are the base spans (fixed patterns with their checks), the base matches that failed
-their check, and looser forms (national phone numbers, e-mail addresses written with (at)).
+their check, and looser forms (national phone numbers, e-mail addresses written with (at), and
+secrets: what is assigned to a name, or stands alone as a long mix of letters and digits).
 Five labelers vote yes, no or abstain on each candidate: its pattern, a gazetteer (top-level
-domains, card issuers, calling codes, reserved addresses), the words before it, what it touches,
-and its digits' shape. Expectation-maximisation over the counts of vote patterns estimates how
-reliable each labeler is (Dawid and Skene's model, one for each kind), and its posteriors train
-the final classifier, a logistic regression over votes, kind and length. Base spans always
-stay; other candidates are added where the classifier is sure.
+domains, card issuers, calling codes, reserved addresses, names of secrets and of other numbers),
+the words before it, what it touches, and the shape of its characters. Expectation-maximisation
+over the counts of vote patterns estimates how reliable each labeler is (Dawid and Skene's
+model, one for each kind) from how they agree, without any of them being taken for the truth; its
+posteriors train the final classifier, a logistic regression over votes, kind and length. Base
+spans always stay; other candidates are added where the classifier is sure.
 
 Vote patterns are counted over all documents with partial counts in each task, so what reaches
 the driver is bounded by the number of patterns (a few thousand), whatever the input. Texts are
@@ -15,7 +17,8 @@ scanned where they lie, in linear time; there is no shuffle of texts.
 
 Defined cases: null and empty texts have no spans; positions are code points, ends exclusive;
 candidates that overlap a base span are dropped; repeated rows are scanned each on its own; an
-empty table trains nothing and adds nothing; other columns are ignored unless named in `keep`.
+empty table trains nothing and adds nothing; other columns are ignored unless named in `keep`, which
+may not name a result column.
 """
 
 from __future__ import annotations
@@ -30,18 +33,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Kinds that base spans have; a secret is never one.
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 VOTES, SURE, ROUNDS = 5, 0.95, 60
+#: How labelers are thought to vote (no, abstain, yes) on what is not and what is personal data, and
+#: the weight of that against the candidates themselves.
+FAIR, BELIEF = np.array([[0.7, 0.2, 0.1], [0.1, 0.2, 0.7]]), 0.2
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Digits are read from the start of a run, so a failed run is not tried again at each digit.
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-DIGIT = re.compile(r"[0-9]")
+DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 NATIONAL = re.compile(r"(?<![\w+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])")
 WRITTEN_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]{1,63}){1,8}")
+#: A value after a name and = or :, and a long run of letters and digits.
+ASSIGNED = re.compile(r"(?<![\w-])(?P<name>[A-Za-z][A-Za-z_-]{1,30})[\"']? ?[=:] ?[\"']?(?P<value>[A-Za-z0-9_+/.-]{6,256})(?![\w+/-])")
+BARE = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9]{16,256}(?![A-Za-z0-9_+/=.-])")
 #: Fixed lists of the gazetteer and of context words.
+#: Documented forms of access key ids and tokens.
+KEY_FORMS = re.compile(r"(AKIA|ASIA)[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36,}|AIza[0-9A-Za-z_-]{35}")
+SECRET_NAMES = re.compile(r"(?i)pass(word|wd|phrase)?$|pwd$|token$|secret$|(api|access|private|auth)[_-]?key$|credentials?$")
+OTHER_NAMES = re.compile(r"(?i)(id|sku|isbn|issn|doi|date|time|url|http|https|ref|no|version|commit|sha|md5|hash|serial|order|part|code)$")
 TOP_LEVEL = frozenset("com org net edu gov mil int info io co de fr es it uk us eu nl ch at be pl pt br ru cn jp in au ca".split())
 CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "62", "64", "65", "81", "82", "86", "90", "91")
 ISSUERS = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6011|65|35|36|38")
@@ -50,8 +65,10 @@ YES_WORDS = {
     "ip": frozenset("ip host server address addr from peer client".split()),
     "card": frozenset("card visa mastercard amex credit debit payment pay".split()),
     "phone": frozenset("phone tel telephone call mobile cell fax whatsapp sms".split()),
+    "secret": frozenset("password passwd pwd token secret key credential credentials login auth".split()),
 }
-NO_WORDS = frozenset("version release isbn order invoice serial item part section chapter id sku tracking".split())
+NO_WORDS = frozenset("version release isbn order invoice serial item part section chapter id sku tracking commit checksum hash revision model".split())
+NAME_BEFORE = re.compile(r"([A-Za-z][A-Za-z_-]*)[\"']? ?[=:]? ?[\"']?$")
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 
@@ -82,7 +99,7 @@ def digits_of(s: str) -> str:
 
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end, kind, form): form 0 is a base span, 1 a base match that failed its check,
-    2 a looser form; the last two only where no base span lies."""
+    2 a looser form, 3 one without a name; all but the first only where no base span lies."""
     base: list[tuple[int, int, int, int]] = []
     if "@" in text:
         base += [(s, e, 0, 0) for s, e in emails(text)]
@@ -102,12 +119,20 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
                 good = 9 <= len(digits_of(m[0])) <= 15
                 (base if good else more).append((m.start(), m.end(), 3, 0 if good else 1))
         more += [(m.start(), m.end(), 3, 2) for m in NATIONAL.finditer(text)]
+        more += [(m.start(), m.end(), 4, 3) for m in BARE.finditer(text) if mixed_shape(m[0])]
     if "(at)" in text or "[at]" in text:
         more += [(m.start(), m.end(), 0, 2) for m in WRITTEN_AT.finditer(text)]
+    if "=" in text or ":" in text:
+        more += [(m.start("value"), m.end("value"), 4, 2) for m in ASSIGNED.finditer(text) if mixed_shape(m["value"])]
     base.sort(key=lambda c: (c[0], c[2]))
     return base + apart(more, base)
 
 
+def mixed_shape(s: str) -> bool:
+    """Letters and digits both."""
+    return DIGIT.search(s) is not None and LETTER.search(s) is not None
+
+
 def apart(more: list, base: list) -> list:
     """Of more, those that touch no base span nor each other; the first goes first."""
     out: list = []
@@ -135,13 +160,22 @@ def votes(text: str, c: tuple[int, int, int, int]) -> tuple[int, ...]:
         listed = -1 if span.startswith(("0.", "127.", "255.")) or form else 1
     elif kind == 2:
         listed = 1 if ISSUERS.match(d) else -1
+    elif kind == 4:
+        name = NAME_BEFORE.search(text[max(0, start - 40) : start])
+        form = 2 if KEY_FORMS.fullmatch(span) else form
+        listed = 1 if KEY_FORMS.fullmatch(span) else 0 if not name else 1 if SECRET_NAMES.search(name[1]) else -1 if OTHER_NAMES.search(name[1]) else 0
     else:
         listed = 1 if span[0] != "+" or d.startswith(CALLING) else -1
-    context = 1 if YES_WORDS[KINDS[kind]].intersection(before) else -1 if NO_WORDS.intersection(before) else 0
+    context = 1 if YES_WORDS[ALL_KINDS[kind]].intersection(before) else -1 if NO_WORDS.intersection(before) else 0
     around = text[max(0, start - 1) : start] + text[end : end + 1]
     touches = -1 if any(x.isalnum() or x in "_@/" for x in around) else 1
-    shape = -1 if kind and len(set(d)) <= 2 else 0 if kind == 0 else 1
-    return (1 if form == 0 else -1 if form == 1 else 0, listed, context, touches, shape)
+    if kind == 4:  # how often letters and digits turn into each other: often in what is random
+        turns = sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:]))
+        shape = 1 if 5 * turns >= len(span) else -1
+    else:
+        shape = -1 if kind and len(set(d)) <= 2 else 0 if kind == 0 else 1
+    pattern = (1, -1, 1 if kind == 4 else 0, 0)[form]
+    return (pattern, listed, context, touches, shape)
 
 
 def pattern(text: str, c: tuple[int, int, int, int]) -> tuple[int, ...]:
@@ -151,33 +185,34 @@ def pattern(text: str, c: tuple[int, int, int, int]) -> tuple[int, ...]:
 
 def estimated(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Posterior of 'personal data' for each pattern, by expectation-maximisation for each
-    kind. Base spans are the anchors and stay at 1; matches that failed their check start near
-    0, the rest at their mean vote."""
+    kind. Matches that pass or fail a check start near 1 or 0, the rest at their mean vote; then
+    nothing is held fixed: a labeler is as reliable as it agrees with what all of them say, and
+    a little as is thought of it beforehand (FAIR)."""
     post = np.zeros(len(patterns))
-    for kind in range(len(KINDS)):
+    for kind in range(len(ALL_KINDS)):
         own = patterns[:, 0] == kind
         if not own.any():
             continue
         v, n = patterns[own, 1 : 1 + VOTES] + 1, counts[own].astype(float)
-        sure = v[:, 0] == 2
-        q = np.where(v[:, 0] == 0, 0.05, np.clip(0.5 + (v - 1).mean(axis=1) / 2, 0.05, 0.95))
-        q[sure] = 1.0
+        # a pattern with a check starts it off, then is a labeler like the others
+        start = 0.5 + (v - 1).mean(axis=1) / 2
+        q = np.clip(np.where(v[:, 0] == 0, 0.05, np.where((v[:, 0] == 2) & (kind != 4), 0.95, start)), 0.05, 0.95)
         for _ in range(ROUNDS):
             logs = np.zeros((2, len(v)))
             for z, w in ((1, n * q), (0, n * (1 - q))):
                 prior = (w.sum() + 1) / (n.sum() + 2)
                 logs[z] += np.log(prior)
                 for j in range(VOTES):
-                    p = np.bincount(v[:, j], weights=w, minlength=3) + 1.0
+                    p = np.bincount(v[:, j], weights=w, minlength=3) + 1.0 + BELIEF * n.sum() * FAIR[z]
                     logs[z] += np.log(p / p.sum())[v[:, j]]
-            q = np.where(sure, 1.0, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -40, 40))))
+            q = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -40, 40)))
         post[own] = q
     return post
 
 
 def design(patterns: np.ndarray) -> np.ndarray:
     """One-hot kind, votes and length, and a constant."""
-    parts = [np.ones((len(patterns), 1)), np.eye(len(KINDS))[patterns[:, 0]]]
+    parts = [np.ones((len(patterns), 1)), np.eye(len(ALL_KINDS))[patterns[:, 0]]]
     parts += [np.eye(3)[patterns[:, 1 + j] + 1] for j in range(VOTES)]
     return np.hstack([*parts, np.eye(6)[patterns[:, 1 + VOTES]]])
 
@@ -224,8 +259,8 @@ def spans_of(text: str | None, model: dict, sure: float = SURE) -> list[dict]:
     for c in candidates(text) if text else ():
         score = model.get(pattern(text, c), 0.0)
         if c[3] == 0 or score >= sure:
-            out.append({"kind": KINDS[c[2]], "start": c[0], "end": c[1], "base": c[3] == 0, "score": score})
-    return sorted(out, key=lambda s: (s["start"], KINDS.index(s["kind"])))
+            out.append({"kind": ALL_KINDS[c[2]], "start": c[0], "end": c[1], "base": c[3] == 0, "score": score})
+    return sorted(out, key=lambda s: (s["start"], ALL_KINDS.index(s["kind"])))
 
 
 SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long").add("base", "boolean").add("score", "double"))
@@ -235,6 +270,8 @@ SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end",
 def find(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",), redact: bool = False, sure: float = SURE) -> DataFrame:
     """keep columns and `spans` (by start, then kind) for every row; with redact also `redacted`,
     the text with each span replaced by its kind in square brackets (null stays null)."""
+    if {"spans", "redacted"} & set(keep):
+        raise ValueError("keep names a result column")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, F.col(text).alias("__text"))
     schema = source.drop("__text").schema.add("spans", SPANS)

@@ -25,7 +25,7 @@ def op1_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = [F.size(F.array_remove(kinds, k)).cast("long") for k in personal.KINDS]
     count = [(F.size(kinds) - n).cast("long").alias(f"n_{k}") for n, k in zip(count, personal.KINDS)]
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return found.select("doc_id", *count, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *count, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op2_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
