@@ -1,7 +1,9 @@
 """Repeated passages by relative Lempel-Ziv parsing over content-defined reference blocks.
 
-A document is parsed from left to right into factors: stretches that the reference (all that
-comes earlier in the corpus) holds too. A factor of at least `size` words is a duplicate span.
+A document is parsed greedily from left to right into factors: at each place the factor that
+reaches furthest, a stretch of words that the reference (all that comes earlier in the corpus)
+holds too, given as (start, end, source document, place there). Windows of `size` words lie
+inside factors or across the boundary of two; spans of factors are the duplicate spans.
 
 The corpus is far too large for one suffix structure, so the reference is indexed in blocks that
 the text itself delimits: each window of `size` words is assigned to its minimiser, the smallest
@@ -9,10 +11,14 @@ hash among its GRAM-word grams, and a block is a run of windows with the same mi
 windows have equal minimisers wherever they stand, so a window's earlier occurrences all lie in
 blocks of the same minimiser.
 
-1. Blocks are dealt out by minimiser and compared by the hash of all their words. A block that
-   also starts earlier is covered whole by the reference: factors run through it.
+1. Blocks are dealt out by minimiser and looked up in the index by the hash of all their words; the
+   index keeps where each first stands. A block that also starts earlier is a match, and
+   consecutive matches with the same source and distance are one longer match: factors run
+   through blocks.
 2. Factors begin and end inside blocks only where blocks of one minimiser differ. There, at the
-   factor boundaries, the windows of one copy of each such block are compared one by one.
+   factor boundaries, the windows of one copy of each such block are looked up one by one, and
+   what matches lengthens the factors beside them.
+3. The matches of a document are parsed: the factor that reaches furthest from the end of the last.
 
 Blocks that repeat inside a batch are settled there before the shuffle, so a passage that
 stands in a third of all documents sends one row for each batch. Groups are read as sorted
@@ -42,7 +48,11 @@ WINDOW, GRAM = 20, 5
 COVERED, BOUNDARY = 1, 2
 SPANS = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))
 SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-ROWS = "anchor long, block long, doc long, start int, n int, kind int"
+FACTORS = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("source", "long").add("at", "integer"))
+FACTOR = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64()), ("at", pa.int32())]))
+#: source, at: of a covered row, where the reference holds its words.
+ROWS = "anchor long, block long, doc long, start int, n int, kind int, source long, at int"
+FOUND = "doc long, start int, n int, kind int, source long, at int"
 
 
 def minimisers(grams: np.ndarray, width: int) -> np.ndarray:
@@ -79,7 +89,8 @@ def settled(anchor: np.ndarray, block: np.ndarray, doc: np.ndarray, start: np.nd
     covered = ~new & ~same
     anchor = np.where(covered, mixed(doc.astype(np.uint64) * np.uint64(31) + start.astype(np.uint64)), anchor)
     keep = new | covered
-    return [x[keep] for x in (anchor.view(np.int64), block.view(np.int64), doc, start.astype(np.int32), n.astype(np.int32), covered.astype(np.int32))]
+    source, at = np.where(covered, doc[lead], 0), np.where(covered, start[lead], 0).astype(np.int32)
+    return [x[keep] for x in (anchor.view(np.int64), block.view(np.int64), doc, start.astype(np.int32), n.astype(np.int32), covered.astype(np.int32), source, at)]
 
 
 def tables(columns: list[np.ndarray], names: list[str], size: int = 65_536) -> Iterator[pa.RecordBatch]:
@@ -88,7 +99,7 @@ def tables(columns: list[np.ndarray], names: list[str], size: int = 65_536) -> I
         yield whole.slice(at, size)
 
 
-NAMES = ["anchor", "block", "doc", "start", "n", "kind"]
+NAMES = ["anchor", "block", "doc", "start", "n", "kind", "source", "at"]
 
 
 def indexed(docs: DataFrame, size: int) -> DataFrame:
@@ -110,21 +121,21 @@ def indexed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def compared(rows: DataFrame) -> DataFrame:
-    """(doc, start, n, kind) of covered rows, and of the first rows of unlike blocks that share
-    an anchor (boundaries). Rows are dealt out by anchor and read in order; what is carried
+    """(doc, start, n, kind, source, at) of covered rows, whose source is the block's first row,
+    and of the first rows of unlike blocks that share an anchor (boundaries). Rows are dealt out by anchor and read in order; what is carried
     from batch to batch is one row."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "anchor").sortWithinPartitions("anchor", "block", "doc", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "start", "n", "kind"]
+        names = ["doc", "start", "n", "kind", "source", "at"]
         carried = None  # the last block's first row
         lone = False  # whether that row is its anchor's only block so far
         for batch in batches:
-            a, b, d, s, n, k = (batch.column(i).to_numpy() for i in range(6))
+            a, b, d, s, n, k, source, at = (batch.column(i).to_numpy() for i in range(8))
             done = k == COVERED
             if done.any():
-                yield from tables([d[done], s[done], n[done], k[done]], names)
+                yield from tables([x[done] for x in (d, s, n, k, source, at)], names)
                 a, b, d, s, n = (x[~done] for x in (a, b, d, s, n))
             if not len(a):
                 continue
@@ -141,13 +152,13 @@ def compared(rows: DataFrame) -> DataFrame:
             out = np.concatenate([np.flatnonzero(later), first[edge]])
             kind = np.concatenate([np.full(later.sum(), COVERED), np.full(edge.sum(), BOUNDARY)]).astype(np.int32)
             if len(out):
-                yield from tables([d[out], s[out], n[out], kind], names)
+                yield from tables([d[out], s[out], n[out], kind, d[lead[out]], s[lead[out]]], names)
             z = first[-1]
             fresh = len(first) > 1
             lone = not edge[-1] if fresh or carried is None else lone and not edge[0]
             carried = (a[z], b[z], d[z], s[z], n[z])
 
-    return dealt.mapInArrow(run, "doc long, start int, n int, kind int")
+    return dealt.mapInArrow(run, FOUND)
 
 
 def boundary_windows(docs: DataFrame, size: int) -> DataFrame:
@@ -168,42 +179,72 @@ def boundary_windows(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, ROWS)
 
 
+def parsed(marks: list[tuple[int, int, int, int]], size: int) -> list[tuple[int, int, int, int]]:
+    """A document's factors (start, end, source, at), from matches (start, windows, source, at).
+    Matches that follow each other at the same distance from the same source are one."""
+    runs: list[list[int]] = []
+    for source, move, start, n in sorted((source, at - start, start, n) for start, n, source, at in marks):
+        if runs and runs[-1][2:] == [source, move] and start + size - 1 <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], start + n + size - 1)
+        else:
+            runs.append([start, start + n + size - 1, source, move])
+    runs.sort()
+    out: list[tuple[int, int, int, int]] = []
+    place = i = 0
+    furthest = [0, 0, 0, 0]
+    while True:
+        while i < len(runs) and runs[i][0] <= place:
+            furthest = max(furthest, runs[i], key=lambda r: r[1])
+            i += 1
+        if furthest[1] > place:
+            out.append((place, furthest[1], furthest[2], place + furthest[3]))
+            place = furthest[1]
+        elif i < len(runs):
+            place = runs[i][0]
+        else:
+            return out
+
+
 def find(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc and keep columns, `n_words`, `spans` (duplicate word ranges, merged, end exclusive)
-    and `kept` (the other words joined by one space) for every row of docs."""
+    """doc and keep columns, `n_words`, `factors` (start, end, source, at: words of this document that
+    stand in the source from at on), `spans` (word ranges of factors, merged, end exclusive) and
+    `kept` (the other words joined by one space) for every row of docs."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("binary").alias("t"), F.struct(F.lit(0), *keep).alias("more"))
-    found = materialize(compared(indexed(source.where("doc is not null").select("doc", "t"), size)), "factors")
+    found = materialize(compared(indexed(source.where("doc is not null").select("doc", "t"), size)), "matches")
     # dealt by a number for null ids too, so that they don't meet in one task
     spread = F.coalesce("doc", F.xxhash64("t"))
-    dealt = source.withColumn("at", spread).repartition(parts, "at")
-    lists = found.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "kind")).alias("marks")).withColumnRenamed("doc", "at")
-    marked = dealt.join(lists.hint("shuffle_hash"), "at", "left")
+    dealt = source.withColumn("spread", spread).repartition(parts, "spread")
+    match = F.struct("start", "n", "kind", "source", "at")
+    lists = found.groupBy("doc").agg(F.collect_list(match).alias("marks")).withColumnRenamed("doc", "spread")
+    marked = dealt.join(lists.hint("shuffle_hash"), "spread", "left")
     open_ = marked.where("doc is not null").select("doc", "t", F.filter("marks", lambda m: m["kind"] == BOUNDARY).alias("marks")).where("size(marks) > 0")
-    windows = compared(boundary_windows(open_, size)).groupBy("doc").agg(F.collect_list(F.struct("start", "n", "kind")).alias("single")).withColumnRenamed("doc", "at")
-    joined = marked.join(windows.hint("shuffle_hash"), "at", "left")
+    windows = compared(boundary_windows(open_, size)).groupBy("doc").agg(F.collect_list(match).alias("single")).withColumnRenamed("doc", "spread")
+    joined = marked.join(windows.hint("shuffle_hash"), "spread", "left")
     both = F.concat(F.coalesce(F.filter("marks", lambda m: m["kind"] == COVERED), F.array()), F.coalesce("single", F.array()))
-    source = joined.select("doc", "t", F.when(F.col("doc").isNotNull(), F.transform(both, lambda m: F.struct(m["start"].alias("start"), m["n"].alias("n")))).alias("marks"), "more")
-    schema = source.select("doc", "more").schema.add("n_words", "long").add("spans", SPANS).add("kept", "string")
+    source = joined.select("doc", "t", F.when(F.col("doc").isNotNull(), both).alias("marks"), "more")
+    schema = source.select("doc", "more").schema.add("n_words", "long").add("factors", FACTORS).add("spans", SPANS).add("kept", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                count, spans, kept = [], [], []
+                count, factors, spans, kept = [], [], [], []
                 for t, marks in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     words = t.split() if t else []
                     count.append(len(words))
-                    own = merged([(m["start"], m["start"] + m["n"] + size - 1) for m in marks or []])
-                    spans.append([{"start": s, "end": e} for s, e in own])
-                    for s, e in reversed(own):
+                    own = parsed([(m["start"], m["n"], m["source"], m["at"]) for m in marks or []], size)
+                    factors.append(own)
+                    spans.append(merged([(f[0], f[1]) for f in own]))
+                    for s, e in reversed(spans[-1]):
                         del words[s:e]
                     kept.append(b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(count, pa.int64()), pa.array(spans, SPAN), pa.array(kept, pa.string())], schema.names)
+                columns = [pa.array(count, pa.int64()), pa.array(factors, FACTOR), pa.array(spans, SPAN), pa.array(kept, pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), *columns], schema.names)
 
     out = source.mapInArrow(run, schema)
-    return out.select(F.col("doc").alias(doc), *[F.col("more")[c].alias(c) for c in keep], "n_words", "spans", "kept")
+    return out.select(F.col("doc").alias(doc), *[F.col("more")[c].alias(c) for c in keep], "n_words", "factors", "spans", "kept")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
