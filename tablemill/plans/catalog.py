@@ -631,10 +631,10 @@ def search_rows(spark, d):
     return out(profile.search(frame(spark, d, "part", "p_partkey", "p_name"), "p_name", " D  Wídget"), "p_partkey")
 
 
-@query("SELECT c_custkey::DOUBLE AS code, c_name AS name, c_acctbal AS balance, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment || chr(10) || '\"x\", ' || c_nationkey END AS note FROM customer")
+@query("SELECT c_custkey::DOUBLE AS code, c_name AS name, c_acctbal AS balance, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment || chr(10) || '\"x\", ' || c_nationkey END AS note FROM customer")
 def csv_folder(spark, d):
     """Customers written as a folder of delimited files, quotes and line ends inside fields, and read
-    back as one source."""
+    back as one source, where a missing text is an empty one."""
     note = "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment || '\n' || '\"x\", ' || c_nationkey END AS note"
     rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS code", "c_name AS name", "c_acctbal AS balance", note)
     path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
