@@ -29,7 +29,10 @@ def op1_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = replies.threads(table(spark, sf_dir, "conversations"))
+    """All of `conversations`, which quotes nothing, and with it the conversations that `quoting`
+    makes of all of it: replies that quote at two levels, inside a conversation and across."""
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    out = replies.threads(messages.unionByName(replies.quoting(messages)))
     own = F.sha2(F.coalesce("own_text", F.lit("")), 256).alias("own_sha256")
     return out.select("conv_id", "turn", "role", own, "n_quoted", "n_linked", "max_level", "parent_conv", "parent_turn", "root_conv", "root_turn", "depth")
 

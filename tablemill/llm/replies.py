@@ -110,20 +110,48 @@ def threads(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text
     )
 
 
+#: Conversations made by `quoting` have ids moved by this.
+MOVED = 1_000_000_000
+
+
+def quoting(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", keep: tuple[str, ...] = ("role",)) -> DataFrame:
+    """Mail-like conversations from messages that quote nothing: under moved ids, each message quotes
+    the two turns before it, at levels 1 and 2, above its own text; one without a turn before it
+    quotes its original, from the other conversation. Rows with a null key are left out."""
+    rows = messages.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.col(text).alias("x"), *keep).where("c is not null and t is not null")
+    text_of = rows.groupBy("c", "t").agg(F.min("x").alias("y"))
+    one = text_of.select("c", (F.col("t") + 1).alias("t"), F.col("y").alias("y1"), F.lit(True).alias("has1"))
+    two = text_of.select("c", (F.col("t") + 2).alias("t"), F.col("y").alias("y2"))
+    joined = rows.join(one, ["c", "t"], "left").join(two, ["c", "t"], "left")
+    marked = lambda y, mark: F.concat(F.lit(mark), F.replace(y, F.lit("\n"), F.lit("\n" + mark)))
+    whole = F.when(F.col("has1"), F.concat_ws("\n", marked(F.col("y2"), ">> "), marked(F.col("y1"), "> "), "x")).otherwise(marked(F.col("x"), "> "))
+    return joined.select((F.col("c") + MOVED).alias(conv), F.col("t").alias(turn), *keep, whole.alias(text))
+
+
 SQL = r"""
 WITH RECURSIVE
-m AS (SELECT *, string_split(text, chr(10)) AS ls FROM conversations),
-li AS (SELECT conv_id AS c, turn AS t, unnest(ls) AS line FROM m),
-lv AS (SELECT c, t, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)*)', 1), '[^>]', '', 'g')) AS level,
+k0 AS (SELECT conv_id AS c, turn AS t, text AS x, role FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+k1 AS (SELECT c, t, min(x) AS y FROM k0 GROUP BY ALL),
+made AS (SELECT k0.c + 1000000000 AS conv_id, k0.t AS turn, role,
+           CASE WHEN a.c IS NOT NULL THEN concat_ws(chr(10), '>> ' || replace(b.y, chr(10), chr(10) || '>> '), '> ' || replace(a.y, chr(10), chr(10) || '> '), x) ELSE '> ' || replace(x, chr(10), chr(10) || '> ') END AS text
+         FROM k0 LEFT JOIN k1 a ON a.c = k0.c AND a.t = k0.t - 1 LEFT JOIN k1 b ON b.c = k0.c AND b.t = k0.t - 2),
+talk AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, turn, role, text FROM made),
+m AS (SELECT *, string_split(text, chr(10)) AS ls, row_number() OVER () AS rid FROM talk),
+li AS (SELECT rid, conv_id AS c, turn AS t, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+lv AS (SELECT rid, c, t, i, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)*)', 1), '[^>]', '', 'g')) AS level,
          translate(trim(regexp_replace(regexp_replace(line, '^((?:[ \t]*>)*)', ''), '[ \t\r\n\f\x0B]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM li),
-ln AS (SELECT * FROM lv WHERE length(norm) >= 8 AND c IS NOT NULL AND t IS NOT NULL),
-q AS (SELECT c, t, norm, min(level) AS level, count(*) AS k FROM ln WHERE level > 0 GROUP BY ALL),
-inside AS (SELECT norm, c, min(t) AS ti FROM ln WHERE level = 0 GROUP BY ALL),
-anyw AS (SELECT norm, min((c, t)) AS f FROM ln WHERE level = 0 GROUP BY ALL),
-fo AS (SELECT q.*, CASE WHEN ti < q.t THEN (q.c, ti) WHEN f < (q.c, q.t) THEN f END AS o
-       FROM q LEFT JOIN inside ON inside.norm = q.norm AND inside.c = q.c LEFT JOIN anyw ON anyw.norm = q.norm),
-lk AS (SELECT c, t, sum(k)::BIGINT AS n_linked, max((-level, o)) AS best FROM fo WHERE o IS NOT NULL GROUP BY ALL),
-n AS (SELECT DISTINCT conv_id AS c, turn AS t FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+nb AS (SELECT *, i - row_number() OVER (PARTITION BY rid, level ORDER BY i) AS island FROM lv WHERE norm <> ''),
+ps AS (SELECT *, string_agg(norm, chr(10)) OVER (PARTITION BY rid, level, island ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS passage FROM nb),
+own AS (SELECT c, t, norm AS u FROM ps WHERE level = 0 UNION SELECT c, t, passage FROM ps WHERE level = 0),
+q AS (SELECT c, t, norm AS h, passage AS p, min(level) AS level, count(*) AS k FROM ps WHERE level > 0 GROUP BY ALL),
+asked AS (SELECT *, 0 AS whole, h AS key, length(h) >= 8 AS far FROM q UNION ALL SELECT *, 1, p, length(p) >= 8 FROM q WHERE length(h) < 8 AND h <> p),
+inside AS (SELECT u, c, min(t) AS ti FROM own GROUP BY ALL),
+anyw AS (SELECT u, min((c, t)) AS f FROM own GROUP BY ALL),
+fo AS (SELECT asked.*, CASE WHEN ti < asked.t THEN (asked.c, ti) WHEN far AND f < (asked.c, asked.t) THEN f END AS o
+       FROM asked LEFT JOIN inside ON inside.u = key AND inside.c = asked.c LEFT JOIN anyw ON anyw.u = key),
+gr AS (SELECT c, t, h, p, level, k, max((whole, o)) AS b FROM fo WHERE o IS NOT NULL GROUP BY ALL),
+lk AS (SELECT c, t, sum(k)::BIGINT AS n_linked, max((-level, b[2])) AS best FROM gr GROUP BY ALL),
+n AS (SELECT DISTINCT conv_id AS c, turn AS t FROM talk WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 pa AS (SELECT n.c, n.t, n_linked, coalesce(best[2][1], b.c) AS pc, coalesce(best[2][2], b.t) AS pt
        FROM n LEFT JOIN lk ON lk.c = n.c AND lk.t = n.t LEFT JOIN n b ON b.c = n.c AND b.t = n.t - 1),
 up AS (SELECT c, t, c AS rc, t AS rt, 0 AS depth FROM pa WHERE pc IS NULL
