@@ -41,6 +41,8 @@ WIDEST = 16
 #: Levels of the log ratio of both halves, and their Gray code.
 LEVELS, GRAY = np.array([-0.35, 0.0, 0.35]), np.array([0, 1, 3, 2], np.uint32)
 LEAST_VOTES, MOST_ERRORS = 2, 0.30
+#: Recordings or pairs that are worked on at once.
+SLICE = 128
 #: Bits of a frame's integer that make a landmark: all but one byte.
 MASKS = np.array([0xFFFFFF, 0xFFFF00FF, 0xFF00FFFF, 0xFFFFFF00], np.uint32)
 
@@ -145,14 +147,16 @@ def search(prints: DataFrame, queries: DataFrame, key: str, most_errors: float =
         kind = df.schema["rep"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rep, p = batch.column("rep"), batch.column("prints").to_pylist()
-                sizes = np.array([len(x) // 4 for x in p], np.int64)
-                each = np.frombuffer(b"".join(p), "<u4")
-                rows = np.tile(np.repeat(np.arange(len(p)), sizes), len(MASKS))
-                where = np.tile(np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes), len(MASKS))
-                marks = np.concatenate([(each & m).astype(np.int64) << 2 | k for k, m in enumerate(MASKS)])
-                yield pa.RecordBatch.from_arrays([rep.take(pa.array(rows)), pa.array(marks), pa.array(where.astype(np.int32))], [name, "mark", place])
+            for whole in batches:
+                for start in range(0, whole.num_rows, SLICE):
+                    batch = whole.slice(start, SLICE)
+                    rep, p = batch.column("rep"), batch.column("prints").to_pylist()
+                    sizes = np.array([len(x) // 4 for x in p], np.int64)
+                    each = np.frombuffer(b"".join(p), "<u4")
+                    rows = np.tile(np.repeat(np.arange(len(p)), sizes), len(MASKS))
+                    where = np.tile(np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes), len(MASKS))
+                    marks = np.concatenate([(each & m).astype(np.int64) << 2 | k for k, m in enumerate(MASKS)])
+                    yield pa.RecordBatch.from_arrays([rep.take(pa.array(rows)), pa.array(marks), pa.array(where.astype(np.int32))], [name, "mark", place])
 
         return df.mapInArrow(run, f"{name} {kind}, mark long, {place} int")
 
@@ -163,10 +167,12 @@ def search(prints: DataFrame, queries: DataFrame, key: str, most_errors: float =
     both = both.select("query", "match", "offset", "qx", "mx")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [errors(np.frombuffer(q, "<u4"), np.frombuffer(m, "<u4"), o) for o, q, m in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
-            out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([n for _, n in got], pa.int64()), pa.array([e for e, _ in got], pa.float64())], ["query", "match", "offset", "overlap", "error"])
-            yield out.filter(pa.array([e <= most_errors for e, _ in got], pa.bool_()))
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                got = [errors(np.frombuffer(q, "<u4"), np.frombuffer(m, "<u4"), o) for o, q, m in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+                out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([n for _, n in got], pa.int64()), pa.array([e for e, _ in got], pa.float64())], ["query", "match", "offset", "overlap", "error"])
+                yield out.filter(pa.array([e <= most_errors for e, _ in got], pa.bool_()))
 
     found = both.mapInArrow(compare, both.select("query", "match", "offset").schema.add("overlap", "long").add("error", "double"))
     agreeing = F.col("overlap") * (1 - 2 * F.col("error"))
