@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir); where it is unset, as in
-    local tests, a temporary folder is set once for the session."""
+    local tests, a temporary folder is set once for the session. On a cluster it must be set:
+    the executors could not read what the driver's machine holds."""
     kept = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if kept:
         return kept
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     own = spark.conf.get("tablemill.shared.dir", None)
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="tablemill-")
@@ -23,11 +26,33 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Folders that were written, by application.
+_written: dict[str, list[str]] = {}
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a table; `remove_written` knows it."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Deletes the tables that this application has written to the shared folder so far, and says how
+    many. For when the results that were made of them are written: frames that still read them
+    fail afterwards."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back: this cuts the lineage, and the rows
     survive the loss of any executor."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -61,8 +61,8 @@ class ValidationResult:
         """ruleId, affectedRows and affectedCells for every rule, also for those without issues."""
         spark = self.issues.sparkSession
         ids = spark.createDataFrame([(rule_id(r, i),) for i, r in enumerate(self.rules)], "ruleId string").distinct()
-        cells = self.issues.groupBy("ruleId", "rowId", "columnId").agg(F.count(F.lit(1)).alias("k"))
-        found = cells.groupBy("ruleId", "rowId").agg(F.count(F.lit(1)).alias("k")).groupBy("ruleId").agg(F.count(F.lit(1)).alias("affectedRows"), F.sum("k").alias("affectedCells"))
+        rows = self.issues.groupBy("ruleId", "rowId").agg(F.size(F.collect_set("columnId")).alias("k"))
+        found = rows.groupBy("ruleId").agg(F.count(F.lit(1)).alias("affectedRows"), F.sum("k").alias("affectedCells"))
         zero = F.lit(0).cast("long")
         return ids.join(found, "ruleId", "left").select("ruleId", F.coalesce("affectedRows", zero).alias("affectedRows"), F.coalesce("affectedCells", zero).alias("affectedCells"))
 

@@ -5,7 +5,6 @@ survivors, destination rows)."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablemill.frame import ROW_ID, ROW_NUM, ColumnInfo, PreparedFrame, from_dataframe
 from tablemill.functions.documents import is_cnpj, is_cpf
-from tablemill.functions.storage import numbered, shared_dir
+from tablemill.functions.storage import new_path, numbered
 from tablemill.operators import mapping, merge, profile
 from tablemill.operators.commands import apply, edit_cells
 from tablemill.operators.history import PrepPipeline
@@ -613,6 +612,23 @@ def mapping_applied(spark, d):
     return out(mapping.in_destination_columns(f, m, to))
 
 
+SOURCE_HEADERS = ("Cód. Cliente", "Nome do Cliente", "Nro Nação", "Vlr. Saldo", "Segmento", "TAMANHO", "Xyz")
+DESTINATION_HEADERS = ("Código do Cliente", "Nome Cliente", "Número da Nação", "Saldo (valor)", "Seguimento de Mercado", "Tamanho")
+_WORDS = """list_transform(list_filter(string_split(regexp_replace(lower(strip_accents(header)), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: CASE w WHEN 'cod' THEN 'codigo' WHEN 'nro' THEN 'numero' WHEN 'vlr' THEN 'valor' ELSE w END)"""
+
+
+@query(f"""WITH s AS (SELECT i, header, {_WORDS} AS w FROM (SELECT unnest({list(SOURCE_HEADERS)}) AS header, generate_subscripts({list(SOURCE_HEADERS)}, 1) AS i)),
+d AS (SELECT i, header, {_WORDS} AS w FROM (SELECT unnest({list(DESTINATION_HEADERS)}) AS header, generate_subscripts({list(DESTINATION_HEADERS)}, 1) AS i)),
+p AS (SELECT s.header AS source, d.header AS destination, d.i, round(0.65 * jaro_winkler_similarity(array_to_string(s.w, ' '), array_to_string(d.w, ' ')) + 0.35 * 2 * len(list_intersect(s.w, d.w)) / (len(list_distinct(s.w)) + len(list_distinct(d.w))), 4) AS score FROM s, d),
+b AS (SELECT source, max(score) AS score, max_by(destination, score) AS destination FROM p GROUP BY source)
+SELECT source, CASE WHEN score >= 0.55 THEN destination END AS destination, CASE WHEN score = 1 THEN 'exact' WHEN score >= 0.85 THEN 'high' WHEN score >= 0.55 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN score >= 0.55 THEN score ELSE 0 END::DOUBLE AS score FROM b""")
+def mapping_suggest(spark, d):
+    """Suggestions for headers, which are the rows here."""
+    columns = lambda names: [ColumnInfo(h, h, i) for i, h in enumerate(names)]
+    found = mapping.suggest(columns(SOURCE_HEADERS), columns(DESTINATION_HEADERS))
+    return spark.createDataFrame([(m.source, m.destination, m.confidence, m.score) for m in found], "source string, destination string, confidence string, score double")
+
+
 @query("""WITH e AS (SELECT s_suppkey + 2 AS k, s_suppkey AS code, s_name AS label FROM supplier), i AS (SELECT c_custkey AS k, c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN s_name ELSE c_name END AS n FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey)
 SELECT CASE WHEN e.k IS NULL THEN 'insert' WHEN label = n THEN 'keep' ELSE 'update' END AS action, count(*) AS n FROM i LEFT JOIN e ON code = id GROUP BY 1""")
 def plan_through_mapping(spark, d):
@@ -637,7 +653,7 @@ def csv_folder(spark, d):
     back as one source, where a missing text is an empty one."""
     note = "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment || '\n' || '\"x\", ' || c_nationkey END AS note"
     rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS code", "c_name AS name", "c_acctbal AS balance", note)
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = new_path(spark, "csv")
     rows.repartition(3).write.csv(path, header=True, escape='"', quote='"')
     f = delimited.read_csv(spark, path)
     names = {c.id: c.header for c in f.columns}

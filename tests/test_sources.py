@@ -199,3 +199,15 @@ def test_every_sheet_is_a_reference(spark, tmp_path):
     got = read_references(spark, f"file://{tmp_path}/a.xlsx", f"file://{tmp_path}/b.xlsx", max_cells=20)
     assert list(got) == ["source:Catalog"] and rows(got["source:Catalog"]) == [("A",), ("B",)]
     assert read_references(spark, f"file://{tmp_path}/a.csv") == {}
+
+
+def test_written_tables_are_removed(spark, tmp_path):
+    from pathlib import Path
+
+    from tablemill.functions import storage
+
+    df = storage.materialize(spark.range(3), "kept")
+    folder = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert df.count() == 3 and folder.exists()
+    assert storage.remove_written(spark) >= 1 and not folder.exists()
+    assert storage.remove_written(spark) == 0
