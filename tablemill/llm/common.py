@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.functions.storage import materialize, shared_dir
+from tablemill.functions.storage import materialize, new_path, shared_dir
 
 __all__ = ["ascii_lower", "bucketed", "input_bytes", "materialize", "shared_dir", "table", "union_all"]
 
@@ -39,7 +38,7 @@ def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
     """df written to the shared folder in buckets of column, so that what is grouped or joined by
     it later need not be shuffled again. Each task writes a file for each bucket that it has."""
     spark = df.sparkSession
-    entry, path = f"tablemill_{uuid.uuid4().hex}", os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    entry, path = f"tablemill_{uuid.uuid4().hex}", new_path(spark, name)
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).saveAsTable(entry, format="parquet")
     out = spark.table(entry)
     spark.sql(f"DROP TABLE {entry}")  # the entry alone: the files stay, and out reads them

@@ -15,6 +15,10 @@ from tablemill.llm.common import table
 from tablemill.llm.queries import LEAST_QUALITY, held_out, piece_model
 
 
+#: Documents this alike are copies, where no contract says otherwise.
+NEAR = 0.8
+
+
 def rows_of(docs: DataFrame, without: str | None = None) -> DataFrame:
     """text, and all columns (or all but one) as one struct `row`: no name of theirs can clash
     with what an operator adds."""
@@ -28,8 +32,9 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document of each component of near-copies."""
-    copies = nearcopies.find(docs).where("not kept").select("doc_id").distinct()
+    """Keeps the smallest document of each component of near-copies: of five-word shingles with a
+    similarity of NEAR or more, and of what such links connect."""
+    copies = nearcopies.find(docs, threshold=NEAR).where("not kept").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 

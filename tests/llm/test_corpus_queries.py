@@ -42,6 +42,22 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean(good >= queries.LEAST_QUALITY) > 0.9
 
 
+def test_quality_query_scores_by_definition(spark):
+    """Every row of the query against the sum over all pairs of a text's features."""
+    docs = table(spark, SMALL, "documents")
+    m = quality.train(docs, table(spark, SMALL, "labels"), learn=~queries.held_out(0, 5))
+    got = {r.doc_id: r for r in queries.op4_quality(spark, SMALL).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for d in rows:
+        i, x = quality.Features().of((d.text or "").encode())
+        pairs = m.v[i] @ m.v[i].T * np.outer(x, x)
+        raw = m.w0 + m.w[i] @ x + np.triu(pairs, 1).sum()
+        r = got[d.doc_id]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-9)
+        assert r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 5 == 0)
+
+
 def test_pairwise_sum_identity():
     m = quality.Machine(0.3)
     m.w = np.random.default_rng(1).normal(size=m.w.shape)
@@ -87,6 +103,17 @@ def test_a_bad_host_is_blocked_and_a_good_one_is_not(spark):
     assert verdicts == {("good.com", "allow"), ("bad.com", "block")}
 
 
+def test_hosts_take_empty_tables_repeats_and_long_urls(spark):
+    schema = "page_id long, url string"
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert hosts.judge(spark.createDataFrame([], schema), none).count() == 0
+    long = "http://" + "a." * 50_000 + "org/fr/" + "x" * 100_000
+    pages = spark.createDataFrame([(1, long), (1, long), (2, "http://org/fr/"), (2, "http://net/"), (None, "http://a.net/")], schema)
+    for labels in (none, spark.createDataFrame([(1, 0), (1, 0), (2, 1)], none.schema)):
+        got = hosts.judge(pages, labels).collect()
+        assert len(got) == 5 and sorted((r.rule, r.verdict) for r in got) == [("net/", "block")] * 2 + [("org/fr/", "allow")] * 3
+
+
 # --- replies
 
 TALK = [
@@ -181,6 +208,18 @@ def test_audio_query_returns_every_match_and_all_members(spark, tmp_path):
     assert {r.vec_id: r.n_matches for r in rows} == {20: 1, 33: 0, 7: 0, 40: 3, 41: 0, 42: 0, 60: 0, 61: 0}
 
 
+def test_audio_takes_empty_tables_and_repeats(spark):
+    """No recordings; a row twice; an id with two recordings; one note for a long time."""
+    schema = "vec_id long, embedding array<double>"
+    none = audio.fingerprints(audio.rendered(spark.createDataFrame([], schema)), "vec_id", "audio")
+    assert none.count() == 0 and audio.search(none, none, "vec_id").count() == 0
+    rows = [(1, tune(1)), (1, tune(1)), (2, tune(2)), (2, tune(3)), (3, tune(3)[8:]), (4, [0.1] * 600), (5, [0.1] * 500), (None, tune(1))]
+    prints = audio.fingerprints(audio.rendered(spark.createDataFrame(rows, schema)), "vec_id", "audio")
+    assert prints.count() == len(rows)
+    found = {(r.query, r.match) for r in audio.search(prints, prints.where("vec_id in (2, 5)"), "vec_id").collect()}
+    assert (2, 3) in found and (5, 4) in found and not {(1, 2), (2, 4)} & found
+
+
 def test_audio_recall_at_most_errors(spark):
     """Copies with some notes changed and cut at the front, against brute force: pairs with an
     error of MOST_ERRORS at most, at any offset that leaves half of the shorter recording."""
@@ -276,7 +315,7 @@ def test_pipeline_stages_do_what_they_say(spark, tmp_path):
     before, after = kept["MinHash near-dedup"]
     from test_against_brute_force import near_components, personal_spans, shingles
 
-    roots = near_components({r.doc_id: shingles(r.text) for r in before.collect()})
+    roots = near_components({r.doc_id: shingles(r.text) for r in before.collect()}, 80)
     assert {r.doc_id for r in after.collect()} == set(roots.values())
     before, after = kept["benchmark decontamination"]
     clean = {r.doc_id for r in contamination.find(before, table(spark, SMALL, "benchmark")).where(F.size("spans") == 0).collect()}
