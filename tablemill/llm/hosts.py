@@ -41,12 +41,14 @@ def path_of(url: Column) -> Column:
 
 
 def parts_of(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix; user names and ports are left out."""
+    """Registered domain and suffix; user names and ports are left out. An address of four numbers is
+    a domain by itself, and all of them have one suffix, the empty one."""
     bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
     labels = F.split(bare, r"\.")
     last = lambda k: F.array_join(F.slice(labels, F.greatest(F.size(labels) - (k - 1), F.lit(1)), k), ".")
     long = last(2).isin(*LONG_SUFFIXES)
-    return F.when(long, last(3)).otherwise(last(2)), F.when(long, last(2)).otherwise(last(1))
+    address = bare.rlike(r"^[0-9]+(\.[0-9]+){3}\z")
+    return F.when(address, bare).when(long, last(3)).otherwise(last(2)), F.when(address, "").when(long, last(2)).otherwise(last(1))
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -105,10 +107,10 @@ WITH p AS (
   FROM pages),
 l AS (SELECT doc_id, CAST(round(avg(quality)) AS BIGINT) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 h0 AS (SELECT host, count(good) AS n, coalesce(sum(good), 0)::DOUBLE AS k FROM p LEFT JOIN l ON l.doc_id = p.page_id GROUP BY host),
-h1 AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS a FROM h0),
+h1 AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS a, regexp_full_match(array_to_string(a, '.'), '[0-9]+([.][0-9]+){3}') AS address FROM h0),
 h2 AS (SELECT *, array_to_string(a[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'net.au', 'co.jp', 'co.nz', 'com.br', 'co.in', 'co.za', 'com.cn', 'com.mx') AS l2 FROM h1),
-h AS (SELECT host, n, k, CASE WHEN l2 THEN array_to_string(a[-3:], '.') ELSE array_to_string(a[-2:], '.') END AS domain,
-        CASE WHEN l2 THEN array_to_string(a[-2:], '.') ELSE a[-1] END AS suffix FROM h2),
+h AS (SELECT host, n, k, CASE WHEN address THEN array_to_string(a, '.') WHEN l2 THEN array_to_string(a[-3:], '.') ELSE array_to_string(a[-2:], '.') END AS domain,
+        CASE WHEN address THEN '' WHEN l2 THEN array_to_string(a[-2:], '.') ELSE a[-1] END AS suffix FROM h2),
 s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (coalesce(sum(k), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0) FROM h) AS m FROM h GROUP BY suffix),
 s1 AS (SELECT sum(n * (k / n - m) ** 2) AS s, sum(m * (1 - m)) AS a, sum(m * (1 - m) * (n - 1)) AS b FROM s0 WHERE n > 0),
 s2 AS (SELECT CASE WHEN coalesce(b, 0) = 0 OR s <= a THEN 1e6 ELSE least(1e6, greatest(1.0, b / (s - a) - 1)) END AS g FROM s1),
