@@ -96,6 +96,13 @@ def test_hosts_of_odd_urls(spark):
     assert got[7].verdict == "allow" and got[6].verdict == "block"
 
 
+def test_domains_and_suffixes(spark):
+    urls = ["http://a.b.co.uk:80/", "http://u@x.y.org/", "http://10.0.0.1:8080/", "http://10.0.0.2/", "http://single/", "http:///"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
+    got = [tuple(r) for r in df.orderBy("i").select(*hosts.parts_of(hosts.host_of(F.col("url")))).collect()]
+    assert got == [("b.co.uk", "co.uk"), ("y.org", "org"), ("10.0.0.1", ""), ("10.0.0.2", ""), ("single", "single"), ("", "")]
+
+
 def test_a_bad_host_is_blocked_and_a_good_one_is_not(spark):
     pages = spark.range(400).selectExpr("id AS page_id", "concat('http://', CASE WHEN id % 2 = 0 THEN 'good.com' ELSE 'bad.com' END, '/') AS url")
     labels = spark.range(400).selectExpr("id AS doc_id", "CAST(CASE WHEN id % 2 = 0 THEN id % 20 <> 0 ELSE id % 10 = 1 END AS INT) AS quality")
