@@ -4,19 +4,20 @@ A recording (PCM WAV bytes in a column) is cut into overlapping frames; each fra
 folded into 12 pitch classes. Sixteen filters of the kinds in `FILTERS` compare sums of
 rectangles of the (frame, pitch class) image, taken in constant time from its integral image;
 each answer is one of four levels, two Gray-coded bits, so a frame gives a packed 32-bit
-integer. Recordings with equal fingerprints are one class. A search joins landmarks (of every
-frame, each three of its integer's four bytes, so errors in one byte leave one landmark) and
-counts offsets for each pair of classes; every offset with LEAST_VOTES is checked by the share of
-differing bits over the whole overlap, and of those that pass the one with the most agreeing
-bits over chance is the match.
-
-Landmarks are joined by value: pairs are only those of a query class and another class that
-share LEAST_VOTES landmarks at one offset, so the search is not exact: with errors in nearly all
-frames, pairs near MOST_ERRORS share too few. Nothing is gathered in one task: offsets are counted
-with partial sums, and the bit errors of a pair need just the two fingerprints.
+integer. Recordings with equal fingerprints are one class. A search joins landmarks and counts
+offsets for each pair of classes; every offset that leaves half of the shorter recording is
+checked by the share of differing bits over the whole overlap, and of those that pass the one
+with the most agreeing bits over chance is the match.
+
+A landmark is of two frames, APART from each other: three of the four bytes of both integers, the
+same ones, so each frame has four and errors in one byte leave one. Two frames hold 48 bits, so
+unlike recordings hardly ever share one, however many there are; like ones that share none at
+their offset are not found: with errors in nearly all frames, pairs near MOST_ERRORS are missed.
+Nothing is gathered in one task: offsets are counted with partial sums, and the bit errors of a
+pair need just the two fingerprints.
 
 Defined cases: null, empty or unreadable bytes, and recordings shorter than the widest filter,
-have no fingerprint and match nothing; ties between offsets go to the smaller one; rows that
+have no fingerprint and match nothing; those of fewer than three frames match only their equals; ties between offsets go to the smaller one; rows that
 share an id are classed by their own recordings; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -26,6 +27,7 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +42,9 @@ FILTERS = tuple((k, c, h, w) for k, c, h, w in zip([0, 1, 2, 3] * 4, [0, 4, 8, 2
 WIDEST = 16
 #: Levels of the log ratio of both halves, and their Gray code.
 LEVELS, GRAY = np.array([-0.35, 0.0, 0.35]), np.array([0, 1, 3, 2], np.uint32)
-LEAST_VOTES, MOST_ERRORS = 2, 0.30
+APART, MOST_ERRORS = 2, 0.30
 #: Recordings or pairs that are worked on at once.
 SLICE = 128
-#: Bits of a frame's integer that make a landmark: all but one byte.
-MASKS = np.array([0xFFFFFF, 0xFFFF00FF, 0xFF00FFFF, 0xFFFFFF00], np.uint32)
 
 
 def samples_of(data: bytes | None) -> tuple[np.ndarray, int]:
@@ -61,17 +61,26 @@ def samples_of(data: bytes | None) -> tuple[np.ndarray, int]:
     return x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1), rate
 
 
-def chroma(x: np.ndarray, rate: int) -> np.ndarray:
-    """(frames, 12): energy of each pitch class, frames at unit length."""
-    if len(x) < FRAME:
-        return np.empty((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * np.hanning(FRAME)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
+HANN = np.hanning(FRAME)
+
+
+@lru_cache(16)
+def folding(rate: int) -> np.ndarray:
+    """(frequencies, 12): which pitch class each frequency of a spectrum belongs to."""
     f = np.fft.rfftfreq(FRAME, 1 / rate)
     used = (f >= LOWEST) & (f <= HIGHEST)
     fold = np.zeros((len(f), 12))
     fold[np.flatnonzero(used), np.round(12 * np.log2(f[used] / 440)).astype(int) % 12] = 1
-    out = power @ fold
+    return fold
+
+
+def chroma(x: np.ndarray, rate: int) -> np.ndarray:
+    """(frames, 12): energy of each pitch class, frames at unit length."""
+    if len(x) < FRAME:
+        return np.empty((0, 12))
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * HANN
+    spectrum = np.fft.rfft(frames, axis=1)
+    out = (spectrum.real**2 + spectrum.imag**2) @ folding(rate)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -128,6 +137,13 @@ def errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(np.bitwise_count(x).sum()) / (32 * (hi - lo)), hi - lo
 
 
+def pair_marks(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """Landmarks of pairs of integers, without byte k of both."""
+    low, high = (1 << 8 * k) - 1, 8 * (k + 1)
+    a, b = (((x.astype(np.int64) >> high) << 8 * k) | (x.astype(np.int64) & low) for x in (a, b))
+    return a << 26 | b << 2 | k
+
+
 def classes(prints: DataFrame, key: str) -> DataFrame:
     """For each distinct fingerprint its smallest key as `rep`, and whether other keys have it (`copied`)."""
     found = prints.where(F.col("prints").isNotNull() & F.col(key).isNotNull()).groupBy("prints")
@@ -153,16 +169,19 @@ def search(prints: DataFrame, queries: DataFrame, key: str, most_errors: float =
                     rep, p = batch.column("rep"), batch.column("prints").to_pylist()
                     sizes = np.array([len(x) // 4 for x in p], np.int64)
                     each = np.frombuffer(b"".join(p), "<u4")
-                    rows = np.tile(np.repeat(np.arange(len(p)), sizes), len(MASKS))
-                    where = np.tile(np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes), len(MASKS))
-                    marks = np.concatenate([(each & m).astype(np.int64) << 2 | k for k, m in enumerate(MASKS)])
-                    yield pa.RecordBatch.from_arrays([rep.take(pa.array(rows)), pa.array(marks), pa.array(where.astype(np.int32))], [name, "mark", place])
-
-        return df.mapInArrow(run, f"{name} {kind}, mark long, {place} int")
-
-    hits = landmarks(asked, "query", "qp").join(landmarks(all_, "match", "mp"), "mark").where("query <> match")
-    votes = hits.groupBy("query", "match", (F.col("mp") - F.col("qp")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    pairs = votes.where(F.col("votes") >= LEAST_VOTES).select("query", "match", "offset")
+                    row, where = np.repeat(np.arange(len(p)), sizes), np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    first = np.flatnonzero(where + APART < sizes[row])
+                    marks = np.concatenate([pair_marks(each[first], each[first + APART], k) for k in range(4)])
+                    out = [rep.take(pa.array(np.tile(row[first], 4))), pa.array(marks), pa.array(np.tile(where[first], 4).astype(np.int32)), pa.array(np.tile(sizes[row[first]], 4).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(out, [name, "mark", f"{place}p", f"{place}n"])
+
+        return df.mapInArrow(run, f"{name} {kind}, mark long, {place}p int, {place}n int")
+
+    offset = F.col("mp") - F.col("qp")
+    overlap = F.least("qn", F.col("mn") - offset) - F.greatest(F.lit(0), -offset)
+    near = (F.col("query") != F.col("match")) & (2 * overlap >= F.least("qn", "mn"))
+    hits = landmarks(asked, "query", "q").join(landmarks(all_, "match", "m"), "mark").where(near)
+    pairs = hits.groupBy("query", "match", offset.alias("offset")).agg(F.count(F.lit(1)).alias("votes")).select("query", "match", "offset")
     both = pairs.join(asked.select(F.col("rep").alias("query"), F.col("prints").alias("qx")), "query").join(all_.select(F.col("rep").alias("match"), F.col("prints").alias("mx")), "match")
     both = both.select("query", "match", "offset", "qx", "mx")
 
