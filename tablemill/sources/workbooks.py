@@ -28,6 +28,8 @@ from tablemill.functions.storage import materialize, numbered
 from tablemill.sources.delimited import Issue, SourceReadError, source_ids
 
 MAX_CELLS, ROWS, SHEET_NAME = 250_000, 1_048_575, "Dados Preparados"
+#: Cells of a workbook that is written: about 35 bytes of XML each are held by one task.
+WRITTEN_CELLS = 10_000_000
 #: Built-in number formats that show dates.
 DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 CELLS = "num long, cells array<struct<t:string,n:double,s:string,b:boolean>>, issue string"
@@ -245,7 +247,18 @@ def cell_xml(ref: str, v: object) -> str:
     return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(FORBIDDEN.sub("", str(v)))}</t></is></c>'
 
 
+def row_xml(n: int, values: list, letters: list[str]) -> str:
+    return f'<row r="{n}">{"".join(cell_xml(c + str(n), v) for c, v in zip(letters, values))}</row>'
+
+
 def workbook_bytes(headers: list[str], rows: Iterator[list], sheet: str) -> bytes:
+    """A workbook of one sheet: the headers, then the rows."""
+    letters = [letters_of(i) for i in range(len(headers))]
+    return zipped(headers, (row_xml(n, row, letters) for n, row in enumerate(rows, 2)), sheet)
+
+
+def zipped(headers: list[str], rows: Iterator[str], sheet: str) -> bytes:
+    """rows: the XML of each row but the first."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", f'{XML}<Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{KIND}sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{KIND}worksheet+xml"/></Types>')
@@ -255,10 +268,9 @@ def workbook_bytes(headers: list[str], rows: Iterator[list], sheet: str) -> byte
         letters = [letters_of(i) for i in range(len(headers))]
         with z.open("xl/worksheets/sheet1.xml", "w") as f:
             f.write(f'{XML}<worksheet xmlns="{MAIN}"><sheetData>'.encode())
-            for n, row in enumerate([headers], 1):
-                f.write(f'<row r="{n}">{"".join(cell_xml(c + str(n), v) for c, v in zip(letters, row))}</row>'.encode())
-            for n, row in enumerate(rows, 2):
-                f.write(f'<row r="{n}">{"".join(cell_xml(c + str(n), v) for c, v in zip(letters, row))}</row>'.encode())
+            f.write(row_xml(1, headers, letters).encode())
+            for row in rows:
+                f.write(row.encode())
             f.write(b"</sheetData></worksheet>")
     return out.getvalue()
 
@@ -273,25 +285,35 @@ def unique_sheet_name(name: str, taken: list[str] = ()) -> str:
     return out
 
 
-def workbooks(frame: PreparedFrame, sheet: str = SHEET_NAME, rows: int = ROWS) -> DataFrame:
+def workbooks(frame: PreparedFrame, sheet: str = SHEET_NAME, rows: int = ROWS, cells: int = WRITTEN_CELLS) -> DataFrame:
     """part, n_rows and content (bytes) of workbooks that hold the frame's rows in order, at most
-    `rows` each. A task holds the rows of one workbook."""
+    `rows` and about `cells` each. Rows become sheet XML where they lie; one task for each workbook
+    only puts their texts in order into the zip."""
     if not 0 < rows <= ROWS:
         raise SourceReadError(Issue("InvalidRowBound", "O limite de linhas da planilha é inválido."))
+    rows = max(1, min(rows, cells // max(1, len(frame.columns))))
     headers, name = [c.header for c in frame.columns], unique_sheet_name(sheet)
     values = [frame.value(i) for i in frame.ids]
-    cells = [F.struct(v.number.alias("n"), v.boolean.alias("b"), F.when(v.number.isNull() & v.boolean.isNull() & ~v.is_null, v.text).alias("s")) for v in values]
-    dealt = numbered(frame.df.select(F.array(*cells).alias("cells"), *frame.hidden), frame.ordering, "at")
+    fields = [F.struct(v.number.alias("n"), v.boolean.alias("b"), F.when(v.number.isNull() & v.boolean.isNull() & ~v.is_null, v.text).alias("s")) for v in values]
+    dealt = numbered(frame.df.select(F.array(*fields).alias("cells"), *frame.hidden), frame.ordering, "at")
     dealt = dealt.select(F.floor(F.col("at") / rows).cast("long").alias("part"), F.col("at"), "cells")
+    letters = [letters_of(i) for i in range(len(headers))]
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("at")
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick = lambda c: c["n"] if c["n"] is not None else c["b"] if c["b"] is not None else c["s"]
         whole = lambda v: int(v) if isinstance(v, float) and v.is_integer() and abs(v) < 2**53 else v
-        each = ([whole(pick(c)) for c in r] for b in table.select(["cells"]).to_batches(max_chunksize=1024) for r in b.column(0).to_pylist())
-        return pa.table({"part": [table.column("part")[0].as_py()], "n_rows": [table.num_rows], "content": pa.array([workbook_bytes(headers, each, name)], pa.binary())})
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                b = batch.slice(start, 1024)
+                texts = [row_xml(at % rows + 2, [whole(pick(c)) for c in r], letters) for at, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["part", "at", "xml"])
+
+    def bound(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        each = (x for b in table.select(["xml"]).to_batches(max_chunksize=1024) for x in b.column(0).to_pylist())
+        return pa.table({"part": [table.column("part")[0].as_py()], "n_rows": [table.num_rows], "content": pa.array([zipped(headers, each, name)], pa.binary())})
 
-    return dealt.groupBy("part").applyInArrow(run, "part long, n_rows long, content binary")
+    return dealt.mapInArrow(written, "part long, at long, xml string").groupBy("part").applyInArrow(bound, "part long, n_rows long, content binary")
 
 
 def read_references(spark: SparkSession, source: str | None = None, template: str | None = None, max_cells: int = MAX_CELLS) -> dict[str, PreparedFrame]:
