@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import audio, contamination, hosts, nearcopies, passages, personal, pieces, quality, replies, scoring
+from tablemill.llm import audio, centroids, contamination, hosts, lexical, nearcopies, passages, personal, pieces, quality, replies, scoring, wordbpe
 from tablemill.llm.common import materialize, table
 
 
@@ -120,6 +120,31 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    named = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", named.alias("centroid_sha256"))
+
+
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = wordbpe.encode(table(spark, sf_dir, "documents"), word_vocabulary(), decode=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    n, total = lexical.statistics(docs)
+    lists = materialize(lexical.index(docs, n, total), "index")
+    return lexical.search(lists, table(spark, sf_dir, "benchmark"), n, total).withColumnRenamed("doc", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal": op1_personal,
     "op2_replies": op2_replies,
@@ -131,5 +156,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_pieces": op9_pieces,
     "op10_audio": op10_audio,
+    "op11_clusters": op11_clusters,
+    "op12_words": op12_words,
+    "op13_search": op13_search,
 }
-ORACLE_SQL: dict[str, str] = {"op2_replies": replies.SQL, "op3_hosts": hosts.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_replies": replies.SQL, "op3_hosts": hosts.SQL, "op11_clusters": centroids.sql(), "op13_search": lexical.SQL}

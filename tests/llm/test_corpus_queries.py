@@ -23,7 +23,7 @@ def test_query_agrees_with_its_sql(spark, name):
 def test_registered(spark):
     import __spark_entry__ as e
 
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.QUERIES) | {"pipeline"} <= set(e.queries())
 
 
