@@ -48,7 +48,7 @@ from pyspark.sql import types as T
 from tablemill.llm.common import materialize, union_all
 
 BLOCK = 128
-SHARD_BYTES, SHARD_DOCS = 32 << 20, 1 << 16
+SHARD_BYTES, SHARD_DOCS = 12 << 20, 1 << 16
 BLOCK_ITEMS, BLOCK_BYTES = 1_000, 4 << 20
 #: Documents of an item's heaviest lists that give the first threshold; pivots looked at together.
 SEEDS, PIVOTS = 256, 4_096
@@ -121,10 +121,13 @@ def shard_rows(shard: int, docs: list[tuple[int | None, bytes]], n: int, total:
     terms as `ends`) and posting lists."""
     docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
     numbers = defaultdict(count().__next__)
-    each = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for _, t in docs for w in [terms_of(t)]]
+    each = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) << 32 | d for d, (_, t) in enumerate(docs) for w in [terms_of(t)]]
     sizes = [len(x) for x in each]
-    key, tf = np.unique(np.concatenate(each) << 32 | np.repeat(np.arange(len(each)), sizes), return_counts=True)
-    term, doc = key >> 32, key & 0xFFFFFFFF
+    key = np.concatenate(each)
+    del each
+    key, tf = np.unique(key, return_counts=True)
+    term, doc = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
+    del key
     impact = impacts(tf, lengths_norm(sizes, n, total)[doc])
     first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
     counts = np.diff(np.append(first, len(term)))
