@@ -9,6 +9,7 @@ are true or false.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -30,20 +31,84 @@ def utf16_length(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Whole numbers from 2^63 on: a bound's exponent, and that of a power of two that divides all doubles up to it.
+BY_POWER = [(63 + k, k) for k in (11, 22, 33, 44, 55)]
+#: Digits that tell doubles apart but for those below LEAST_NORMAL, and digits that tell any double.
+SURE_DIGITS, MOST_DIGITS, LEAST_NORMAL = 15, 17, 2.0**-1022
+
+
+def whole_digits(size: Column) -> Column:
+    """A whole double under 2^118 as decimal, exactly; null for others."""
+    out = F.when(size < 2.0**63, size.cast("bigint").cast("decimal(38,0)"))
+    for bound, k in BY_POWER:
+        high = (size / 2.0**k).cast("bigint").cast("decimal(19,0)") * F.lit(2**k).cast("decimal(17,0)")
+        out = out.when(size < 2.0**bound, high.cast("decimal(38,0)"))
+    return F.when(size == F.rint(size), out)
+
+
+def rounded(s: Column, places: Column) -> Column:
+    """(d, q) of s at so many digits, down or up, whichever is nearer and reads back; else null.
+    s: `text` of digits, power `q` of ten, and the double, `size`."""
+    cut = F.length(s["text"]) - places
+    low, rest = F.substr(s["text"], F.lit(1), places).cast("bigint"), F.substr(s["text"], places + 1)
+    half = F.rpad(F.lit("5"), cut, "0")
+    down = (rest < half) | ((rest == half) & (low % 2 == 0))
+    as_pair = lambda n: F.struct(n.cast("string").alias("d"), (s["q"] + cut).alias("q"))
+    back = lambda n: F.concat(n.cast("string"), F.lit("E"), (s["q"] + cut).cast("string")).cast("double") == s["size"]
+    near, far = F.when(down, low).otherwise(low + 1), F.when(down, low + 1).otherwise(low)
+    return F.when(cut > 0, F.when(back(near), as_pair(near)).when(back(far), as_pair(far)))
+
+
+def shortest(size: Column) -> Column:
+    """(d, n) of a positive double: the fewest digits that read back as that double, and of those the
+    nearest; the number is 0.d times ten to the power of n.
+
+    Digits that read back are at hand: all those of a whole number, else what Java writes, which some
+    versions give one digit too many. At 15, 16 and 17 digits (from one on for the least doubles), down and
+    up, the first that still read back are the shortest."""
+    written = size.cast("string")
+    java, power = F.split_part(written, F.lit("E"), F.lit(1)), F.nullif(F.split_part(written, F.lit("E"), F.lit(2)), F.lit(""))
+    broken = F.length(F.split_part(java, F.lit("."), F.lit(2)))
+    exact, digits = whole_digits(size), F.replace(java, F.lit(".")).cast("decimal(38,0)")
+    q = F.when(exact.isNotNull(), 0).otherwise(F.coalesce(power.cast("int"), F.lit(0)) - broken)
+    start = F.struct(F.coalesce(exact, digits).cast("string").alias("text"), q.alias("q"), size.alias("size"))
+    whole = lambda s: F.struct(s["text"].alias("d"), s["q"].alias("q"))
+    places = lambda first: F.sequence(F.lit(first), F.lit(MOST_DIGITS))
+    tried = lambda s: F.transform(F.when(s["size"] < LEAST_NORMAL, places(1)).otherwise(places(SURE_DIGITS)), lambda p: rounded(s, p))
+    found = let(start, lambda s: F.coalesce(F.get(F.filter(tried(s), lambda x: x.isNotNull()), 0), whole(s)))
+    return let(found, lambda s: F.struct(F.rtrim(s["d"], F.lit("0")).alias("d"), (F.length(s["d"]) + s["q"]).alias("n")))
+
+
+def laid_out(s: Column) -> Column:
+    """0.d times ten to the power of n as text: plain between 1e-6 and 1e21, else with an exponent."""
+    d, n, k = s["d"], s["n"], F.length(s["d"])
+    zeros = lambda count: F.repeat(F.lit("0"), count)
+    head, tail = F.substring(d, 1, 1), F.when(k > 1, F.concat(F.lit("."), F.substring(d, 2, 99))).otherwise("")
+    return (
+        F.when((k <= n) & (n <= 21), F.concat(d, zeros(n - k)))
+        .when((n > 0) & (n <= 21), F.concat(F.substr(d, F.lit(1), n), F.lit("."), F.substr(d, n + 1)))
+        .when((n > -6) & (n <= 0), F.concat(F.lit("0."), zeros(-n), d))
+        .otherwise(F.concat(head, tail, F.lit("e"), F.when(n >= 1, "+").otherwise("-"), F.abs(n - 1).cast("string")))
+    )
+
+
 def number_text(c: Column) -> Column:
-    """A double as text: plain digits between 1e-6 and 1e21, the shortest form that reads back
-    as the same number, exponents as 1e-7 and 1.5e+21."""
-    java = c.cast("string")
+    """A double as text: the shortest digits that read back as the same number, plain between 1e-6 and
+    1e21, exponents as 1e-7 and 1.5e+21. Small whole numbers and what Java writes plainly with few
+    digits take no more than a cast."""
     size = F.abs(c)
-    whole = F.when(size < 1e21, c).cast("decimal(38,0)").cast("string")
-    plain = F.regexp_replace(F.when((size < 1e15) & (size >= 1e-6), java).try_cast("decimal(38,22)").cast("string"), r"\.?0+\z", "")
-    power = F.regexp_replace(F.regexp_replace(F.lower(java), r"\.0e", "e"), r"e([0-9])", r"e+$1")
+    sign = F.when(c < 0, "-").otherwise("")
     return (
         F.when(F.isnan(c), "NaN")
-        .when(size == float("inf"), F.when(c > 0, "Infinity").otherwise("-Infinity"))
-        .when((size < 1e21) & (c == F.rint(c)), whole)
-        .when((size >= 1e-6) & (size < 1e21), plain)
-        .otherwise(power)
+        .when(size == float("inf"), F.concat(sign, F.lit("Infinity")))
+        .when((size < 1e15) & (c == F.rint(c)), c.cast("bigint").cast("string"))
+        .when((size >= 1e-3) & (size < 1e7) & (F.length(size.cast("string")) <= SURE_DIGITS + 1), c.cast("string"))
+        .otherwise(F.concat(sign, let(shortest(size), laid_out)))
     )
 
 

@@ -13,7 +13,7 @@ from dataclasses import replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablemill.frame import ROW_ID, ColumnInfo, FrameError, PreparedFrame, first_rows
+from tablemill.frame import ROW_ID, ColumnInfo, FrameError, PreparedFrame, first_of_each, first_rows
 from tablemill.functions.conditions import check_condition, condition, equal, expression, predicate, sure
 from tablemill.functions.currency import currency_text
 from tablemill.functions.parsing import converted_date, converted_number
@@ -128,11 +128,16 @@ def remove_empty_rows(frame: PreparedFrame, cmd: dict) -> PreparedFrame:
 
 @command("deduplicate")
 def deduplicate(frame: PreparedFrame, cmd: dict) -> PreparedFrame:
-    """Keeps the first or last row of each key; null is a key, and not the same as ''. Keys meet
-    with partial results, and rows are only filtered by the ids that stay."""
-    keys = {f"__k{k}": frame.value(i).key for k, i in enumerate(cmd["columnIds"])}
-    heads = first_rows(frame, frame.df.withColumns(keys) if keys else frame.df, list(keys), last=cmd["keep"] != "first")
-    return frame.with_df(frame.df.join(heads.select(F.col(f"__o.{ROW_ID}").alias(ROW_ID)), ROW_ID, "left_semi"))
+    """Keeps the first or last row of each key; null is a key, and not the same as ''. Where the order has
+    one direction, that is one aggregate over whole rows with partial results; else rows are only filtered
+    by the ids that stay."""
+    keys, last = {f"__k{k}": frame.value(i).key for k, i in enumerate(cmd["columnIds"])}, cmd["keep"] != "first"
+    rows = frame.df.withColumns(keys) if keys else frame.df
+    kept = first_of_each(frame, rows, list(keys), last)
+    if kept is None:
+        heads = first_rows(frame, rows, list(keys), last)
+        kept = frame.df.join(heads.select(F.col(f"__o.{ROW_ID}").alias(ROW_ID)), ROW_ID, "left_semi")
+    return frame.with_df(kept)
 
 
 @command("splitColumn")

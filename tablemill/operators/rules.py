@@ -12,6 +12,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import SparkSession
 
+from tablemill.operators.conflicts import conflicts
+
 #: What an issue says by default, by code.
 MESSAGES = {
     "required": "O preenchimento de um valor é obrigatório.",
@@ -154,13 +156,6 @@ def relation_errors(rule: dict) -> list[str]:
     return [text for wrong, text in checks if wrong]
 
 
-def typed(x: object) -> str:
-    """Text that is equal for values of equal kind and value."""
-    if isinstance(x, (int, float)) and not isinstance(x, bool):
-        x = float(x)
-    return json.dumps([type(x).__name__, x], ensure_ascii=False)
-
-
 def repeated(ids: list[str]) -> list[str]:
     return [i for i, n in Counter(ids).items() if n > 1]
 
@@ -179,43 +174,10 @@ def matrix_errors(rule: dict, columns: list[str]) -> list[str]:
     for k, e in enumerate(entries, 1):
         out += [f"A linha {k} da matriz não possui condição: {c}." for c in keys if not e["conditions"].get(c)]
         out += [f"A linha {k} da matriz possui uma coluna dependente desconhecida: {c}." for c in e["constraints"] if c not in dependents]
-    for (i, a), (j, b) in combinations(enumerate(entries, 1), 2):
-        both = a["constraints"].keys() & b["constraints"].keys()
-        if overlap(keys, a, b) and any(conflict(a["constraints"][c], b["constraints"][c]) for c in both):
-            out.append(f"As linhas {i} e {j} da matriz entram em conflito para as mesmas condições.")
+    out += [f"As linhas {i + 1} e {j + 1} da matriz entram em conflito para as mesmas condições." for i, j in conflicts(rule)]
     return list(dict.fromkeys(out))
 
 
-def overlap(keys: list[str], a: dict, b: dict) -> bool:
-    """Whether a row can meet the conditions of both entries."""
-    for c in keys:
-        x, y = a["conditions"].get(c), b["conditions"].get(c)
-        if x is None or y is None:
-            return False
-        kinds = {x["operator"], y["operator"]}
-        if "any" not in kinds and (len(kinds) > 1 or (kinds == {"equals"} and typed(x["value"]) != typed(y["value"]))):
-            return False
-    return True
-
-
-def conflict(a: dict, b: dict) -> bool:
-    """Whether no value can satisfy both constraints, as far as that can be told."""
-    kinds = {a["type"], b["type"]}
-    if "any" in kinds:
-        return False
-    if kinds == {"equals"}:
-        return typed(a["value"]) != typed(b["value"])
-    if kinds == {"empty", "required"}:
-        return True
-    if kinds == {"allowed"}:
-        return not {typed(x) for x in a["allowedValues"]} & {typed(x) for x in b["allowedValues"]}
-    if kinds == {"type"}:
-        return a["valueType"] != b["valueType"]
-    if len(kinds) == 1 and kinds <= {"numberRange", "stringLength", "dateRange"}:
-        return apart(a, b)
-    return a != b and bool(kinds & {"empty", "equals"})
-
-
 def apart(a: dict, b: dict) -> bool:
     lows = [x["min"] for x in (a, b) if x.get("min") is not None]
     highs = [x["max"] for x in (a, b) if x.get("max") is not None]

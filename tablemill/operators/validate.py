@@ -13,12 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.frame import ROW_ID, ROW_NUM, PreparedFrame, first_rows
+from tablemill.frame import ROW_ID, ROW_NUM, PreparedFrame, first_place, first_rows
 from tablemill.functions.conditions import condition, expression, ordered_numbers, sure
-from tablemill.functions.documents import is_cnpj, is_cpf
-from tablemill.functions.parsing import parsed_date
-from tablemill.functions.values import BOOLEAN, MIXED, NUMBER, STRING, Value, number_text, utf16_length
-from tablemill.operators.rules import MESSAGES, RELATION_MESSAGES, RELATION_OTHER, TYPE_LABELS, configuration_errors, number_label, referenced_columns, rule_id
+from tablemill.functions.values import MIXED, NUMBER, Value
+from tablemill.operators import matrix
+from tablemill.operators.checks import Params, failure, parts_of
+from tablemill.operators.rules import MESSAGES, RELATION_MESSAGES, RELATION_OTHER, configuration_errors, number_label, referenced_columns, rule_id
 
 ISSUE = ("rowId", "sourceRowNumber", "columnId", "code", "value", "valueType", "message", "severity", "ruleId")
 #: Where an issue stands: row-local ones first, then by rule, group and part of the rule.
@@ -44,6 +44,8 @@ class ValidationResult:
     issues: DataFrame
     configuration_errors: list[dict]
     order: list[Column] = field(default_factory=list)
+    #: Index, id and rule of those that look at one row.
+    local: list[tuple[int, str, dict]] = field(default_factory=list)
 
     def ordered(self) -> DataFrame:
         """Issues in report order: row-local ones by row, then rule by rule."""
@@ -58,88 +60,38 @@ class ValidationResult:
         return not self.configuration_errors and self.issues.where("severity = 'error'").limit(1).isEmpty()
 
     def impact(self) -> DataFrame:
-        """ruleId, affectedRows and affectedCells for every rule, also for those without issues."""
+        """ruleId, affectedRows and affectedCells for every rule, also for those without issues. Rules that look at
+        one row are counted in one aggregate over the rows; only the others' issues are grouped."""
         spark = self.issues.sparkSession
-        ids = spark.createDataFrame([(rule_id(r, i),) for i, r in enumerate(self.rules)], "ruleId string").distinct()
-        rows = self.issues.groupBy("ruleId", "rowId").agg(F.size(F.collect_set("columnId")).alias("k"))
-        found = rows.groupBy("ruleId").agg(F.count(F.lit(1)).alias("affectedRows"), F.sum("k").alias("affectedCells"))
-        zero = F.lit(0).cast("long")
+        names = list(dict.fromkeys(rule_id(r, i) for i, r in enumerate(self.rules)))
+        local = {name for _, name, _ in self.local}
+        other = {rule_id(r, i) for i, r in enumerate(self.rules) if r["type"] in (*DATASET_RULES, "conditionalMatrix")}
+        counted = sorted(local - other)
+        parts = [self.counted(counted)] if counted else []
+        if other or not counted:
+            rows = self.issues.where(~F.col("ruleId").isin(counted)).groupBy("ruleId", "rowId").agg(F.size(F.collect_set("columnId")).alias("k"))
+            parts.append(rows.groupBy("ruleId").agg(F.count(F.lit(1)).alias("affectedRows"), F.sum("k").alias("affectedCells")))
+        found, zero = reduce(DataFrame.unionByName, parts), F.lit(0).cast("long")
+        ids = spark.createDataFrame([(n,) for n in names], "ruleId string")
         return ids.join(found, "ruleId", "left").select("ruleId", F.coalesce("affectedRows", zero).alias("affectedRows"), F.coalesce("affectedCells", zero).alias("affectedCells"))
 
+    def counted(self, names: list[str]) -> DataFrame:
+        """Rows and cells that fail rules which look at one row."""
+        checks: dict[str, dict[str, list[Column]]] = {n: {} for n in names}
+        for _, name, rule in self.local:
+            for c in row_checks(self.frame, rule) if name in checks else []:
+                checks[name].setdefault(c.column_id, []).append(c.fails)
+        either = lambda fails: reduce(lambda a, b: a | b, fails, F.lit(False))
+        rows = [F.count_if(either([f for own in checks[n].values() for f in own])) for n in names]
+        cells = [reduce(lambda a, b: a + b, [F.count_if(either(own)) for own in checks[n].values()], F.lit(0).cast("long")) for n in names]
+        said = [F.struct(F.lit(n).alias("ruleId"), r.alias("affectedRows"), c.alias("affectedCells")) for n, r, c in zip(names, rows, cells)]
+        return self.frame.df.agg(F.array(*said).alias("said")).select(F.inline("said"))
 
-def local_checks(v: Value, rule: dict, severity: str = "error", before: str = "", lead: str = "") -> list[Check]:
-    """Checks of one column; but for `required` and `empty` an empty cell passes."""
-    column, kind, blank = rule["columnId"], rule["type"], sure(v.empty("validate"))
-
-    def check(fails: Column, code: str, *args: object) -> Check:
-        text = MESSAGES[code].format(*map(number_label, args)) if args else MESSAGES[code]
-        return Check(sure(fails), column, before + code, lead + text, severity)
-
-    if kind == "required":
-        return [check(blank, "required")]
-    if kind == "empty":
-        return [check(~blank, "empty")]
-    there, low, high = ~blank, rule.get("min"), rule.get("max")
-    finite = ~F.isnan(v.number) & (F.abs(v.number) != float("inf"))
-    match kind:
-        case "type":
-            wanted = rule["valueType"]
-            fits = {"date": parsed_date(v.string).isNotNull(), "number": finite, "string": v.string.isNotNull(), "boolean": v.boolean.isNotNull()}[wanted]
-            return [check(there & ~sure(fits), "type", TYPE_LABELS[wanted])]
-        case "allowed" | "notAllowed":
-            values = rule["allowedValues"] if kind == "allowed" else rule["disallowedValues"]
-            listed = in_list(v, values)
-            return [check(there & ~listed, "allowed")] if kind == "allowed" else [check(there & listed, "not_allowed")]
-        case "numberRange":
-            out = [check(finite & (v.number < low), "min", low)] if low is not None else []
-            return out + ([check(finite & (v.number > high), "max", high)] if high is not None else [])
-        case "dateRange":
-            d = parsed_date(v.string)
-            out = [check(d < parsed_date(F.lit(low)), "date_min", low)] if low is not None else []
-            return out + ([check(d > parsed_date(F.lit(high)), "date_max", high)] if high is not None else [])
-        case "stringLength":
-            n = utf16_length(v.string)
-            out = [check(there & (n < low), "min_length", low)] if low is not None else []
-            return out + ([check(there & (n > high), "max_length", high)] if high is not None else [])
-        case "integer":
-            return [check(there & ~sure(finite & (v.number == F.floor(v.number))), "integer")]
-        case "numberPrecision":
-            places = F.length(F.element_at(F.split(number_text(v.number), r"\."), -1))
-            dotted = F.contains(number_text(v.number), F.lit("."))
-            return [check(finite & dotted & (places > rule["decimalPlaces"]), "number_precision", rule["decimalPlaces"])]
-        case "format":
-            return [check(there & ~sure(matches_format(v.string, rule)), "format")]
-    raise ValueError(f"Regra desconhecida: {kind}")
-
-
-def in_list(v: Value, values: list) -> Column:
-    """Typed membership."""
-    numbers = [float(x) for x in values if isinstance(x, (int, float)) and not isinstance(x, bool)]
-    out = [v.number.isin(*numbers)] if numbers and v.kind in (NUMBER, MIXED) else []
-    strings, booleans = [x for x in values if isinstance(x, str)], [x for x in values if isinstance(x, bool)]
-    out += [v.string.isin(*strings)] if strings and v.kind in (STRING, MIXED) else []
-    out += [v.boolean.isin(*booleans)] if booleans and v.kind in (BOOLEAN, MIXED) else []
-    return reduce(lambda a, b: a | b, map(sure, out), F.lit(False))
-
-
-def matches_format(c: Column, rule: dict) -> Column:
-    digits = F.length(F.regexp_replace(c, "[^0-9]", ""))
-    match rule["format"]:
-        case "email":
-            return c.rlike(r"(?U)^[^\s@]+@[^\s@]+\.[^\s@]+\z")
-        case "cpf":
-            return is_cpf(c)
-        case "cnpj":
-            return is_cnpj(c)
-        case "cep":
-            return c.rlike(r"^[0-9]{5}-?[0-9]{3}\z")
-        case "phone":
-            return digits.between(10, 13)
-        case "prefix":
-            return c.startswith(rule["prefix"])
-        case "suffix":
-            return c.endswith(rule["suffix"])
-    return c.rlike(rule["pattern"])
+
+def local_checks(v: Value, rule: dict) -> list[Check]:
+    """Checks of one column."""
+    text = lambda code, arg: MESSAGES[code].format(number_label(arg))
+    return [Check(sure(failure(v, check, Params(rule))), rule["columnId"], code, text(code, arg)) for check, code, arg in parts_of(rule)]
 
 
 def compares(left: Value, operator: str, right: Value) -> Column:
@@ -149,48 +101,9 @@ def compares(left: Value, operator: str, right: Value) -> Column:
     return ordered_numbers(left, operator, right)
 
 
-def entry_matches(frame: PreparedFrame, rule: dict, entry: dict) -> Column:
-    out = F.lit(True)
-    for c in rule["keyColumnIds"]:
-        node = entry["conditions"].get(c)
-        if node is None:
-            return F.lit(False)
-        if node["operator"] != "any":
-            v = frame.value(c)
-            out = out & (sure(v.empty("validate")) if node["operator"] == "empty" else sure(v.same(Value.of(node["value"]))))
-    return out
-
-
-def matrix_checks(frame: PreparedFrame, rule: dict) -> list[Check]:
-    hits = [entry_matches(frame, rule, e) for e in rule["entries"]]
-    out = []
-    behavior = rule.get("noMatchBehavior")
-    if behavior != "ignore":
-        column = [*rule["keyColumnIds"], *rule["dependentColumnIds"], ""][0]
-        none = ~reduce(lambda a, b: a | b, hits, F.lit(False))
-        out.append(Check(none, column, "conditional_no_match", MESSAGES["conditional_no_match"], "error" if behavior == "error" else "warning"))
-    for hit, entry in zip(hits, rule["entries"]):
-        for c in rule["dependentColumnIds"]:
-            x = entry["constraints"].get(c)
-            if not x or x["type"] in ("any", "unique", "compositeUnique"):
-                continue
-            v = frame.value(c)
-            if x["type"] in ("required", "empty"):
-                blank = sure(v.empty("validate"))
-                own = [Check(blank if x["type"] == "required" else ~blank, c, f"conditional_{x['type']}", MESSAGES[f"conditional_{x['type']}"], "warning")]
-            elif x["type"] == "equals":
-                own = [Check(~sure(v.same(Value.of(x["value"]))), c, "conditional_equals", MESSAGES["conditional_equals"], "warning")]
-            else:
-                own = local_checks(v, {**x, "columnId": c}, "warning", "conditional_", "Regra condicional: ")
-            out += [Check(hit & k.fails, k.column_id, k.code, k.message, k.severity) for k in own]
-    return out
-
-
 def row_checks(frame: PreparedFrame, rule: dict) -> list[Check]:
     kind = rule["type"]
-    if kind == "conditionalMatrix":
-        checks = matrix_checks(frame, rule)
-    elif kind in ("comparison", "expression"):
+    if kind in ("comparison", "expression"):
         column = (referenced_columns(rule) or [""])[0]
         if kind == "comparison":
             side = lambda o: frame.value(o["columnId"]) if o["type"] == "column" else Value.of(o.get("value"))
@@ -285,15 +198,31 @@ def filled(frame: PreparedFrame, ids: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [~sure(frame.value(c).empty("validate")) for c in ids])
 
 
-def with_counts(frame: PreparedFrame, ids: list[str], only: Column | None = None) -> DataFrame:
-    """Rows whose key stands more than once, with `__first`: the place of the group's first
-    row. Keys are counted first and only repeated ones joined back."""
+def with_counts(frame: PreparedFrame, ids: list[str], rows: DataFrame | None = None, context: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose key stands more than once (in its context), with `__first`: the place of the group's
+    first row. Keys are counted and their first rows found in one aggregate, and only repeated keys
+    are joined back."""
     keys = {f"__k{i}": frame.value(c).key for i, c in enumerate(ids)}
-    rows = frame.df.where(filled(frame, ids) if only is None else only & filled(frame, ids)).withColumns(keys)
-    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    rows = rows.join(groups, list(keys))
-    first = first_rows(frame, rows, list(keys)).select(*keys, F.struct(*[F.col(f"__o.{n}") for n, _ in frame.order]).alias("__first"))
-    return rows.join(first, list(keys))
+    by = [*context, *keys]
+    rows = (frame.df if rows is None else rows).where(filled(frame, ids)).withColumns(keys)
+    place = F.struct(*[F.col(f"__o.{n}") for n, _ in frame.order]).alias("__first")
+    if first_place(frame) is not None:
+        groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), first_place(frame).alias("__o")).where("__n > 1")
+        return rows.join(groups.select(*by, place), by)
+    repeated = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    rows = rows.join(repeated, by)
+    return rows.join(first_rows(frame, rows, by).select(*by, place), by)
+
+
+def matrix_issues(frame: PreparedFrame, index: int, name: str, rule: dict) -> list[DataFrame]:
+    """Issues of a decision table: of its rows, and of values that are not unique among the rows that meet an entry."""
+    found = matrix.entry_issues(frame, rule, lambda c: cell_text(frame, c))
+    out = [place(frame, found.withColumns({"ruleIndex": F.lit(index), "ruleId": F.lit(name)}), F.lit(0))]
+    for (kind, *ids), entries in matrix.unique_contexts(rule).items():
+        code = "conditional_unique" if kind == "unique" else "conditional_composite_unique"
+        rows = with_counts(frame, ids, matrix.in_contexts(frame, rule, entries), ("__part",))
+        out.append(issues_of(frame, rows, index, F.col("__part"), name, ids[0], code, MESSAGES[code], rule.get("severity") or "warning"))
+    return out
 
 
 def dataset_issues(frame: PreparedFrame, index: int, name: str, rule: dict, references: dict[str, PreparedFrame]) -> list[DataFrame]:
@@ -314,22 +243,7 @@ def dataset_issues(frame: PreparedFrame, index: int, name: str, rule: dict, refe
             known = frame.df.where(filled(frame, [rule["referenceColumnId"]])).select(keys[1][0].alias("__k")).distinct()
             bad = rows.withColumn("__k", keys[0][0]).join(known, "__k", "left_anti" if exists else "left_semi")
         return [issues_of(frame, bad, index, none, name, rule["columnId"], "reference", message or MESSAGES["reference"], severity)]
-    if kind == "relation":
-        return [relation_issues(frame, index, name, rule, references)]
-    out = []
-    for e, entry in enumerate(rule["entries"]):
-        for d, c in enumerate(rule["dependentColumnIds"]):
-            x = entry["constraints"].get(c)
-            if not x or x["type"] not in ("unique", "compositeUnique"):
-                continue
-            ids = [c] if x["type"] == "unique" else list(x["columnIds"])
-            if not ids:
-                continue
-            code = "conditional_unique" if x["type"] == "unique" else "conditional_composite_unique"
-            rows = with_counts(frame, ids, entry_matches(frame, rule, entry))
-            part = F.lit(e * len(rule["dependentColumnIds"]) + d)
-            out.append(issues_of(frame, rows, index, part, name, ids[0], code, MESSAGES[code], rule.get("severity") or "warning"))
-    return out
+    return [relation_issues(frame, index, name, rule, references)]
 
 
 def relation_issues(frame: PreparedFrame, index: int, name: str, rule: dict, references: dict[str, PreparedFrame]) -> DataFrame:
@@ -363,12 +277,14 @@ def validate(frame: PreparedFrame, rules: list[dict], references: dict[str, Prep
                 errors += [{"ruleId": rule_id(r, i), "message": f"A coluna de destino do relacionamento não existe: {c}."} for c in r["rightColumnIds"] if c not in other.ids]
     wrong = {e["ruleId"] for e in errors}
     used = [(i, rule_id(r, i), r) for i, r in enumerate(rules) if r.get("enabled") is not False and rule_id(r, i) not in wrong]
-    local = [x for x in used if x[2]["type"] not in DATASET_RULES]
+    local = [x for x in used if x[2]["type"] not in (*DATASET_RULES, "conditionalMatrix")]
     frames = [local_issues(frame, local)] if local or not used else []
     for i, name, r in used:
-        if r["type"] in (*DATASET_RULES, "conditionalMatrix"):
+        if r["type"] == "conditionalMatrix":
+            frames += matrix_issues(frame, i, name, r)
+        elif r["type"] in DATASET_RULES:
             frames += dataset_issues(frame, i, name, r, references)
-    return ValidationResult(frame, rules, reduce(DataFrame.unionByName, frames), errors, frame.ordering)
+    return ValidationResult(frame, rules, reduce(DataFrame.unionByName, frames), errors, frame.ordering, local)
 
 
 def distinct_entries(frame: PreparedFrame, keys: list[str], dependents: list[str]) -> DataFrame:
@@ -381,4 +297,4 @@ def distinct_entries(frame: PreparedFrame, keys: list[str], dependents: list[str
 
 def matched_by_matrix(frame: PreparedFrame, rule: dict) -> int:
     """How many rows some entry of the matrix matches."""
-    return frame.df.where(reduce(lambda a, b: a | b, [entry_matches(frame, rule, e) for e in rule["entries"]], F.lit(False))).count()
+    return matrix.matches(frame, rule).count()

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from tablemill.frame import ROW_ID, ROW_NUM, ColumnInfo, PreparedFrame, from_dataframe
 from tablemill.functions.documents import is_cnpj, is_cpf
 from tablemill.functions.storage import new_path, numbered
-from tablemill.operators import mapping, merge, profile
+from tablemill.operators import mapping, matrix, merge, profile
 from tablemill.operators.commands import apply, edit_cells
 from tablemill.operators.history import PrepPipeline
-from tablemill.operators.validate import ValidationResult, distinct_entries, entry_matches, validate
+from tablemill.operators.validate import ValidationResult, cell_text, distinct_entries, validate
 from tablemill.sources import delimited
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -474,13 +474,47 @@ def rule_matrix_counts(spark, d):
     return validate(order_frame(spark, d), [MATRIX]).issues.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Entries of the large table, in four masks.
+ENTRIES = 10_000
+
+
+def large_matrix() -> dict:
+    """Entry i asks customer i div 4 + 1, with a status, without one or with any priority, for a price, a date or
+    a priority."""
+    is_ = lambda x: {"operator": "equals", "value": x}
+    any_ = {"operator": "any"}
+    entries = []
+    for i in range(ENTRIES):
+        customer = is_(i // 4 + 1)
+        conditions = [(customer, is_("O"), any_), (customer, {"operator": "empty"}, any_), (any_, is_("F"), is_(f"{i % 7}-URGENT")), (customer, any_, is_("2-HIGH"))][i % 4]
+        limit = {"type": "numberRange", "min": 1000 + i, "max": 200000 + i}
+        constraints = [{"price": limit}, {"day": {"type": "type", "valueType": "date"}, "price": {"type": "numberRange", "min": 50000 + i}}, {"price": {"type": "empty"}}, {"day": {"type": "equals", "value": "1998-01-01"}}][i % 4]
+        entries.append({"conditions": dict(zip(("o_custkey", "status", "o_orderpriority"), conditions)), "constraints": constraints})
+    return {"type": "conditionalMatrix", "keyColumnIds": ["o_custkey", "status", "o_orderpriority"], "dependentColumnIds": ["price", "day"], "entries": entries, "noMatchBehavior": "error"}
+
+
+@query(f"""WITH {_O}, y AS (SELECT x.*, o_orderkey, o_totalprice AS price FROM x JOIN orders ON 'row-' || o_orderkey = "rowId"),
+e AS (SELECT i, i // 4 + 1 AS c, i % 4 AS m FROM range({ENTRIES}) r(i)),
+h AS (SELECT y.*, i, m FROM y JOIN e ON e.m IN (0, 1, 3) AND e.c = y.o_custkey AND CASE m WHEN 0 THEN status = 'O' WHEN 1 THEN blank ELSE pr = '2-HIGH' END
+  UNION ALL SELECT y.*, i, m FROM y JOIN e ON m = 2 AND status = 'F' AND pr = (i % 7) || '-URGENT'),
+r AS (SELECT "rowId", 'price' AS col, 'conditional_min' AS code, i FROM h WHERE (m = 0 AND price < 1000 + i) OR (m = 1 AND price < 50000 + i)
+  UNION ALL SELECT "rowId", 'price', 'conditional_max', i FROM h WHERE m = 0 AND price > 200000 + i
+  UNION ALL SELECT "rowId", 'day', 'conditional_type', i FROM h WHERE m = 1 AND bad
+  UNION ALL SELECT "rowId", 'price', 'conditional_empty', i FROM h WHERE m = 2
+  UNION ALL SELECT "rowId", 'day', 'conditional_equals', i FROM h WHERE m = 3 AND d <> '1998-01-01'
+  UNION ALL SELECT "rowId", 'o_custkey', 'conditional_no_match', NULL FROM y WHERE "rowId" NOT IN (SELECT "rowId" FROM h))
+SELECT "rowId", col AS "columnId", code, count(*) AS n FROM r GROUP BY ALL""")
+def rule_matrix_large(spark, d):
+    """Ten thousand entries, looked up by joins; issues of each cell. Entries that conflict are the point of no
+    rule, so this takes the table's issues without the checks of its configuration."""
+    f = frame(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority", status=STATUS_GAPS, day=ORDER_DAY, price="o_totalprice")
+    found = matrix.entry_issues(f, large_matrix(), lambda c: cell_text(f, c))
+    return found.groupBy(F.col(ROW_ID).alias("rowId"), "columnId", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {_O} SELECT count(*) AS n FROM x WHERE blank OR status = 'O' OR (status = 'F' AND pr = '1-URGENT')")
 def matrix_preview(spark, d):
-    f = order_frame(spark, d)
-    hit = F.lit(False)
-    for e in MATRIX["entries"]:
-        hit = hit | entry_matches(f, MATRIX, e)
-    return f.df.agg(F.count_if(hit).alias("n"))
+    return matrix.matches(order_frame(spark, d), MATRIX).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) OVER () AS entries FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)")
