@@ -1,59 +1,15 @@
-"""Commands from what a form holds: one column, a value, an extra text, with defaults for the rest."""
+"""Commands from what a form holds."""
 
 from __future__ import annotations
 
-import math
-import re
-
-from tablemill.frame import FrameError, PreparedFrame, make_column_id
-
-#: Defaults of the forms.
-NEW_COLUMN, UNTITLED, PARTS = "Nova coluna", "Sem título", ("Parte 1", "Parte 2")
-LOCALE, CURRENCY = "pt-BR", "BRL"
-GUARDED = frozenset("splitColumn combineColumns findReplace dateConversion numberConversion currencyConversion prefix suffix fixedValue calculatedColumn".split())
-
-
-def literal_of(text: str) -> object:
-    """A number if the text is one (nothing but spaces is 0), else the text."""
-    bare = text.strip()
-    if not bare:
-        return 0.0
-    return float(bare) if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", bare) and math.isfinite(float(bare)) else text
+from tablemill.frame import FrameError, PreparedFrame
+from tablemill.operators.schema import SLOTS, Form, filled
 
 
 def build(frame: PreparedFrame, kind: str, column: str, value: object = "", extra: object = "", second: str | None = None, operator: str = "==", when: dict | None = None) -> dict:
     """The command of that kind. value and extra are what its two fields hold, second the other
     column; new columns are numbered on from the frame's."""
-
-    def new(header: str, k: int = 0) -> dict:
-        return {"id": make_column_id(header, len(frame.ids) + k), "header": header}
-
-    column_literal = {"type": "column", "columnId": column}
-    own = {
-        "reorderColumns": lambda: {"columnIds": [column, *[i for i in frame.ids if i != column]]},
-        "sort": lambda: {"sorts": [{"columnId": column, "direction": "desc" if value == "desc" else "asc"}]},
-        "filter": lambda: {"columnId": column, "operator": operator, "value": value},
-        "removeEmptyRows": lambda: {"columnIds": [column]},
-        "deduplicate": lambda: {"columnIds": [column], "keep": "last" if value == "last" else "first"},
-        "renameHeader": lambda: {"columnId": column, "header": value or UNTITLED},
-        "splitColumn": lambda: {"columnId": column, "delimiter": value or " ", "newColumns": [new(h, k) for k, h in enumerate([h.strip() for h in str(extra).split(",") if h.strip()] or PARTS)]},
-        "combineColumns": lambda: {"columnIds": [column, second], "separator": value, "newColumn": new(extra or NEW_COLUMN)},
-        "findReplace": lambda: {"columnIds": [column], "find": value, "replace": extra, "caseSensitive": False},
-        "dateConversion": lambda: {"columnId": column, "inputFormat": "auto", "outputFormat": "dd/MM/yyyy" if value == "dd/MM/yyyy" else "yyyy-MM-dd"},
-        "numberConversion": lambda: {"columnId": column, "decimalSeparator": "," if value == "," else "."},
-        "currencyConversion": lambda: {"columnId": column, "locale": value or LOCALE, "currency": extra or CURRENCY},
-        "prefix": lambda: {"columnId": column, "value": value},
-        "suffix": lambda: {"columnId": column, "value": value},
-        "fixedValue": lambda: {"columnId": column, "value": value},
-        "calculatedColumn": lambda: {
-            "newColumn": new(value or NEW_COLUMN),
-            "expression": {"type": "binary", "operator": operator, "left": column_literal, "right": {"type": "column", "columnId": second} if extra == "" else {"type": "literal", "value": literal_of(str(extra))}},
-        },
-        "conditionalRule": lambda: {
-            "condition": when or {"type": "predicate", "columnId": column, "operator": "equals", "operand": {"type": "literal", "value": value}},
-            "updates": [{"columnId": second, "value": extra}],
-        },
-    }
-    if kind not in own:
+    if kind not in SLOTS:
         raise FrameError(f"Comando desconhecido: {kind}")
-    return {"type": kind} | own[kind]() | ({"when": when} if when and kind in GUARDED else {})
+    form = Form(frame, {"column": column, "second": second, "value": value, "extra": extra, "operator": operator, "when": when})
+    return {"type": kind} | filled(SLOTS[kind], form)

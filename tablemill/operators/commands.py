@@ -18,6 +18,7 @@ from tablemill.functions.conditions import check_condition, condition, equal, ex
 from tablemill.functions.currency import currency_text
 from tablemill.functions.parsing import converted_date, converted_number
 from tablemill.functions.values import BOOLEAN, MIXED, NULL, NUMBER, STRING, Value, compared, unified
+from tablemill.operators.schema import check_command
 
 Command = Callable[[PreparedFrame, dict], PreparedFrame]
 COMMANDS: dict[str, Command] = {}
@@ -35,6 +36,7 @@ def apply(frame: PreparedFrame, *commands: dict) -> PreparedFrame:
     for c in commands:
         if c["type"] not in COMMANDS:
             raise FrameError(f"Comando desconhecido: {c['type']}")
+        check_command(frame, c)
         frame = COMMANDS[c["type"]](frame, c)
     return frame
 

@@ -78,7 +78,7 @@ def test_split_places_new_columns_after_their_source(people):
     assert column(out, "a") == ["Ana", "Bruno", "Ana"] and column(out, "b") == ["Silva", None, "Silva"]
 
 
-@pytest.mark.parametrize("bad", [{"type": "sort", "sorts": [{"columnId": "none", "direction": "asc"}]}, {"type": "reorderColumns", "columnIds": ["name"]}, {"type": "nothing"}])
+@pytest.mark.parametrize("bad", [{"type": "prefix", "columnId": "name"}, {"type": "deduplicate", "columnIds": ["name"], "keep": "middle"}, {"type": "conditionalRule", "condition": RICH, "updates": [{"columnId": "gone", "value": 1}]}, {"type": "sort", "sorts": [{"columnId": "none", "direction": "asc"}]}, {"type": "reorderColumns", "columnIds": ["name"]}, {"type": "nothing"}])
 def test_bad_commands(people, bad):
     with pytest.raises(FrameError):
         apply(people, bad)
@@ -242,6 +242,13 @@ def test_commands_from_forms(people):
     apply(people, build(people, "combineColumns", "name", "-", second="city"), build(people, "numberConversion", "amount"), build(people, "conditionalRule", "name", "Bruno", "Y", "city"), build(people, "filter", "city", "Y", operator="contains")).df.count()
     with pytest.raises(FrameError):
         build(people, "editCell", "name")
+    rule = build(people, "conditionalRule", "name", "Bruno", "Y", "city")
+    assert rule["condition"] == {"type": "predicate", "columnId": "name", "operator": "equals", "operand": {"type": "literal", "value": "Bruno"}} and rule["updates"] == [{"columnId": "city", "value": "Y"}]
+    assert build(people, "conditionalRule", "name", second="city", when=RICH)["condition"] == RICH and "when" not in build(people, "sort", "name", "desc", when=RICH)
+    assert build(people, "sort", "name", "desc") == {"type": "sort", "sorts": [{"columnId": "name", "direction": "desc"}]} and build(people, "deduplicate", "name", "x")["keep"] == "first"
+    assert build(people, "dateConversion", "day", "dd/MM/yyyy") == {"type": "dateConversion", "columnId": "day", "inputFormat": "auto", "outputFormat": "dd/MM/yyyy"}
+    assert build(people, "calculatedColumn", "amount", second="city", operator="+")["expression"]["right"] == {"type": "column", "columnId": "city"}
+    assert build(people, "combineColumns", "name", "", second="city")["newColumn"] == {"id": "nova-coluna__4", "header": "Nova coluna"}
 
 
 @pytest.mark.parametrize(("text", "old", "want"), [("1,5", 2.0, 1.5), ("x", 2.0, "x"), ("", 2.0, ""), ("true", False, True), ("yes", False, "yes"), ("1", "a", "1")])
