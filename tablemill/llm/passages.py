@@ -25,8 +25,9 @@ stands in a third of all documents sends one row for each batch. Groups are read
 streams with constant memory. The texts are dealt out by document once.
 
 Defined cases: null and short texts have no window and keep all words; a text's own earlier
-windows count; rows that share an id count as one document, so neither copy of an equal window
-at an equal start is earlier; rows with a null id keep all words and are no reference; ids are
+windows count; rows that share an id are parsed each by itself and are places of one document, so an
+equal window of a later start in any of them is removed and neither copy at an equal start is
+earlier; equal rows have equal results; rows with a null id keep all words and are no reference; ids are
 whole numbers; an empty table gives an empty result; other columns are left out unless named in
 `keep`.
 """
@@ -50,9 +51,11 @@ SPANS = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer")
 SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 FACTORS = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("source", "long").add("at", "integer"))
 FACTOR = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64()), ("at", pa.int32())]))
-#: source, at: of a covered row, where the reference holds its words.
-ROWS = "anchor long, block long, doc long, start int, n int, kind int, source long, at int"
-FOUND = "doc long, start int, n int, kind int, source long, at int"
+#: row: hash of id and text, which tells rows of one id apart; source, at: of a covered row, where the reference
+#: holds its words.
+NAMES = ["anchor", "block", "row", "doc", "start", "n", "kind", "source", "at"]
+ROWS = "anchor long, block long, row long, doc long, start int, n int, kind int, source long, at int"
+FOUND = "row long, doc long, start int, n int, kind int, source long, at int"
 
 
 def minimisers(grams: np.ndarray, width: int) -> np.ndarray:
@@ -78,19 +81,20 @@ def blocks(hashes: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarr
     return grams[place[first]], mixed(whole + offset), first, last - first
 
 
-def settled(anchor: np.ndarray, block: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+def settled(anchor: np.ndarray, block: np.ndarray, row: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     """Rows of a batch; of blocks that repeat in it only the earliest is still open, the rest
     are covered and get anchors of their own, so that they spread."""
     order = np.lexsort((start, doc, block))
-    anchor, block, doc, start, n = (x[order] for x in (anchor, block, doc, start, n))
+    anchor, block, row, doc, start, n = (x[order] for x in (anchor, block, row, doc, start, n))
     new = np.concatenate([[True], block[1:] != block[:-1]])
     lead = np.flatnonzero(new)[np.cumsum(new) - 1]
     same = (doc == doc[lead]) & (start == start[lead])
-    covered = ~new & ~same
+    # rows at the lead's own place are kept if they are other rows, for they may hold boundaries
+    covered, twin = ~new & ~same, ~new & same & (row != row[lead])
     anchor = np.where(covered, mixed(doc.astype(np.uint64) * np.uint64(31) + start.astype(np.uint64)), anchor)
-    keep = new | covered
+    keep = new | covered | twin
     source, at = np.where(covered, doc[lead], 0), np.where(covered, start[lead], 0).astype(np.int32)
-    return [x[keep] for x in (anchor.view(np.int64), block.view(np.int64), doc, start.astype(np.int32), n.astype(np.int32), covered.astype(np.int32), source, at)]
+    return [x[keep] for x in (anchor.view(np.int64), block.view(np.int64), row, doc, start.astype(np.int32), n.astype(np.int32), covered.astype(np.int32), source, at)]
 
 
 def tables(columns: list[np.ndarray], names: list[str], size: int = 65_536) -> Iterator[pa.RecordBatch]:
@@ -99,21 +103,18 @@ def tables(columns: list[np.ndarray], names: list[str], size: int = 65_536) -> I
         yield whole.slice(at, size)
 
 
-NAMES = ["anchor", "block", "doc", "start", "n", "kind", "source", "at"]
-
-
 def indexed(docs: DataFrame, size: int) -> DataFrame:
-    """The blocks of all texts (doc, t)."""
+    """The blocks of all texts (row, doc, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             got = []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for r, d, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = t.split() if t else []
                 if len(words) >= size:
                     a, b, s, n = blocks(hashes.of(words), size)
-                    got.append((a, b, np.full(len(a), d, np.int64), s, n))
+                    got.append((a, b, np.full(len(a), r, np.int64), np.full(len(a), d, np.int64), s, n))
             if got:
                 yield from tables(settled(*(np.concatenate(x) for x in zip(*got))), NAMES)
 
@@ -121,58 +122,60 @@ def indexed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def compared(rows: DataFrame) -> DataFrame:
-    """(doc, start, n, kind, source, at) of covered rows, whose source is the block's first row,
-    and of the first rows of unlike blocks that share an anchor (boundaries). Rows are dealt out by anchor and read in order; what is carried
-    from batch to batch is one row."""
+    """(row, doc, start, n, kind, source, at) of covered rows, whose source is the block's first row,
+    and of the first rows of unlike blocks that share an anchor (boundaries). Other rows at a first row's
+    place, of the same id, cover nothing and are boundaries too. Rows are dealt out by anchor and read in order;
+    what is carried from batch to batch is one row."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "anchor").sortWithinPartitions("anchor", "block", "doc", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "start", "n", "kind", "source", "at"]
+        names = ["row", "doc", "start", "n", "kind", "source", "at"]
         carried = None  # the last block's first row
         lone = False  # whether that row is its anchor's only block so far
         for batch in batches:
-            a, b, d, s, n, k, source, at = (batch.column(i).to_numpy() for i in range(8))
+            a, b, r, d, s, n, k, source, at = (batch.column(i).to_numpy() for i in range(9))
             done = k == COVERED
             if done.any():
-                yield from tables([x[done] for x in (d, s, n, k, source, at)], names)
-                a, b, d, s, n = (x[~done] for x in (a, b, d, s, n))
+                yield from tables([x[done] for x in (r, d, s, n, k, source, at)], names)
+                a, b, r, d, s, n = (x[~done] for x in (a, b, r, d, s, n))
             if not len(a):
                 continue
             if carried is not None:
-                a, b, d, s, n = (np.concatenate([[c], x]).astype(x.dtype) for c, x in zip(carried, (a, b, d, s, n)))
+                a, b, r, d, s, n = (np.concatenate([[c], x]).astype(x.dtype) for c, x in zip(carried, (a, b, r, d, s, n)))
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
             first = np.flatnonzero(new)
             lead = first[np.cumsum(new) - 1]
             later = (d != d[lead]) | (s != s[lead])
+            twin = ~later & (r != r[lead])
             same = a[first][1:] == a[first][:-1]
             edge = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             if carried is not None and not lone:  # said before, or to be said by others only
                 edge[0] = False
-            out = np.concatenate([np.flatnonzero(later), first[edge]])
-            kind = np.concatenate([np.full(later.sum(), COVERED), np.full(edge.sum(), BOUNDARY)]).astype(np.int32)
+            out = np.concatenate([np.flatnonzero(later), first[edge], np.flatnonzero(twin)])
+            kind = np.concatenate([np.full(later.sum(), COVERED), np.full(edge.sum() + twin.sum(), BOUNDARY)]).astype(np.int32)
             if len(out):
-                yield from tables([d[out], s[out], n[out], kind, d[lead[out]], s[lead[out]]], names)
+                yield from tables([r[out], d[out], s[out], n[out], kind, d[lead[out]], s[lead[out]]], names)
             z = first[-1]
             fresh = len(first) > 1
             lone = not edge[-1] if fresh or carried is None else lone and not edge[0]
-            carried = (a[z], b[z], d[z], s[z], n[z])
+            carried = (a[z], b[z], r[z], d[z], s[z], n[z])
 
     return dealt.mapInArrow(run, FOUND)
 
 
 def boundary_windows(docs: DataFrame, size: int) -> DataFrame:
-    """Single windows of the boundary blocks of texts (doc, t, marks)."""
+    """Single windows of the boundary blocks of texts (row, doc, t, marks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             got = []
-            for d, t, marks in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for r, d, t, marks in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 own = [(m["start"], m["n"]) for m in marks]
                 start = np.concatenate([np.arange(s, s + n) for s, n in own])
                 h = Spans(hashes.of(t.split())).of(start, start + size)
-                got.append((h, h, np.full(len(h), d, np.int64), start, np.ones(len(h), np.int64)))
+                got.append((h, h, np.full(len(h), r, np.int64), np.full(len(h), d, np.int64), start, np.ones(len(h), np.int64)))
             if got:
                 yield from tables(settled(*(np.concatenate(x) for x in zip(*got))), NAMES)
 
@@ -211,18 +214,19 @@ def find(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = W
     `kept` (the other words joined by one space) for every row of docs."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("binary").alias("t"), F.struct(F.lit(0), *keep).alias("more"))
-    found = materialize(compared(indexed(source.where("doc is not null").select("doc", "t"), size)), "matches")
-    # dealt by a number for null ids too, so that they don't meet in one task
-    spread = F.coalesce("doc", F.xxhash64("t"))
-    dealt = source.withColumn("spread", spread).repartition(parts, "spread")
-    match = F.struct("start", "n", "kind", "source", "at")
-    lists = found.groupBy("doc").agg(F.collect_list(match).alias("marks")).withColumnRenamed("doc", "spread")
-    marked = dealt.join(lists.hint("shuffle_hash"), "spread", "left")
-    open_ = marked.where("doc is not null").select("doc", "t", F.filter("marks", lambda m: m["kind"] == BOUNDARY).alias("marks")).where("size(marks) > 0")
-    windows = compared(boundary_windows(open_, size)).groupBy("doc").agg(F.collect_list(match).alias("single")).withColumnRenamed("doc", "spread")
-    joined = marked.join(windows.hint("shuffle_hash"), "spread", "left")
-    both = F.concat(F.coalesce(F.filter("marks", lambda m: m["kind"] == COVERED), F.array()), F.coalesce("single", F.array()))
+    named = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("binary").alias("t"), F.struct(F.lit(0), *keep).alias("more"))
+    # a number for rows with null ids too, so that they don't meet in one task
+    source = named.withColumn("row", F.xxhash64("doc", "t"))
+    found = materialize(compared(indexed(source.where("doc is not null").select("row", "doc", "t"), size)), "matches")
+    dealt = source.repartition(parts, "row")
+    match = F.struct("doc", "start", "n", "kind", "source", "at")
+    lists = lambda marks, name: marks.groupBy("row").agg(F.collect_list(match).alias(name)).hint("shuffle_hash")
+    marked = dealt.join(lists(found, "marks"), "row", "left")
+    # hashes of rows with unlike ids may be equal
+    own = lambda name, kind: F.coalesce(F.filter(name, lambda m: (m["doc"] == F.col("doc")) & (m["kind"] == kind)), F.array())
+    open_ = marked.where("doc is not null").select("row", "doc", "t", own("marks", BOUNDARY).alias("marks")).where("size(marks) > 0")
+    joined = marked.join(lists(compared(boundary_windows(open_, size)), "single"), "row", "left")
+    both = F.concat(own("marks", COVERED), own("single", COVERED))
     source = joined.select("doc", "t", F.when(F.col("doc").isNotNull(), both).alias("marks"), "more")
     schema = source.select("doc", "more").schema.add("n_words", "long").add("factors", FACTORS).add("spans", SPANS).add("kept", "string")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -214,6 +215,41 @@ def test_passages_that_repeat_inside_a_text_and_at_shifted_places(spark):
         assert all(a.end <= b.start for a, b in zip(r.factors, r.factors[1:]))
 
 
+def removed_of_rows(rows: list[tuple[int, list[str]]], size: int = 20) -> list[tuple[int, str]]:
+    """As above, for rows that may share ids: (id, kept words) of each row."""
+    first: dict[tuple, tuple[int, int]] = {}
+    for i, w in rows:
+        for s in range(len(w) - size + 1):
+            window = tuple(w[s : s + size])
+            first[window] = min(first.get(window, (i, s)), (i, s))
+    out = []
+    for i, w in rows:
+        gone = {k for s in range(len(w) - size + 1) if first[tuple(w[s : s + size])] < (i, s) for k in range(s, s + size)}
+        out.append((i, " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out)
+
+
+def shared_ids() -> list[list[tuple[int, list[str]]]]:
+    a, b, c = ([f"{x}{i}" for i in range(n)] for x, n in (("a", 60), ("b", 80), ("c", 40)))
+    r = random.Random(4)
+    parts = [[f"p{k}x{i}" for i in range(r.randrange(10, 60))] for k in range(6)]
+    mixed = [(r.randrange(4), [w for p in r.choices(parts, k=r.randrange(1, 6)) for w in p[r.randrange(5) :]]) for _ in range(60)]
+    return [
+        [(1, a), (2, ["q", *a[:30], "r", "r", "r"]), (2, "short text only".split()), (2, b)],
+        [(1, a), (2, a), (2, b)],
+        [(2, a), (2, a), (2, [*a[:40], *c]), (2, ["x", *a]), (3, c), (1, a[5:30])],
+        [(1, [*a[:25], "x", *b]), (2, [*a, *b]), (2, [*a, *c]), (2, a[:30]), (1, a[:30])],
+        mixed,
+    ]
+
+
+@pytest.mark.parametrize("rows", shared_ids(), ids=range(5))
+def test_passages_of_rows_that_share_ids(spark, rows):
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(4)
+    got = passages.find(docs).collect()
+    assert sorted((r.doc_id, r.kept) for r in got) == removed_of_rows(rows)
+
+
 def test_a_factor_runs_through_blocks_and_is_the_furthest(spark):
     base = [f"a{i}" for i in range(400)]
     texts = [" ".join(t) for t in (base, base[:150], [*base[100:300], "new", *base[90:120]])]
