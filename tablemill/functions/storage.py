@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,25 +29,45 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-#: Folders that were written, by application.
+#: Folders that were written, by application; lists that take down further ones, in this thread.
 _written: dict[str, list[str]] = {}
+_recording = threading.local()
+
+
+@contextmanager
+def recorded(folders: list[str]) -> Iterator[list[str]]:
+    """While it holds, folders gets every folder that this thread begins."""
+    lists = _recording.__dict__.setdefault("lists", [])
+    lists.append(folders)
+    try:
+        yield folders
+    finally:
+        lists.remove(folders)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A folder of its own for a table; `remove_written` knows it."""
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    for taken in (_written.setdefault(spark.sparkContext.applicationId, []), *_recording.__dict__.get("lists", [])):
+        taken.append(path)
     return path
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for paths in _written.values():
+        if folder in paths:
+            paths.remove(folder)
+
+
 def remove_written(spark: SparkSession) -> int:
     """Deletes the tables that this application has written to the shared folder so far, and says how
     many. For when the results that were made of them are written: frames that still read them
     fail afterwards."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
     for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(spark, p)
     return len(paths)
 
 

@@ -18,6 +18,7 @@ from tablemill.frame import ROW_ID, ROW_NUM, ColumnInfo, FrameError, PreparedFra
 from tablemill.functions.conditions import sure
 from tablemill.functions.storage import numbered
 from tablemill.functions.values import Value
+from tablemill.operators.progress import Operation
 from tablemill.operators.validate import filled, join_keys
 
 #: Reasons of rejections.
@@ -119,15 +120,16 @@ def inserts(frame: PreparedFrame, df: DataFrame, first: int) -> DataFrame:
     return numbered(df, frame.ordering, "__n").select(*row("insert", F.col(ROW_ID), at=F.col("__n") + first))
 
 
-def plan_write(mode: str, incoming: PreparedFrame, existing: PreparedFrame, header_row: int, data_start_row: int, keys: list[str] | None = None, compare: list[str] | None = None) -> WritePlan:
+def plan_write(mode: str, incoming: PreparedFrame, existing: PreparedFrame, header_row: int, data_start_row: int, keys: list[str] | None = None, compare: list[str] | None = None, operation: Operation | None = None) -> WritePlan:
     """keys: key columns of an update. compare: the columns that decide between keep and update
-    (default: all that either side has)."""
+    (default: all that either side has). Within an operation the plan is written, in one step."""
     check_destination(header_row, data_start_row)
     last, unknown = existing.df.agg(F.max(ROW_NUM), F.count_if(F.col(ROW_NUM).isNull())).first()
     if unknown:
         raise FrameError("As linhas existentes precisam de números de linha.")
     area = data_area(existing, data_start_row)
-    plan = lambda rows, *keys: WritePlan(mode, header_row, rows, incoming, existing, keys, data_start_row)
+    kept = lambda rows: operation.written("plan", rows) if operation else rows
+    plan = lambda rows, *keys: WritePlan(mode, header_row, kept(rows), incoming, existing, keys, data_start_row)
     if mode == "replace":
         clears = area.df.select(*row("clear", existing=F.col(ROW_ID), at=F.col(ROW_NUM)))
         return plan(clears.unionByName(inserts(incoming, incoming.df, data_start_row)))

@@ -18,6 +18,7 @@ from tablemill.functions.conditions import condition, expression, ordered_number
 from tablemill.functions.values import MIXED, NUMBER, Value
 from tablemill.operators import matrix
 from tablemill.operators.checks import Params, failure, parts_of
+from tablemill.operators.progress import Operation
 from tablemill.operators.rules import MESSAGES, RELATION_MESSAGES, RELATION_OTHER, configuration_errors, number_label, referenced_columns, rule_id
 
 ISSUE = ("rowId", "sourceRowNumber", "columnId", "code", "value", "valueType", "message", "severity", "ruleId")
@@ -264,8 +265,10 @@ def relation_issues(frame: PreparedFrame, index: int, name: str, rule: dict, ref
     return issues_of(frame, bad, index, F.lit(0), name, left[0], "relation", rule.get("message") or text, rule.get("severity") or "error")
 
 
-def validate(frame: PreparedFrame, rules: list[dict], references: dict[str, PreparedFrame] | None = None) -> ValidationResult:
-    """Issues of all enabled, well-formed rules. Rule ids are given once, by place in rules."""
+def validate(frame: PreparedFrame, rules: list[dict], references: dict[str, PreparedFrame] | None = None, operation: Operation | None = None) -> ValidationResult:
+    """Issues of all enabled, well-formed rules. Rule ids are given once, by place in rules. Within an
+    operation the issues are written, those of row-local rules in one step and those of each other
+    rule in its own; without one nothing runs until they are used."""
     references = references or {}
     errors = configuration_errors(rules, frame.ids)
     for i, r in enumerate(rules):
@@ -284,6 +287,9 @@ def validate(frame: PreparedFrame, rules: list[dict], references: dict[str, Prep
             frames += matrix_issues(frame, i, name, r)
         elif r["type"] in DATASET_RULES:
             frames += dataset_issues(frame, i, name, r, references)
+    if operation is not None:
+        operation.expect(len(frames))
+        frames = [operation.written("validate" if k == 0 and local else "validate-dataset", df) for k, df in enumerate(frames)]
     return ValidationResult(frame, rules, reduce(DataFrame.unionByName, frames), errors, frame.ordering, local)
 
 
