@@ -3,8 +3,6 @@ and what the reviewed mappings make of both sides' rows."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections import Counter
 from dataclasses import dataclass, replace
 from decimal import ROUND_HALF_UP, Decimal
@@ -12,23 +10,13 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import functions as F
 
 from tablemill.frame import ROW_ID, ROW_NUM, FrameError, PreparedFrame
+from tablemill.functions.normalized import normalize_text
 from tablemill.functions.values import Value, unified
 
-#: Abbreviations in headers.
-ABBREVIATIONS = {
-    "cod": "codigo", "desc": "descricao", "dt": "data", "end": "endereco", "nasc": "nascimento", "no": "numero", "nro": "numero",
-    "num": "numero", "obs": "observacao", "qtd": "quantidade", "ref": "referencia", "tel": "telefone", "vlr": "valor",
-}
 #: Weights of both likenesses, the least score of a suggestion, and of a high one.
 NAME_WEIGHT, TOKEN_WEIGHT, LEAST, HIGH = 0.65, 0.35, 0.55, 0.85
 
 
-def normalize_text(text: str) -> str:
-    bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.category(c).startswith("M"))
-    words = re.sub(r"[\W_]+", " ", bare.lower()).split()
-    return " ".join(ABBREVIATIONS.get(w, w) for w in words)
-
-
 def jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0

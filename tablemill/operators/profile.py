@@ -4,22 +4,19 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.frame import PreparedFrame
 from tablemill.functions.conditions import sure
+from tablemill.functions.normalized import normalize_text, normalized
 from tablemill.functions.parsing import DATE_FORMATS
 from tablemill.functions.values import Value
-from tablemill.operators.mapping import ABBREVIATIONS, normalize_text
 
 #: Fixed values, in order of preference.
 DELIMITERS = (" ", ",", ";", "|", "-", "/", "\t")
 DISTINCT = 500
-#: Letters of Latin scripts that are one letter and accents, and that letter.
-ACCENTS = {c: bare for c in map(chr, range(0xC0, 0x250)) if len(bare := unicodedata.normalize("NFKD", c)[:1]) and bare != c and bare.isascii()}
 
 
 def place(frame: PreparedFrame):
@@ -97,15 +94,7 @@ def edited_value(text: str, old: object) -> object:
 
 def search(frame: PreparedFrame, column_id: str, query: str) -> PreparedFrame:
     """Rows whose text holds the query, whatever the case, accents and marks between words."""
-    return frame.with_df(frame.df.where(F.contains(searchable(frame.value(column_id).text), F.lit(normalize_text(query)))))
-
-
-def searchable(text):
-    """normalize_text on a column: decomposed by a bounded table of accents, words by one space."""
-    plain = F.translate(F.lower(text), "".join(ACCENTS), "".join(ACCENTS.values()))
-    words = F.filter(F.split(F.regexp_replace(plain, r"(?U)[\W_]+", " "), " "), lambda w: w != "")
-    short = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(short, w), w)), " ")
+    return frame.with_df(frame.df.where(F.contains(normalized(frame.value(column_id).text), F.lit(normalize_text(query)))))
 
 
 def memory_risk(df: DataFrame, threshold: int) -> tuple[int, str]:
