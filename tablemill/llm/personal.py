@@ -9,7 +9,8 @@ the words before it, what it touches, and the shape of its characters. Expectati
 over the counts of vote patterns estimates how reliable each labeler is (Dawid and Skene's
 model, one for each kind) from how they agree, without any of them being taken for the truth; its
 posteriors train the final classifier, a logistic regression over votes, kind and length. Base
-spans always stay; other candidates are added where the classifier is sure.
+spans always stay; other candidates are added where the classifier is sure, and a card that fails its check
+never unless gazetteer and context say more yes than no. `report` counts what is added and rejected.
 
 Vote patterns are counted over all documents with partial counts in each task, so what reaches
 the driver is bounded by the number of patterns (a few thousand), whatever the input. Texts are
@@ -24,6 +25,7 @@ may not name a result column.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -60,14 +62,18 @@ OTHER_NAMES = re.compile(r"(?i)(id|sku|isbn|issn|doi|date|time|url|http|https|re
 TOP_LEVEL = frozenset("com org net edu gov mil int info io co de fr es it uk us eu nl ch at be pl pt br ru cn jp in au ca".split())
 CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "62", "64", "65", "81", "82", "86", "90", "91")
 ISSUERS = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6011|65|35|36|38")
+#: English, German, French and Spanish.
 YES_WORDS = {
-    "email": frozenset("email e-mail mail contact write reply".split()),
-    "ip": frozenset("ip host server address addr from peer client".split()),
-    "card": frozenset("card visa mastercard amex credit debit payment pay".split()),
-    "phone": frozenset("phone tel telephone call mobile cell fax whatsapp sms".split()),
-    "secret": frozenset("password passwd pwd token secret key credential credentials login auth".split()),
+    "email": frozenset("email e-mail mail contact write reply kontakt schreiben courriel contacter correo contacto escribir".split()),
+    "ip": frozenset("ip host server address addr from peer client adresse serveur dirección servidor".split()),
+    "card": frozenset("card visa mastercard amex credit debit payment pay karte kreditkarte zahlung carte paiement tarjeta crédito pago".split()),
+    "phone": frozenset("phone tel telephone call mobile cell fax whatsapp sms telefon handy anruf téléphone portable appelez teléfono móvil llame".split()),
+    "secret": frozenset("password passwd pwd token secret key credential credentials login auth passwort kennwort schlüssel passe jeton contraseña clave secreto".split()),
 }
-NO_WORDS = frozenset("version release isbn order invoice serial item part section chapter id sku tracking commit checksum hash revision model".split())
+NO_WORDS = frozenset(
+    "version release isbn order invoice serial item part section chapter id sku tracking commit checksum hash revision model bestellung rechnung artikel kapitel seriennummer "
+    "commande facture article chapitre série pedido factura artículo capítulo serie".split()
+)
 NAME_BEFORE = re.compile(r"([A-Za-z][A-Za-z_-]*)[\"']? ?[=:]? ?[\"']?$")
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
@@ -168,12 +174,13 @@ def votes(text: str, c: tuple[int, int, int, int]) -> tuple[int, ...]:
         listed = 1 if span[0] != "+" or d.startswith(CALLING) else -1
     context = 1 if YES_WORDS[ALL_KINDS[kind]].intersection(before) else -1 if NO_WORDS.intersection(before) else 0
     around = text[max(0, start - 1) : start] + text[end : end + 1]
-    touches = -1 if any(x.isalnum() or x in "_@/" for x in around) else 1
+    # a run of digits between spaces is no sign of either
+    touches = -1 if any(x.isalnum() or x in "_@/" for x in around) else 0 if kind in (1, 2) else 1
     if kind == 4:  # how often letters and digits turn into each other: often in what is random
         turns = sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:]))
         shape = 1 if 5 * turns >= len(span) else -1
     else:
-        shape = -1 if kind and len(set(d)) <= 2 else 0 if kind == 0 else 1
+        shape = -1 if kind and len(set(d)) <= 2 else 1 if kind == 3 else 0
     pattern = (1, -1, 1 if kind == 4 else 0, 0)[form]
     return (pattern, listed, context, touches, shape)
 
@@ -183,9 +190,19 @@ def pattern(text: str, c: tuple[int, int, int, int]) -> tuple[int, ...]:
     return (c[2], *votes(text, c), min(5, (c[1] - c[0]) // 6))
 
 
-def estimated(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def decoy(text: str, c: tuple[int, int, int, int]) -> tuple[int, ...] | None:
+    """What the models would see of random digits as long as a card: what is no personal data for sure. The
+    digits follow from the candidate's own."""
+    if ALL_KINDS[c[2]] != "card":
+        return None
+    d = digits_of(text[c[0] : c[1]])
+    drawn = str(zlib.crc32(d.encode()) * zlib.crc32(d[::-1].encode()) + 1).zfill(len(d))[-len(d) :]
+    return pattern(drawn, (0, len(drawn), c[2], 0 if luhn(drawn) else 1))
+
+
+def estimated(patterns: np.ndarray, counts: np.ndarray, decoys: np.ndarray) -> np.ndarray:
     """Posterior of 'personal data' for each pattern, by expectation-maximisation for each
-    kind. Matches that pass or fail a check start near 1 or 0, the rest at their mean vote; then
+    kind; decoys, random runs by pattern, are known to be none and tell how labelers vote on such. Matches that pass or fail a check start near 1 or 0, the rest at their mean vote; then
     nothing is held fixed: a labeler is as reliable as it agrees with what all of them say, and
     a little as is thought of it beforehand (FAIR)."""
     post = np.zeros(len(patterns))
@@ -193,7 +210,7 @@ def estimated(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
         own = patterns[:, 0] == kind
         if not own.any():
             continue
-        v, n = patterns[own, 1 : 1 + VOTES] + 1, counts[own].astype(float)
+        v, n, none = patterns[own, 1 : 1 + VOTES] + 1, counts[own].astype(float), decoys[own].astype(float)
         # a pattern with a check starts it off, then is a labeler like the others
         start = 0.5 + (v - 1).mean(axis=1) / 2
         q = np.clip(np.where(v[:, 0] == 0, 0.05, np.where((v[:, 0] == 2) & (kind != 4), 0.95, start)), 0.05, 0.95)
@@ -202,8 +219,9 @@ def estimated(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
             for z, w in ((1, n * q), (0, n * (1 - q))):
                 prior = (w.sum() + 1) / (n.sum() + 2)
                 logs[z] += np.log(prior)
+                seen = w if z else w + none
                 for j in range(VOTES):
-                    p = np.bincount(v[:, j], weights=w, minlength=3) + 1.0 + BELIEF * n.sum() * FAIR[z]
+                    p = np.bincount(v[:, j], weights=seen, minlength=3) + 1.0 + BELIEF * n.sum() * FAIR[z]
                     logs[z] += np.log(p / p.sum())[v[:, j]]
             q = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -40, 40)))
         post[own] = q
@@ -217,11 +235,12 @@ def design(patterns: np.ndarray) -> np.ndarray:
     return np.hstack([*parts, np.eye(6)[patterns[:, 1 + VOTES]]])
 
 
-def classifier(patterns: np.ndarray, counts: np.ndarray, post: np.ndarray, l2: float = 1.0) -> np.ndarray:
-    """Logistic regression on soft labels, by Newton steps."""
+def classifier(patterns: np.ndarray, counts: np.ndarray, decoys: np.ndarray, post: np.ndarray, l2: float = 1.0) -> np.ndarray:
+    """Logistic regression on soft labels, those of decoys being 0, by Newton steps."""
     x = design(patterns)
     w = np.zeros(x.shape[1])
-    n = counts.astype(float)
+    n = (counts + decoys).astype(float)
+    post = post * counts / np.maximum(n, 1)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (n * (p - post)) + l2 * w
@@ -234,35 +253,64 @@ def classifier(patterns: np.ndarray, counts: np.ndarray, post: np.ndarray, l2: f
 
 
 def train(docs: DataFrame, text: str = "text") -> dict[tuple[int, ...], float]:
-    """The classifier's probability for every pattern that occurs in docs."""
+    """The classifier's probability for every pattern that occurs in docs, or among their decoys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                if t:
-                    counts.update(pattern(t, c) for c in candidates(t))
+                for c in candidates(t) if t else ():
+                    counts[0, *pattern(t, c)] += 1
+                    drawn = decoy(t, c)
+                    if drawn:
+                        counts[1, *drawn] += 1
         keys = [list(k) for k in counts]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.int32())), pa.array(list(counts.values()), pa.int64())], ["p", "n"])
 
     rows = docs.select(F.col(text).alias("t")).mapInArrow(run, "p array<int>, n long").groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect()
     if not rows:
         return {}
-    patterns, counts = np.array([r.p for r in rows]), np.array([r.n for r in rows])
-    w = classifier(patterns, counts, estimated(patterns, counts))
+    found: list[dict[tuple, int]] = [{tuple(r.p[1:]): r.n for r in rows if r.p[0] == k} for k in (0, 1)]
+    patterns = np.array(sorted(found[0].keys() | found[1].keys()))
+    counts, decoys = (np.array([own.get(tuple(p), 0) for p in patterns.tolist()]) for own in found)
+    w = classifier(patterns, counts, decoys, estimated(patterns, counts, decoys))
     scores = 1 / (1 + np.exp(-np.clip(design(patterns) @ w, -30, 30)))
-    return {tuple(r.p): float(s) for r, s in zip(rows, scores)}
+    return {tuple(p): float(s) for p, s in zip(patterns.tolist(), scores)}
+
+
+def added(p: tuple[int, ...], score: float, sure: float) -> bool:
+    """Whether a candidate that is no base span is taken; a card that fails its check, only if its issuer and its
+    context say more yes than no."""
+    return score >= sure and (ALL_KINDS[p[0]] != "card" or p[1] >= 0 or p[2] + p[3] > 0)
 
 
 def spans_of(text: str | None, model: dict, sure: float = SURE) -> list[dict]:
     out = []
     for c in candidates(text) if text else ():
-        score = model.get(pattern(text, c), 0.0)
-        if c[3] == 0 or score >= sure:
+        p = pattern(text, c)
+        score = model.get(p, 0.0)
+        if c[3] == 0 or added(p, score, sure):
             out.append({"kind": ALL_KINDS[c[2]], "start": c[0], "end": c[1], "base": c[3] == 0, "score": score})
     return sorted(out, key=lambda s: (s["start"], ALL_KINDS.index(s["kind"])))
 
 
+def report(docs: DataFrame, model: dict, text: str = "text", sure: float = SURE) -> DataFrame:
+    """kind and how many candidates are `base` spans, `added` and `rejected`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((len(ALL_KINDS), 3), np.int64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                for c in candidates(t) if t else ():
+                    p = pattern(t, c)
+                    n[c[2], 0 if c[3] == 0 else 1 if added(p, shared.value.get(p, 0.0), sure) else 2] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(ALL_KINDS), *map(pa.array, n.T)], ["kind", "base", "added", "rejected"])
+
+    rows = docs.select(F.col(text).alias("t")).mapInArrow(run, "kind string, base long, added long, rejected long")
+    return rows.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("base", "added", "rejected")])
+
+
 SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long").add("base", "boolean").add("score", "double"))
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("score", pa.float64())]))
 

@@ -12,7 +12,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from fixtures import SMALL, docs_of, lower, odd_texts, prose, words_of
+from fixtures import DATA, SMALL, docs_of, lower, odd_texts, prose, words_of
 
 from tablemill.llm import contamination, nearcopies, passages, personal, pieces, queries, scoring
 from tablemill.llm.common import table
@@ -71,6 +71,28 @@ def test_weak_labels_are_learnt(spark):
     assert extra["email"] >= 200 and extra["card"] == 0
 
 
+def test_failing_cards_of_the_documents_are_rejected(spark):
+    """`documents` holds secrets, and 16-digit runs that fail the check of cards."""
+    docs = table(spark, f"{DATA}/sf0.01", "documents")
+    model = personal.train(docs)
+    n = {r.kind: r for r in personal.report(docs, model).collect()}
+    assert n["card"].base > 0 and n["card"].rejected > 0 and n["card"].added == 0
+    assert n["secret"].added > 0 and all(r.base + r.added + r.rejected >= 0 for r in n.values())
+    for r in personal.find(docs, model, keep=("doc_id", "text")).collect():
+        own = [s for s in r.spans if s.kind == "card"]
+        assert all(personal.luhn(personal.digits_of(r.text[s.start : s.end])) for s in own)
+
+
+def test_context_of_four_languages(spark):
+    said = ["card", "Karte", "carte", "tarjeta"]
+    for w in said:
+        text = f"{w} 4111 1111 1111 1112"
+        (c,) = personal.candidates(text)
+        assert personal.votes(text, c)[2] == 1
+    text = "die Bestellung 4111 1111 1111 1112"
+    assert personal.votes(text, personal.candidates(text)[0])[2] == -1
+
+
 def test_added_spans_on_held_out_documents(spark):
     """Secrets in several forms, national numbers and written-out addresses among codes, checksums,
     versions and failing cards: what is added on documents that trained nothing."""
