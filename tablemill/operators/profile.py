@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablemill.frame import PreparedFrame
+from tablemill.frame import PreparedFrame, first_place, first_rows
 from tablemill.functions.conditions import sure
 from tablemill.functions.normalized import normalize_text, normalized
 from tablemill.functions.parsing import DATE_FORMATS
-from tablemill.functions.values import Value
+from tablemill.functions.values import MIXED, Value
 
 #: Fixed values, in order of preference.
 DELIMITERS = (" ", ",", ";", "|", "-", "/", "\t")
@@ -24,10 +29,49 @@ def place(frame: PreparedFrame):
 
 
 def distinct_values(frame: PreparedFrame, column_id: str, limit: int = DISTINCT) -> DataFrame:
-    """The first `limit` distinct values in order of appearance; null and '' are one, null."""
+    """The first `limit` distinct values in order of appearance, with their `place`; null and '' are one, null.
+
+    Each task keeps the first `limit` of its own values alone: one of the first of all is among the first
+    of the task where it first stands. So at most that many rows of each task are shuffled, however many
+    values there are. Mixed values, and orders by text, are found by an aggregate over all values."""
     v = frame.value(column_id)
-    rows = frame.df.select(F.when(~sure(v.empty("transform")), v.column).alias("value"), place(frame).alias("o"))
-    return rows.groupBy("value").agg(F.min("o").alias("place")).orderBy("place").limit(limit)
+    rows = frame.df.select(F.when(~sure(v.empty("transform")), v.column).alias("value"), *[F.col(n) for n in frame.hidden])
+    plain = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+    if v.kind != MIXED and all(isinstance(rows.schema[n].dataType, plain) for n, _ in frame.order):
+        rows = rows.mapInArrow(first_values(frame.order, rows.schema, limit), rows.schema)
+    heads = frame.with_df(rows)
+    if first_place(heads) is not None:
+        found = rows.groupBy("value").agg(first_place(heads).alias("__o"))
+    else:
+        found = first_rows(heads, rows, ["value"])
+    first = found.select("value", *[F.col(f"__o.{n}").alias(n) for n, _ in frame.order])
+    return first.orderBy(*frame.ordering).limit(limit).select("value", place(frame).alias("place"))
+
+
+def first_values(order: tuple[tuple[str, bool], ...], schema: T.StructType, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task that keeps its first `limit` distinct values."""
+    broken = [n for n, _ in order if isinstance(schema[n].dataType, (T.DoubleType, T.FloatType))]
+
+    def ranked(table: pa.Table) -> pa.Table:
+        keys = []
+        for name, up in order:
+            way = "ascending" if up else "descending"
+            if name in broken:  # NaN is the greatest number
+                table = table.append_column(f"__nan_{name}", pc.is_nan(table[name]))
+                keys.append((f"__nan_{name}", way))
+            keys.append((name, way))
+        return table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_end")).select(schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+            table = ranked(table)
+            codes = table["value"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            kept = table.take(np.sort(np.unique(codes, return_index=True)[1])[:limit])
+        yield from kept.combine_chunks().to_batches() if kept is not None else []
+
+    return run
 
 
 def delimiter_counts(frame: PreparedFrame, column_id: str) -> DataFrame:

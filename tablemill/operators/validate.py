@@ -50,7 +50,11 @@ class ValidationResult:
 
     def ordered(self) -> DataFrame:
         """Issues in report order: row-local ones by row, then rule by rule."""
-        return self.issues.orderBy("phase", F.when(F.col("phase") == 1, F.col("ruleIndex")), F.when(F.col("phase") == 1, F.col("part")), *self.group_order(), *self.order, "ruleIndex", "part").select(*ISSUE)
+        return self.issues.orderBy(*self.report_order()).select(*ISSUE)
+
+    def report_order(self) -> list[Column]:
+        by_rule = [F.when(F.col("phase") == 1, F.col(c)) for c in ("ruleIndex", "part")]
+        return [F.col("phase"), *by_rule, *self.group_order(), *self.order, F.col("ruleIndex"), F.col("part")]
 
     def group_order(self) -> list[Column]:
         """By the first row of a group, in the frame's order."""

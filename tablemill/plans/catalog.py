@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tablemill.frame import ROW_ID, ROW_NUM, ColumnInfo, PreparedFrame, from_dataframe
 from tablemill.functions.documents import is_cnpj, is_cpf
 from tablemill.functions.storage import new_path, numbered
-from tablemill.operators import mapping, matrix, merge, profile
+from tablemill.operators import fuzzy, mapping, matrix, merge, pages, profile
 from tablemill.operators.commands import apply, edit_cells
 from tablemill.operators.history import PrepPipeline
 from tablemill.operators.validate import ValidationResult, cell_text, distinct_entries, validate
@@ -694,4 +694,61 @@ def csv_folder(spark, d):
     return f.df.select(*[F.col(f"`{i}`").alias(h) for i, h in names.items()])
 
 
+_LARGE = "((o_orderkey % 3000 + 1000) * 1000000000000::DOUBLE + o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE 0 END)"
+
+
+@query(f"SELECT o_orderkey, '#' || CASE WHEN o_orderkey % 3 = 0 THEN CAST({_LARGE} AS VARCHAR) ELSE CAST(CAST({_LARGE} AS BIGINT) AS VARCHAR) END AS text FROM orders")
+def large_number_texts(spark, d):
+    """Whole and broken numbers above 10^15 as text."""
+    number = _LARGE.replace("1000000000000::DOUBLE", "CAST(1000000000000 AS DOUBLE)").replace("0.5", "CAST(0.5 AS DOUBLE)")
+    return out(apply(frame(spark, d, "orders", "o_orderkey", text=number), {"type": "prefix", "columnId": "text", "value": "#"}))
+
+
+_TWO_PARTS = "CASE WHEN o_orderkey % 2 = 0 THEN 'a|' || o_orderkey ELSE 'a' END AS p", "CASE WHEN o_orderkey % 2 = 0 THEN 'x' WHEN o_orderkey % 7 = 0 THEN NULL ELSE (o_orderkey - 1) || '|x' END AS q"
+
+
+@query(rf"""WITH k AS (SELECT {", ".join(_TWO_PARTS)}, o_orderkey AS o FROM orders)
+SELECT 'row-' || replace(p, '|', '\|') || '|' || coalesce(replace(q, '|', '\|'), '\N') || '|' || o AS "rowId" FROM k""")
+def composite_row_ids(spark, d):
+    """Keys whose parts hold bars and nulls: deduplication by a unique column keeps every row."""
+    f = from_dataframe(spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey AS o", *_TWO_PARTS), ["p", "q", "o"])
+    return apply(f, {"type": "deduplicate", "columnIds": ["o"], "keep": "last"}).df.select(F.col(ROW_ID).alias("rowId"))
+
+
+@query("SELECT l_extendedprice AS value FROM (SELECT l_extendedprice, min(l_orderkey * 10 + l_linenumber) AS o FROM lineitem GROUP BY 1 ORDER BY o, l_extendedprice LIMIT 500)")
+def distinct_prices(spark, d):
+    """The first distinct prices of all lines: nearly all are distinct, so what is shuffled shows."""
+    df = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey * 10 + l_linenumber AS k", "l_extendedprice", "l_extendedprice AS price")
+    return profile.distinct_values(from_dataframe(df, ["k", "price"], ["l_extendedprice"]), "l_extendedprice").select("value")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n > 700 AND n <= 1400")
+def preview_page(spark, d):
+    """The second page of 700 rows of all orders, the dearest first."""
+    f = apply(frame(spark, d, "orders", "o_orderkey", "o_totalprice"), {"type": "sort", "sorts": [{"columnId": "o_totalprice", "direction": "desc"}]})
+    return pages.frame_pages(f, 700).page(1).select("o_orderkey", "o_totalprice")
+
+
+_NOISY = "CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || ' x' WHEN 2 THEN replace(p_name, 'e', 'a') WHEN 3 THEN 'the ' || p_name ELSE p_name || '!' END"
+_DICE = "2.0 * len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / (len(list_distinct(string_split(a, ' '))) + len(list_distinct(string_split(b, ' '))))"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS l, lower(p_name) AS a FROM part), m AS (SELECT DISTINCT r, trim(regexp_replace(lower(r), '[^a-z0-9]+', ' ', 'g')) AS b FROM (SELECT {_NOISY} AS r FROM part)),
+s AS (SELECT l, r, round(0.65 * jaro_winkler_similarity(a, b) + 0.35 * {_DICE}, 4) AS score FROM n, m) SELECT l AS "left", r AS "right", score FROM s WHERE score >= 0.85""")
+def fuzzy_part_names(spark, d):
+    """Names of parts and of a noisy copy that name the same thing."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    return fuzzy.fuzzy_keys(part, part.selectExpr(f"{_NOISY} AS noisy"), "p_name", "noisy")
+
+
+_WIDE = "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ"
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 AND c_mktsegment = 'MACHINERY'")
+def search_any_script(spark, d):
+    """Greek capitals with accents, a numero sign and full-width letters, found by plain small ones."""
+    label = f"CASE WHEN c_custkey % 3 = 0 THEN 'ἌΛΦΑ-№ ' || translate(c_mktsegment, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{_WIDE}') ELSE c_mktsegment END"
+    return out(profile.search(frame(spark, d, "customer", "c_custkey", label=label), "label", "αλφα numero machinery"), "c_custkey")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "ROW_NUM", "flagship"]
