@@ -16,8 +16,8 @@ their offset are not found: with errors in nearly all frames, pairs near MOST_ER
 Nothing is gathered in one task: offsets are counted with partial sums, and the bit errors of a
 pair need just the two fingerprints.
 
-Defined cases: null, empty or unreadable bytes, and recordings shorter than the widest filter,
-have no fingerprint and match nothing; those of fewer than three frames match only their equals; ties between offsets go to the smaller one; rows that
+Defined cases: null, empty or unreadable bytes, a rate or number of channels of 0, and recordings shorter than the widest filter,
+have no fingerprint and match nothing; of damaged ones what whole samples there are counts; those of fewer than three frames match only their equals; ties between offsets go to the smaller one; rows that
 share an id are classed by their own recordings; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -25,6 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,22 +44,29 @@ WIDEST = 16
 #: Levels of the log ratio of both halves, and their Gray code.
 LEVELS, GRAY = np.array([-0.35, 0.0, 0.35]), np.array([0, 1, 3, 2], np.uint32)
 APART, MOST_ERRORS = 2, 0.30
-#: Recordings or pairs that are worked on at once.
-SLICE = 128
+#: Recordings or pairs, and frames of a recording, that are worked on at once.
+SLICE, BLOCK = 128, 2_048
 
 
-def samples_of(data: bytes | None) -> tuple[np.ndarray, int]:
-    """Mono samples between -1 and 1 and the rate, of 8- or 16-bit PCM."""
+def pcm(data: bytes | None) -> tuple[np.ndarray, int]:
+    """(samples, channels) as they are stored, and the rate, of 8- or 16-bit PCM. A last sample that is cut off
+    is left out."""
+    none = np.empty((0, 1), np.int16), 1
     try:
         with wave.open(io.BytesIO(data or b"")) as w:
             raw, width, channels, rate = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
-    except (wave.Error, EOFError):
-        return np.empty(0), 1
-    if width not in (1, 2):
-        return np.empty(0), 1
-    x = np.frombuffer(raw, "<i2" if width == 2 else np.uint8).astype(float)
-    x = x / 32768 if width == 2 else (x - 128) / 128
-    return x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1), rate
+    except (wave.Error, EOFError, struct.error):
+        return none
+    if width not in (1, 2) or channels < 1 or rate < 1:
+        return none
+    whole = len(raw) // (width * channels) * channels
+    return np.frombuffer(raw, "<i2" if width == 2 else np.uint8, whole).reshape(-1, channels), rate
+
+
+def mono(x: np.ndarray) -> np.ndarray:
+    """Stored samples as numbers between -1 and 1."""
+    x = x.astype(float) / 32768 if x.dtype.itemsize == 2 else (x.astype(float) - 128) / 128
+    return x.mean(axis=1)
 
 
 HANN = np.hanning(FRAME)
@@ -75,17 +83,21 @@ def folding(rate: int) -> np.ndarray:
 
 
 def chroma(x: np.ndarray, rate: int) -> np.ndarray:
-    """(frames, 12): energy of each pitch class, frames at unit length."""
-    if len(x) < FRAME:
-        return np.empty((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * HANN
-    spectrum = np.fft.rfft(frames, axis=1)
-    out = (spectrum.real**2 + spectrum.imag**2) @ folding(rate)
+    """(frames, 12): energy of each pitch class, frames at unit length, from stored samples. BLOCK frames
+    are worked on at once, so a long recording takes little more than its own bytes."""
+    n = (len(x) - FRAME) // HOP + 1 if len(x) >= FRAME else 0
+    out = np.empty((n, 12))
+    for start in range(0, n, BLOCK):
+        end = min(n, start + BLOCK)
+        part = mono(x[start * HOP : (end - 1) * HOP + FRAME])
+        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP] * HANN
+        spectrum = np.fft.rfft(frames, axis=1)
+        out[start:end] = (spectrum.real**2 + spectrum.imag**2) @ folding(rate)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def fingerprint(data: bytes | None) -> np.ndarray:
-    image = chroma(*samples_of(data))
+    image = chroma(*pcm(data))
     n = len(image) - WIDEST + 1
     if n <= 0:
         return np.empty(0, np.uint32)

@@ -13,7 +13,7 @@ from fixtures import CLASHES, SMALL, docs_of, odd_texts
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablemill.llm import centroids, lexical, queries, wordbpe
+from tablemill.llm import audio, centroids, lexical, queries, wordbpe
 from tablemill.llm.common import table
 
 # --- clustering
@@ -255,3 +255,29 @@ def test_numbers_pack_and_unpack():
     values = np.concatenate([r.integers(0, 2**k, 200) for k in range(1, 40)] + [[0, 127, 128, 2**32]])
     data, place = lexical.packed(values)
     assert (lexical.unpacked(data) == values).all() and (np.diff(np.append(place, len(data))) >= 1).all()
+
+
+# --- recordings
+
+
+def test_damaged_and_long_recordings(spark):
+    """Odd bytes at the end, no rate, no channels, cut headers; and half an hour in bounded memory."""
+    import tracemalloc
+
+    good = audio.wav([0.1, -0.2, 0.3, 0.2] * 8, 4000, 256)
+    at = good.index(b"fmt ") + 8
+    no_rate, no_channels = bytearray(good), bytearray(good)
+    no_rate[at + 4 : at + 8] = no_channels[at + 2 : at + 4] = bytes(4)[:4]
+    no_channels = bytearray(good)
+    no_channels[at + 2 : at + 4] = bytes(2)
+    cases = [good, good + b"x", good[:-1], bytes(no_rate), bytes(no_channels), good[:20], good[:50], b"RIFF", None, b""]
+    rows = spark.createDataFrame([(i, bytearray(x) if x is not None else None) for i, x in enumerate(cases)], "vec_id long, audio binary")
+    got = {r.vec_id: r.prints for r in audio.fingerprints(rows, "vec_id", "audio").collect()}
+    assert got[0] and got[1] == got[0] and got[2] and all(got[i] is None for i in range(3, 10))
+    stored = np.tile(audio.pcm(good)[0], (4_900, 1))[: 22_050 * 1_800]
+    tracemalloc.start()
+    image = audio.chroma(stored, 22_050)
+    assert tracemalloc.get_traced_memory()[1] < 250e6 and len(image) == (len(stored) - audio.FRAME) // audio.HOP + 1
+    tracemalloc.stop()
+    whole = np.concatenate([audio.chroma(stored[: 5_000 * audio.HOP + audio.FRAME], 22_050)])
+    assert np.allclose(whole, image[: len(whole)])
