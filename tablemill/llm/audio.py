@@ -5,14 +5,15 @@ folded into 12 pitch classes. Sixteen filters of the kinds in `FILTERS` compare
 rectangles of the (frame, pitch class) image, taken in constant time from its integral image;
 each answer is one of four levels, two Gray-coded bits, so a frame gives a packed 32-bit
 integer. Recordings with equal fingerprints are one class. A search joins landmarks and counts
-offsets for each pair of classes; every offset that leaves half of the shorter recording is
+offsets for each pair of classes; every offset that leaves `least_overlap` of the shorter recording is
 checked by the share of differing bits over the whole overlap, and of those that pass the one
 with the most agreeing bits over chance is the match.
 
-A landmark is of two frames, APART from each other: three of the four bytes of both integers, the
-same ones, so each frame has four and errors in one byte leave one. Two frames hold 48 bits, so
-unlike recordings hardly ever share one, however many there are; like ones that share none at
-their offset are not found: with errors in nearly all frames, pairs near MOST_ERRORS are missed.
+A landmark is of two frames, one or two frames apart (APART): three of the four bytes of both integers, the
+same ones, so each frame has eight and errors in one byte leave some. Two frames hold 48 bits, so
+unlike recordings hardly ever share one, however many there are; like ones are found by it with up to
+MOST_ERRORS differing bits. Landmarks of two bytes at distances of two and four frames (THOROUGH) find
+nearly all pairs up to 0.3, at the price of chance matches that grow with the square of the table.
 Nothing is gathered in one task: offsets are counted with partial sums, and the bit errors of a
 pair need just the two fingerprints.
 
@@ -29,6 +30,7 @@ import struct
 import wave
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.llm.common import materialize
+from tablemill.llm.wordhash import STEP, mixed
 
 FRAME, HOP, LOWEST, HIGHEST = 1024, 128, 60.0, 2000.0
 #: Kind, first pitch class, classes, frames: each filter compares two halves of its rectangle.
@@ -43,7 +46,12 @@ FILTERS = tuple((k, c, h, w) for k, c, h, w in zip([0, 1, 2, 3] * 4, [0, 4, 8, 2
 WIDEST = 16
 #: Levels of the log ratio of both halves, and their Gray code.
 LEVELS, GRAY = np.array([-0.35, 0.0, 0.35]), np.array([0, 1, 3, 2], np.uint32)
-APART, MOST_ERRORS = 2, 0.30
+#: Landmarks: distances of their two frames, and bytes of each.
+APART, THOROUGH = ((1, 2), 3), ((2, 4), 2)
+#: Share of differing bits up to which landmarks APART find pairs.
+MOST_ERRORS = 0.25
+#: Share of the shorter recording that a match overlaps at least; 0: any overlap that holds a landmark.
+LEAST_OVERLAP = 0.0
 #: Recordings or pairs, and frames of a recording, that are worked on at once.
 SLICE, BLOCK = 128, 2_048
 
@@ -149,11 +157,12 @@ def errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(np.bitwise_count(x).sum()) / (32 * (hi - lo)), hi - lo
 
 
-def pair_marks(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    """Landmarks of pairs of integers, without byte k of both."""
-    low, high = (1 << 8 * k) - 1, 8 * (k + 1)
-    a, b = (((x.astype(np.int64) >> high) << 8 * k) | (x.astype(np.int64) & low) for x in (a, b))
-    return a << 26 | b << 2 | k
+def pair_marks(prints: np.ndarray, places: np.ndarray, distance: int, kept: tuple[int, ...]) -> np.ndarray:
+    """Landmarks of the frames at places and of those at a distance from them, from the bytes kept of both."""
+    mask = np.uint64(sum(0xFF << 8 * k for k in kept))
+    a, b = (prints[at].astype(np.uint64) & mask for at in (places, places + distance))
+    # landmarks of other bytes and distances are other numbers
+    return mixed((a << np.uint64(32) | b) + np.uint64(distance) * STEP + mask).view(np.int64)
 
 
 def classes(prints: DataFrame, key: str) -> DataFrame:
@@ -162,7 +171,7 @@ def classes(prints: DataFrame, key: str) -> DataFrame:
     return found.agg(F.min(key).alias("rep"), (F.min(key) < F.max(key)).alias("copied"))
 
 
-def search(prints: DataFrame, queries: DataFrame, key: str, most_errors: float = MOST_ERRORS) -> DataFrame:
+def search(prints: DataFrame, queries: DataFrame, key: str, most_errors: float = MOST_ERRORS, least_overlap: float = LEAST_OVERLAP, marks: tuple[tuple[int, ...], int] = APART) -> DataFrame:
     """Matches of query classes with all classes of prints: `query`, `match` (representatives),
     `offset` of the match's frames against the query's, `overlap` and `error`. A query class
     matches itself, at offset 0 without errors, if it has other keys. prints and queries are
@@ -171,6 +180,8 @@ def search(prints: DataFrame, queries: DataFrame, key: str, most_errors: float =
     all_ = materialize(named.join(prints.select("prints"), "prints", "left_semi"), "prints")
     asked = materialize(named.join(queries.select("prints"), "prints", "left_semi"), "queries")
 
+    distances, kept = marks[0], list(combinations(range(4), marks[1]))
+
     def landmarks(df: DataFrame, name: str, place: str) -> DataFrame:
         kind = df.schema["rep"].dataType.simpleString()
 
@@ -182,16 +193,18 @@ def search(prints: DataFrame, queries: DataFrame, key: str, most_errors: float =
                     sizes = np.array([len(x) // 4 for x in p], np.int64)
                     each = np.frombuffer(b"".join(p), "<u4")
                     row, where = np.repeat(np.arange(len(p)), sizes), np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    first = np.flatnonzero(where + APART < sizes[row])
-                    marks = np.concatenate([pair_marks(each[first], each[first + APART], k) for k in range(4)])
-                    out = [rep.take(pa.array(np.tile(row[first], 4))), pa.array(marks), pa.array(np.tile(where[first], 4).astype(np.int32)), pa.array(np.tile(sizes[row[first]], 4).astype(np.int32))]
+                    # of each distance, the frames that have another that far on
+                    firsts = [(d, np.flatnonzero(where + d < sizes[row])) for d in distances]
+                    found = np.concatenate([pair_marks(each, at, d, c) for d, at in firsts for c in kept])
+                    at = np.concatenate([at for _, at in firsts for _ in kept])
+                    out = [rep.take(pa.array(row[at])), pa.array(found), pa.array(where[at].astype(np.int32)), pa.array(sizes[row[at]].astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(out, [name, "mark", f"{place}p", f"{place}n"])
 
         return df.mapInArrow(run, f"{name} {kind}, mark long, {place}p int, {place}n int")
 
     offset = F.col("mp") - F.col("qp")
     overlap = F.least("qn", F.col("mn") - offset) - F.greatest(F.lit(0), -offset)
-    near = (F.col("query") != F.col("match")) & (2 * overlap >= F.least("qn", "mn"))
+    near = (F.col("query") != F.col("match")) & (overlap >= least_overlap * F.least("qn", "mn"))
     hits = landmarks(asked, "query", "q").join(landmarks(all_, "match", "m"), "mark").where(near)
     pairs = hits.groupBy("query", "match", offset.alias("offset")).agg(F.count(F.lit(1)).alias("votes")).select("query", "match", "offset")
     both = pairs.join(asked.select(F.col("rep").alias("query"), F.col("prints").alias("qx")), "query").join(all_.select(F.col("rep").alias("match"), F.col("prints").alias("mx")), "match")
