@@ -17,7 +17,7 @@ from tablemill.operators import fuzzy, mapping, matrix, merge, pages, profile
 from tablemill.operators.commands import apply, edit_cells
 from tablemill.operators.history import PrepPipeline
 from tablemill.operators.validate import ValidationResult, cell_text, distinct_entries, validate
-from tablemill.sources import delimited
+from tablemill.sources import datasource, delimited
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -694,6 +694,17 @@ def csv_folder(spark, d):
     return f.df.select(*[F.col(f"`{i}`").alias(h) for i, h in names.items()])
 
 
+@query("""SELECT c_custkey::VARCHAR AS code, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment || chr(10) || '"x", ' || c_nationkey END AS note FROM customer""")
+def csv_source(spark, d):
+    """Customers written as a folder of delimited files, and read by the library's own source in small splits."""
+    datasource.register(spark)
+    note = "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment || '\n' || '\"x\", ' || c_nationkey END AS note"
+    path = new_path(spark, "csv")
+    spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS code", note).repartition(3).write.csv(path, header=True, escape='"', quote='"')
+    df = spark.read.format("delimited").option("splitBytes", 10_000).load(path)
+    return df.select(F.col("code__1").alias("code"), F.nullif("note__1", F.lit("")).alias("note"))
+
+
 _LARGE = "((o_orderkey % 3000 + 1000) * 1000000000000::DOUBLE + o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE 0 END)"
 
 
