@@ -646,20 +646,23 @@ def mapping_applied(spark, d):
     return out(mapping.in_destination_columns(f, m, to))
 
 
-SOURCE_HEADERS = ("Cód. Cliente", "Nome do Cliente", "Nro Nação", "Vlr. Saldo", "Segmento", "TAMANHO", "Xyz")
-DESTINATION_HEADERS = ("Código do Cliente", "Nome Cliente", "Número da Nação", "Saldo (valor)", "Seguimento de Mercado", "Tamanho")
-_WORDS = """list_transform(list_filter(string_split(regexp_replace(lower(strip_accents(header)), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: CASE w WHEN 'cod' THEN 'codigo' WHEN 'nro' THEN 'numero' WHEN 'vlr' THEN 'valor' ELSE w END)"""
+_WORDS = "list_filter(string_split(regexp_replace(lower(strip_accents(header)), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
 
 
-@query(f"""WITH s AS (SELECT i, header, {_WORDS} AS w FROM (SELECT unnest({list(SOURCE_HEADERS)}) AS header, generate_subscripts({list(SOURCE_HEADERS)}, 1) AS i)),
-d AS (SELECT i, header, {_WORDS} AS w FROM (SELECT unnest({list(DESTINATION_HEADERS)}) AS header, generate_subscripts({list(DESTINATION_HEADERS)}, 1) AS i)),
-p AS (SELECT s.header AS source, d.header AS destination, d.i, round(0.65 * jaro_winkler_similarity(array_to_string(s.w, ' '), array_to_string(d.w, ' ')) + 0.35 * 2 * len(list_intersect(s.w, d.w)) / (len(list_distinct(s.w)) + len(list_distinct(d.w))), 4) AS score FROM s, d),
-b AS (SELECT source, max(score) AS score, max_by(destination, score) AS destination FROM p GROUP BY source)
+def _headers(name: str, *tables: str) -> str:
+    """Headers of tables, numbered, and their words."""
+    each = " UNION ALL ".join(f"SELECT {k} AS t, row_number() OVER () AS i, column_name AS header FROM (DESCRIBE {t})" for k, t in enumerate(tables))
+    return f"{name} AS (SELECT t, i, header, {_WORDS} AS w FROM ({each}))"
+
+
+@query(f"""WITH {_headers("s", "lineitem", "events")}, {_headers("d", "orders", "part", "supplier", "customer")},
+p AS (SELECT s.header AS source, d.header AS destination, d.t, d.i, round(0.65 * jaro_winkler_similarity(array_to_string(s.w, ' '), array_to_string(d.w, ' ')) + 0.35 * 2 * len(list_intersect(s.w, d.w)) / (len(list_distinct(s.w)) + len(list_distinct(d.w))), 4) AS score FROM s, d),
+b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, t, i) = 1)
 SELECT source, CASE WHEN score >= 0.55 THEN destination END AS destination, CASE WHEN score = 1 THEN 'exact' WHEN score >= 0.85 THEN 'high' WHEN score >= 0.55 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN score >= 0.55 THEN score ELSE 0 END::DOUBLE AS score FROM b""")
 def mapping_suggest(spark, d):
-    """Suggestions for headers, which are the rows here."""
-    columns = lambda names: [ColumnInfo(h, h, i) for i, h in enumerate(names)]
-    found = mapping.suggest(columns(SOURCE_HEADERS), columns(DESTINATION_HEADERS))
+    """Suggestions for the headers of two tables among those of four others, read from their schemas."""
+    infos = lambda *names: [ColumnInfo(c, c, i) for i, c in enumerate(c for n in names for c in spark.read.parquet(f"{d}/{n}.parquet").columns)]
+    found = mapping.suggest(infos("lineitem", "events"), infos("orders", "part", "supplier", "customer"))
     return spark.createDataFrame([(m.source, m.destination, m.confidence, m.score) for m in found], "source string, destination string, confidence string, score double")
 
 

@@ -7,7 +7,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from tablemill.frame import from_dataframe
 from tablemill.operators import pages, profile
