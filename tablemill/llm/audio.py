@@ -9,8 +9,8 @@ offsets for each pair of classes; every offset that leaves `least_overlap` of th
 checked by the share of differing bits over the whole overlap, and of those that pass the one
 with the most agreeing bits over chance is the match.
 
-A landmark is of two frames, one or two frames apart (APART): three of the four bytes of both integers, the
-same ones, so each frame has eight and errors in one byte leave some. Two frames hold 48 bits, so
+A landmark is of two frames, two frames apart (APART): three of the four bytes of both integers, the
+same ones, so each frame has four and errors in one byte leave one. Two frames hold 48 bits, so
 unlike recordings hardly ever share one, however many there are; like ones are found by it with up to
 MOST_ERRORS differing bits. Landmarks of two bytes at distances of two and four frames (THOROUGH) find
 nearly all pairs up to 0.3, at the price of chance matches that grow with the square of the table.
@@ -47,7 +47,7 @@ WIDEST = 16
 #: Levels of the log ratio of both halves, and their Gray code.
 LEVELS, GRAY = np.array([-0.35, 0.0, 0.35]), np.array([0, 1, 3, 2], np.uint32)
 #: Landmarks: distances of their two frames, and bytes of each.
-APART, THOROUGH = ((1, 2), 3), ((2, 4), 2)
+APART, THOROUGH = ((2,), 3), ((2, 4), 2)
 #: Share of differing bits up to which landmarks APART find pairs.
 MOST_ERRORS = 0.25
 #: Share of the shorter recording that a match overlaps at least; 0: any overlap that holds a landmark.
