@@ -279,4 +279,22 @@ def issues_by_cell(result) -> DataFrame:
     return result.issues.groupBy("rowId", "columnId").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("code")).alias("codes"))
 
 
-
+#: What XML 1.0 cannot hold, as a Java pattern.
+FORBIDDEN = r"[^\t\n\r\x20-\uD7FF\uE000-\uFFFD\x{10000}-\x{10FFFF}]"
+
+
+def value_risks(plan: WritePlan, columns: list[str] | None = None) -> DataFrame:
+    """What would go wrong in writing a plan to a sheet, before it is written: code, columnId (null for whole rows),
+    how many rows have it (`n`) and the first of their destination rows (`firstRow`). One join of the written rows with their
+    values and one aggregate, however many columns there are."""
+    ids = columns or plan.incoming.ids
+    values = plan.incoming.df.select(F.col(ROW_ID).alias("incomingRowId"), *[F.col(f"`{c}`") for c in ids])
+    rows = plan.rows.where(F.col("action").isin("clear", "insert", "update")).join(values, "incomingRowId", "left")
+    at, given = F.col("destinationRow"), F.col("action").isin("insert", "update")
+    found = [("write-outside-data-rows", None, at.isNull() | (at < plan.data_start_row)), ("write-row-exceeds-excel-limit", None, at > LAST_SHEET_ROW)]
+    for c in ids:
+        v = plan.incoming.value(c)
+        found.append(("non-finite-cell-value", c, given & (F.isnan(v.number) | (F.abs(v.number) == float("inf")))))
+        found.append(("forbidden-xml-character", c, given & v.string.rlike(FORBIDDEN)))
+    said = [F.struct(F.lit(code).alias("code"), F.lit(c).cast("string").alias("columnId"), F.count_if(sure(bad)).alias("n"), F.min(F.when(sure(bad), at)).alias("firstRow")) for code, c, bad in found]
+    return rows.agg(F.array(*said).alias("said")).select(F.inline("said")).where("n > 0")

@@ -708,6 +708,19 @@ def csv_source(spark, d):
     return df.select(F.col("code__1").alias("code"), F.nullif("note__1", F.lit("")).alias("note"))
 
 
+@query("""WITH r AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) + 1040000 AS dest FROM orders)
+SELECT * FROM (SELECT 'non-finite-cell-value' AS code, 'price' AS "columnId", count(*) AS n, min(dest) AS "firstRow" FROM r WHERE k % 7 = 0
+UNION ALL SELECT 'forbidden-xml-character', 'status', count(*), min(dest) FROM r WHERE k % 11 = 0
+UNION ALL SELECT 'write-row-exceeds-excel-limit', NULL, count(*), min(dest) FROM r WHERE dest > 1048576) WHERE n > 0""")
+def plan_value_risks(spark, d):
+    """Orders appended below row 1,040,000, some with values that no sheet can hold."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    incoming = orders.selectExpr("o_orderkey AS k", "CASE WHEN o_orderkey % 7 = 0 THEN double('NaN') ELSE o_totalprice END AS price", "CASE WHEN o_orderkey % 11 = 0 THEN o_orderstatus || chr(1) ELSE o_orderstatus END AS status")
+    existing = orders.where("o_orderkey < 3").selectExpr("1040000L - o_orderkey AS k", "o_totalprice AS price", "o_orderstatus AS status")
+    plan = merge.plan_write("append", from_dataframe(incoming, ["k"], ["price", "status"]), from_dataframe(existing, ["k"], ["price", "status"], prefix="template-"), 99, 100)
+    return merge.value_risks(plan)
+
+
 _LARGE = "((o_orderkey % 3000 + 1000) * 1000000000000::DOUBLE + o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE 0 END)"
 
 

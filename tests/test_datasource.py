@@ -28,7 +28,7 @@ def shown(frame):
 
 
 @pytest.mark.parametrize("n", range(len(TEXTS)))
-@pytest.mark.parametrize("split", [3, 97, 1 << 20])
+@pytest.mark.parametrize("split", [3, 97])
 def test_the_same_frames(spark, tmp_path, n, split):
     path = f"file://{tmp_path}/a.csv"
     (tmp_path / "a.csv").write_bytes(TEXTS[n].encode())

@@ -14,7 +14,7 @@ from tablemill.operators.builders import build
 from tablemill.operators.commands import apply, edit_cells
 from tablemill.operators.history import PrepPipeline, columns_changed, fingerprint, rules_still_valid
 from tablemill.operators.mapping import Mapping, accept_all, duplicate_destinations, identity, ignore_all, in_destination_columns, projected, reconcile, review, suggest, with_fixed_values
-from tablemill.operators.merge import plan_write, rejected_sheet
+from tablemill.operators.merge import plan_write, rejected_sheet, value_risks
 from tablemill.operators.rules import CARDINALITIES, configuration_errors, matching_rules, relation_rule, type_rules
 from tablemill.operators.validate import matched_by_matrix, validate
 
@@ -182,6 +182,16 @@ def test_replace_and_append(spark, mode, rows):
         plan_write(mode, plan.incoming, plan.existing, 6, 6)
 
 
+def test_value_risks(spark):
+    rows = [(1, float("nan"), "a"), (2, 1.0, "b\x0b"), (3, float("-inf"), "\ud83d\ude00\tok".encode("utf-16", "surrogatepass").decode("utf-16")), (4, None, None), (5, 2.0, "\ufffe")]
+    incoming = from_dataframe(spark.createDataFrame(rows, "k long, x double, t string"), ["k"], ["x", "t"])
+    existing = from_dataframe(spark.createDataFrame([(1_048_573, 1.0, "z")], "k long, x double, t string"), ["k"], ["x", "t"], prefix="template-")
+    got = {(r.code, r.columnId, r.n, r.firstRow) for r in value_risks(plan_write("append", incoming, existing, 5, 6)).collect()}
+    assert got == {("non-finite-cell-value", "x", 2, 1_048_574), ("forbidden-xml-character", "t", 2, 1_048_575), ("write-row-exceeds-excel-limit", None, 2, 1_048_577)}
+    replaced = plan_write("replace", incoming.with_df(incoming.df.where("k = 4")), existing, 5, 6)
+    assert value_risks(replaced).count() == 0
+
+
 # --- header matching
 
 
