@@ -36,27 +36,17 @@ class Money:
     digits: str
 
 
-@lru_cache(1)
-def languages() -> frozenset[str]:
-    return frozenset(x.getLanguage() for x in jvm_locales().getAvailableLocales())
-
-
-def jvm_locales():
-    session = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-    return session._jvm.com.ibm.icu.util.ULocale
-
-
 @lru_cache(1024)
 def money(locale: str, currency: str) -> Money:
-    session = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-    icu = session._jvm.com.ibm.icu
-    asked = jvm_locales().forLanguageTag(locale)
-    if not locale or asked.getLanguage() not in languages() or asked.toLanguageTag().lower() != locale.lower():
+    icu = (SparkSession.getActiveSession() or SparkSession.builder.getOrCreate())._jvm.com.ibm.icu
+    asked = icu.util.ULocale.forLanguageTag(locale)
+    form = icu.text.NumberFormat.getCurrencyInstance(asked)
+    # without data for a language the root's are taken
+    if not locale or form.getLocale(icu.util.ULocale.VALID_LOCALE).getLanguage() != asked.getLanguage() or asked.toLanguageTag().lower() != locale.lower():
         raise ValueError(f"Localidade desconhecida: {locale}")
     if not icu.util.Currency.isAvailable(currency, None, None) or currency != currency.upper():
         raise ValueError(f"Moeda desconhecida: {currency}")
     unit = icu.util.Currency.getInstance(currency)
-    form = icu.text.NumberFormat.getCurrencyInstance(asked)
     form.setCurrency(unit)
     signs = form.getDecimalFormatSymbols()
     told = icu.number.NumberFormatter.withLocale(asked).unit(unit)
