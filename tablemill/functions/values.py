@@ -234,13 +234,14 @@ class Value:
 def compared(a: Value, b: Value) -> Column:
     """-1, 0 or 1: by number if both are numbers, else by text in root collation order; nulls
     are dealt with by the caller."""
+    m, n = a.number, b.number
+    by_number = F.when(m < n, -1).when(m > n, 1).when(m == n, 0)
+    if a.kind == b.kind == NUMBER:
+        return by_number
     x, y = F.collate(a.text, "UNICODE"), F.collate(b.text, "UNICODE")
     by_text = F.when(x < y, -1).when(x > y, 1).otherwise(0)
-    if a.kind == b.kind == NUMBER or MIXED in (a.kind, b.kind) or NULL in (a.kind, b.kind):
-        m, n = a.number, b.number
-        by_number = F.when(m < n, -1).when(m > n, 1).when(m == n, 0)
-        return by_number if a.kind == b.kind == NUMBER else F.coalesce(by_number, by_text)
-    return by_text
+    mixed = MIXED in (a.kind, b.kind) or NULL in (a.kind, b.kind)
+    return F.coalesce(by_number, by_text) if mixed else by_text
 
 
 def unified(values: list[Value]) -> tuple[str, list[Column]]:
